@@ -99,9 +99,11 @@ class Memo:
         self.flat, self.offsets = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
 
     def add(self, keys: list[int], lists: list[list[int]]) -> None:
-        n, k = len(self.row), len(lists)
-        lens = np.fromiter(map(len, lists), np.int64, k)
-        ids = np.fromiter((x for ids in lists for x in ids), np.uint32, int(lens.sum()))
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.put(keys, lens, np.fromiter((x for ids in lists for x in ids), np.uint32, int(lens.sum())))
+
+    def put(self, keys: list[int], lens: np.ndarray, ids: np.ndarray) -> None:
+        n, k = len(self.row), len(keys)
         at = int(self.offsets[n])
         while len(self.flat) < at + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])

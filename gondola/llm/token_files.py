@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from dataclasses import dataclass
 from functools import cache
@@ -52,7 +53,7 @@ class TokenFileParams:
     share: float = 0.02  #: and this part of the most frequent pair's
     file_bytes: int = 64 << 20
     level: int = 1
-    memo: int = 300_000
+    memo: int = 600_000  #: pre-tokens that one worker remembers
 
 
 # --- encoding -------------------------------------------------------------------------------------
@@ -76,31 +77,28 @@ class WordEncoder:
         self.word_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memo = Memo(memo)
         table = classes()
-        every = np.arange(0x110000)
         # plain: a code point whose lower case is one code point of the same class, and that never composes
         plain = np.zeros(0x110000, bool)
-        import unicodedata as u
-
         for c in range(0x3000):
             x = chr(c)
             low = x.lower()
-            plain[c] = len(low) == 1 and table[ord(low)] == table[c] and not u.combining(x) and u.is_normalized("NFC", x) and x != "Σ"
+            plain[c] = len(low) == 1 and table[ord(low)] == table[c] and not unicodedata.combining(x) and unicodedata.is_normalized("NFC", x) and x != "Σ"
         plain[0x1100:0x1200] = False
-        del every
         self.plain = plain
 
-    def words(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of lower-case pre-tokens."""
-        out = []
+    def words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of lower-case pre-tokens: how many ids each has, and all ids."""
+        lens, flat = [], []
         for k in range(0, len(pieces), 4096):
             part = pieces[k : k + 4096]
             ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) != len(part):
-                out += [x.ids for x in self.library.encode_batch(part, add_special_tokens=False)]
-            else:
-                out += [x.tolist() for x in np.split(ids, ends[:-1])]
-        return out
+            if len(ends) != len(part):  # not split as expected: each alone
+                each = [x.ids for x in self.library.encode_batch(part, add_special_tokens=False)]
+                ends, ids = np.cumsum([len(x) for x in each]), np.array([y for x in each for y in x], np.int64)
+            lens.append(np.diff(ends, prepend=0))
+            flat.append(ids)
+        return np.concatenate(lens), np.concatenate(flat)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         simple = []
@@ -122,7 +120,7 @@ class WordEncoder:
             self.memo.clear()
         new = [k for k, h in enumerate(hashes) if h not in self.memo.row]
         if new:
-            self.memo.add([hashes[k] for k in new], self.words([split.piece(first[k]) for k in new]))
+            self.memo.put([hashes[k] for k in new], *self.words([split.piece(first[k]) for k in new]))
         row = np.fromiter(map(self.memo.row.__getitem__, hashes), np.int64, len(hashes))
         at, ends = ragged(self.memo.offsets[: len(self.memo.row) + 1], row[which])
         out = self.memo.flat[at]
