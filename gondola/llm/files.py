@@ -6,6 +6,14 @@ import uuid
 from collections.abc import Iterator
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def read_tasks(index: DataFrame, task_bytes: int) -> DataFrame:
+    """index in order of file and offset, dealt by the bytes that its rows stand for, not by their number."""
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    return index.repartitionByRange(int(total // task_bytes) + 1, "file", "offset").sortWithinPartitions("file", "offset")
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gondola.llm import shared
 from gondola.llm.bpe import text_passes
-from gondola.llm.files import Appender, ranged_reads
+from gondola.llm.files import Appender, ranged_reads, read_tasks
 from gondola.llm.pretokens import Memo, Split, classes, ragged
 
 MAGIC = b"GRP1"
@@ -52,6 +52,7 @@ class TokenFileParams:
     least: int = 16  #: occurrences that a pair needs
     share: float = 0.02  #: and this part of the most frequent pair's
     file_bytes: int = 64 << 20
+    task_bytes: int = 16 << 20  #: file bytes that one reading task takes
     level: int = 1
     memo: int = 600_000  #: pre-tokens that one worker remembers
 
@@ -309,8 +310,7 @@ def read_tokens(index: DataFrame, params: TokenFileParams = TokenFileParams()) -
                  pa.array(range(n), pa.int32()), pa.array(held.lens.astype(np.int64)), pa.array(crc, pa.int64())],
                 ["doc_id", "part", "shard", "k", "n_tokens", "ids_crc32"])
 
-    picked = index.select("file", "offset", "length", "part", "shard").repartitionByRange("file", "offset")
-    return picked.sortWithinPartitions("file", "offset").mapInArrow(read, READ)
+    return read_tasks(index.select("file", "offset", "length", "part", "shard"), params.task_bytes).mapInArrow(read, READ)
 
 
 def with_starts(index: DataFrame, found: DataFrame) -> DataFrame:

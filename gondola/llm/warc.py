@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.llm import shared
-from gondola.llm.files import Appender, ranged_reads
+from gondola.llm.files import Appender, ranged_reads, read_tasks
 
 INDEX = "page_id bigint, url string, payload_digest string, record_type string, file string, offset bigint, length bigint"
 RECORD = "page_id bigint, url string, record_type string, payload_digest string, refers_to bigint, payload binary"
@@ -41,6 +41,7 @@ class WarcParams:
     file_bytes: int = 64 << 20  #: an archive ends after so many bytes
     gap: int = 64 << 10  #: ranges so close are read at once
     read_bytes: int = 4 << 20  #: most bytes of one read
+    task_bytes: int = 16 << 20  #: archive bytes that one reading task takes
     level: int = 5
     date: str = "1970-01-01T00:00:00Z"
 
@@ -118,7 +119,7 @@ def write_archives(pages: DataFrame, folder: str, params: WarcParams = WarcParam
 def read_records(index: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
     """The records that the rows of index name, read back from the archives (RECORD)."""
     shared.bounded_batches(index.sparkSession)
-    picked = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    picked = read_tasks(index.select("file", "offset", "length"), params.task_bytes)
 
     def read(batches):
         def rows():
