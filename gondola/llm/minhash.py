@@ -3,16 +3,19 @@
 1. Every text becomes its set of word shingles; texts with equal sets are one
    class (a group of copies of any size is one row from here on).
 2. Classes that agree on a band of their MinHash signature meet in a bucket.
-   Each is compared with the bucket's smallest class, so a bucket of m classes
-   makes m - 1 candidates, not m(m-1)/2.
+   Each is compared with the bucket's hub, the class that shares most buckets, so a
+   bucket of m classes makes m - 1 candidates, not m(m-1)/2.
 3. Candidates are compared by signature, a batch of hashes at a time.  After each
    batch the posterior of the similarity (uniform prior) is known in closed form;
    a pair is dropped once P(similarity >= threshold) is below the miss probability.
 4. Survivors are verified on their full shingle sets.
 5. Links give components.  Within a bucket, classes of different components that
-   were not yet compared are compared in blocks of bounded size (numpy, on
-   signatures), pruned and verified in the same way, and the components redone.
-   A pair within one component can no longer change the result and is left out.
+   were not yet compared are compared in blocks of bounded size by signature, in
+   the first band that they share, and pruned in the same way.  Classes with a
+   survivor go, with their full sets, through the blocks once more: intersections
+   of a whole block are one matrix product, and each class with links gives one
+   edge.  Pairs are never emitted.  A pair within one component can no longer
+   change the result and is left out.
 
 Chance of missing a link: that no band agrees, (1 - s**rows)**bands for similarity
 s, at most 4e-12 for the parameters used at 0.85 and 6e-9 at 0.8, plus the
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from gondola.llm import shared
+from gondola.llm.embed_dedup import forest
 from gondola.llm.words import shingle_sets
 
 
@@ -94,11 +98,12 @@ def profiles(params: MinHashParams):
             if not len(s):
                 cid.append(None), bands.append(None), sigs.append(None)
                 continue
-            sig = signature(s, a, b)
+            # low bits: less to ship; a chance match only keeps a pair
+            sig = signature(s, a, b).astype(np.uint16)
             rows = sig.reshape(params.bands, params.rows)
             cid.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
             bands.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), seed=k) for k, r in enumerate(rows)], np.uint64).view(np.int64))
-            sigs.append(sig.astype(np.uint16).tobytes())  # low bits: less to ship; a chance match only keeps a pair
+            sigs.append(sig.tobytes())
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
             names=["n", "cid", "bands", "sig"],
@@ -144,11 +149,16 @@ def possible(params: MinHashParams):
     return check
 
 
+def _full_sets(texts: DataFrame, wanted: DataFrame, params: MinHashParams) -> DataFrame:
+    """(cid, set) of the wanted class ids; texts has one text or, of repeated rows, equal texts for each."""
+    return texts.join(wanted, "cid").select("cid", sets(params)("text").alias("set")).dropDuplicates(["cid"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, params: MinHashParams, name: str) -> DataFrame:
     """The pairs (a, b) of class ids whose full shingle sets are similar enough."""
     pairs = shared.stored(pairs, f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    full = shared.stored(texts.join(wanted, "cid").select("cid", sets(params)("text").alias("set")), f"{name}-sets")
+    full = shared.stored(_full_sets(texts, wanted, params), f"{name}-sets")
     both = pairs.join(full.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(
         full.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -156,26 +166,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: MinHashParams, name: s
         both.where(100 * common >= params.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), f"{name}-links")
 
 
-def _blockwise(params: MinHashParams):
-    """mapInArrow over rows sorted by block: pairs of different components still possible.
-
-    A block holds probes (side 1) and members of the bucket's first component
-    (side 0), or two groups of probes (sides 1 and 2); its size is bounded.
-    """
-
-    def block_pairs(t: pa.Table) -> list[pa.RecordBatch]:
-        side, root, cid = (t[c].to_numpy() for c in ("side", "root", "cid"))
-        sig = _matrix(t["sig"].combine_chunks(), params)
-        probe, rest = np.flatnonzero(side == 1), np.flatnonzero(side != 1)
-        rest = rest if len(rest) else probe
-        found = []
-        for i in probe:
-            other = rest[(root[rest] != root[i]) & ((cid[rest] > cid[i]) | (side[rest] != 1))]
-            if len(other):
-                kept = other[survive(np.broadcast_to(sig[i], (len(other), params.hashes)), sig[other], params)]
-                found += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in kept]
-        pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
-        return [pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])]
+def _by_block(work):
+    """mapInArrow function that gives work() the rows of one block at a time; rows are sorted by block."""
 
     def run(batches):
         held = None
@@ -185,37 +177,92 @@ def _blockwise(params: MinHashParams):
             key = t["block"].to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]) if len(key) else [0]
             for s, e in zip(cuts[:-1], cuts[1:]):
-                yield from block_pairs(t.slice(s, e - s))
+                yield work(t.slice(s, e - s))
             held = t.slice(cuts[-1])
         if held is not None and len(held):
-            yield from block_pairs(held)
+            yield work(held)
 
     return run
 
 
-def _uncompared(members: DataFrame, roots: DataFrame, sigs: DataFrame, params: MinHashParams) -> DataFrame:
-    """Possible links (a, b) between different components of one bucket, by blocks."""
-    at = members.join(roots, members.cid == roots.node, "left").select(
-        "h", "cid", F.col("lead").alias("lead"), F.coalesce("root", "cid").alias("root"))
-    others = at.where("cid <> lead")
-    per = others.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    sized = others.join(per.select("h", "r0"), "h").withColumn("probe", F.col("root") != F.col("r0"))
+def _survivors(params: MinHashParams):
+    """Of a block: the classes with a possible link to another component, met first in this band.
+
+    A block holds probes (side 1) and members of the hub's component (side 0), or
+    two groups of probes (sides 1 and 2).
+    """
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        side, root, cid = (t[c].to_numpy() for c in ("side", "root", "cid"))
+        band, block = t["band"][0].as_py(), t["block"][0].as_py()
+        sig = _matrix(t["sig"].combine_chunks(), params)
+        bands = sig.reshape(len(sig), params.bands, params.rows)
+        probe, rest = np.flatnonzero(side == 1), np.flatnonzero(side != 1)
+        rest = rest if len(rest) else probe
+        needed = np.zeros(len(sig), bool)
+        for i in probe:
+            other = rest[(root[rest] != root[i]) & ((cid[rest] > cid[i]) | (side[rest] != 1))]
+            if band and len(other):
+                other = other[~(bands[other, :band] == bands[i, :band]).all(axis=2).any(axis=1)]
+            if len(other):
+                kept = other[survive(np.broadcast_to(sig[i], (len(other), params.hashes)), sig[other], params)]
+                if len(kept):
+                    needed[i] = needed[kept] = True
+        out = cid[needed]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(out), block), pa.int64()), pa.array(out, pa.int64())], ["block", "cid"])
+
+    return _by_block(work)
+
+
+def _linked(params: MinHashParams):
+    """Of a block with full sets: one edge (a, b) from each class with links to the smallest of its local component."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        cid, sets_ = t["cid"].to_numpy(), t["set"].combine_chunks()
+        order = np.argsort(cid, kind="stable")
+        cid = cid[order]
+        each = [sets_[int(k)].values.to_numpy() for k in order]
+        size = np.array([len(x) for x in each])
+        values, code, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(each)), size)
+        shared_by = n[code] > 1  # a shingle of one class alone is in no intersection
+        row, column = row[shared_by], (np.cumsum(n > 1) - 1)[code[shared_by]]
+        common = np.zeros((len(each), len(each)))
+        for start in range(0, int((n > 1).sum()), 8192):
+            part = (column >= start) & (column < start + 8192)
+            dense = np.zeros((len(each), 8192), np.float32)
+            dense[row[part], column[part] - start] = 1
+            common += dense @ dense.T
+        link = 100 * common >= params.percent * (size[:, None] + size[None, :] - common)
+        np.fill_diagonal(link, False)
+        i, j = np.nonzero(link)
+        label = forest(len(cid), i, j)
+        hit = np.flatnonzero(label != np.arange(len(cid)))
+        return pa.RecordBatch.from_arrays([pa.array(cid[label[hit]], pa.int64()), pa.array(cid[hit], pa.int64())], ["a", "b"])
+
+    return _by_block(work)
+
+
+def _blocks(members: DataFrame, roots: DataFrame, params: MinHashParams) -> DataFrame:
+    """(block, band, side, cid, root): buckets with classes of several components, dealt to blocks of bounded size."""
+    root = roots.withColumnRenamed("node", "cid")
+    hubs = members.where("cid = lead").join(root, "cid", "left").select("h", F.coalesce("root", "cid").alias("hub"))
+    others = members.where("cid <> lead").join(root, "cid", "left").select("h", "band", "cid", F.coalesce("root", "cid").alias("root"))
+    mixed = others.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h").join(hubs, "h")
+    sized = others.join(mixed, "h").withColumn("probe", F.col("root") != F.col("hub"))
     counts = sized.groupBy("h").agg(F.count_if("probe").alias("np"), F.count_if(~F.col("probe")).alias("nr"))
     blocks = lambda n: F.ceil(F.col(n) / params.block).cast("int")
     spread = lambda n: F.pmod(F.xxhash64("cid", F.lit(7)), F.greatest(F.col(n), F.lit(1))).cast("int")
     x = sized.join(counts, "h").withColumns({"kb": blocks("np"), "lb": blocks("nr")}).withColumns({"p": spread("kb"), "q": spread("lb")})
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    side = lambda c, arr: F.explode(arr).alias(c)
-    first = x.where("not probe").select("h", "cid", "root", F.lit(0).alias("side"), "q", side("p", upto("kb")))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["h", "band", "cid", "root"]
+    first = x.where("not probe").select(*keep, F.lit(0).alias("side"), "q", F.explode(upto("kb")).alias("p"))
     probes = x.where("probe")
-    across = probes.select("h", "cid", "root", F.lit(1).alias("side"), "p", side("q", upto("lb")))
-    within = probes.select("h", "cid", "root", "p", side("o", upto("kb"))).select(
-        "h", "cid", "root", F.when(F.col("p") <= F.col("o"), 1).otherwise(2).alias("side"),
+    across = probes.select(*keep, F.lit(1).alias("side"), "p", F.explode(upto("lb")).alias("q"))
+    within = probes.select(*keep, "p", F.explode(upto("kb")).alias("o")).select(
+        *keep, F.when(F.col("p") <= F.col("o"), 1).otherwise(2).alias("side"),
         F.least("p", "o").alias("p"), (-1 - F.greatest("p", "o")).alias("q"))
-    dealt = first.unionByName(across).unionByName(within).join(sigs, "cid").select(
-        F.xxhash64("h", "p", "q").alias("block"), "side", "cid", "root", "sig")
-    met = dealt.repartition("block").sortWithinPartitions("block")
-    return met.mapInArrow(_blockwise(params), "a bigint, b bigint").distinct()
+    return first.unionByName(across).unionByName(within).select(F.xxhash64("h", "p", "q").alias("block"), "band", "side", "cid", "root")
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,10 +279,14 @@ def near_duplicates(docs: DataFrame, params: MinHashParams, id_col: str = "doc_i
     classes = slim.where("cid is not null")
     # rows of a class have equal sets, hence equal bands: those of any row will do
     one = classes.groupBy("cid").agg(F.min("_id").alias("rep"), F.min("_k").alias("_k"), F.min_by("bands", "_k").alias("bands"))
-    banded = shared.stored(one.select("cid", F.explode("bands").alias("h")), "minhash-bands")
-    buckets = banded.groupBy("h").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").select("h", "lead")
-    members = shared.stored(banded.join(buckets, "h"), "minhash-buckets")
+    banded = shared.stored(one.select("cid", F.posexplode("bands").alias("band", "h")), "minhash-bands")
+    buckets = banded.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    met = shared.stored(banded.join(buckets, "h"), "minhash-buckets")
     shared.drop_path(docs.sparkSession, banded.gondola_path)
+    shares = met.groupBy("cid").agg(F.sum("size").alias("shares"))
+    hub = met.join(shares, "cid").groupBy("h").agg(F.max(F.struct("shares", "cid")).alias("m")).select("h", F.col("m.cid").alias("lead"))
+    members = shared.stored(met.drop("size").join(hub, "h"), "minhash-members")
+    shared.drop_path(docs.sparkSession, met.gondola_path)
     busy = members.select("cid").distinct()
     picked = shared.stored(
         classes.select("cid", "_k", "sig").join(busy, "cid").groupBy("cid").agg(F.min("_k").alias("_k"), F.min("sig").alias("sig")),
@@ -243,15 +294,19 @@ def near_duplicates(docs: DataFrame, params: MinHashParams, id_col: str = "doc_i
     sigs = picked.select("cid", "sig")
     texts = docs.select(key.alias("_k"), F.col(text_col).alias("text")).join(picked.select("cid", "_k"), "_k")
 
-    star = members.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
+    star = members.where("cid <> lead").select(F.least("lead", "cid").alias("a"), F.greatest("lead", "cid").alias("b")).distinct()
     near = star.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(
         sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b").where(possible(params)("sa", "sb")).select("a", "b")
     links = _verified(near, texts, params, "minhash-star")
     roots = shared.stored(shared.components(links, "minhash-roots"), "minhash-roots")
-    more = shared.stored(_uncompared(members, roots, sigs, params).join(star, ["a", "b"], "left_anti"), "minhash-rest")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, texts, params, "minhash-rest"))
-        roots = shared.stored(shared.components(links, "minhash-roots"), "minhash-roots")
+    dealt = shared.stored(_blocks(members, roots, params), "minhash-blocks")
+    if not dealt.isEmpty():
+        laid = dealt.join(sigs, "cid").repartition("block").sortWithinPartitions("block")
+        needed = shared.stored(laid.mapInArrow(_survivors(params), "block bigint, cid bigint").distinct(), "minhash-needed")
+        full = shared.stored(_full_sets(texts, needed.select("cid").distinct(), params), "minhash-sets")
+        exact = needed.join(full, "cid").repartition("block").sortWithinPartitions("block")
+        found = shared.stored(exact.mapInArrow(_linked(params), "a bigint, b bigint").distinct(), "minhash-links")
+        roots = shared.stored(shared.components(links.unionByName(found), "minhash-roots"), "minhash-roots")
 
     reps = classes.groupBy("cid").agg(F.min("_id").alias("rep"))
     labelled = reps.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
