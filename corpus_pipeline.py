@@ -18,8 +18,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier does not reject; it learns from `labels` of the rows it gets."""
     params = quality.QualityParams()
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), params)
-    rated = docs.withColumn("_score", quality.scored(model, F.col("text"), params))
-    return rated.where(F.col("_score") >= params.threshold).select(*docs.columns)
+    return docs.where(quality.scored(model, F.col("text"), params) >= params.threshold)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

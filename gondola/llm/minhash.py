@@ -328,6 +328,6 @@ def keep_firsts(docs: DataFrame, params: MinHashParams, id_col: str = "doc_id",
     """
     found = near_duplicates(docs, params, id_col, text_col)
     stay = found.where("first").select(F.col("row_key").alias("_k"), F.col("n_shingles").alias("_n")).distinct()
-    kept = docs.withColumn("_k", F.xxhash64(F.col(id_col), F.col(text_col))).join(stay, "_k")
+    kept = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k")).join(stay, "_k")
     once = kept.where("_n > 0").dropDuplicates(["_k"])
-    return once.unionByName(kept.where("_n = 0")).select(*docs.columns)
+    return once.unionByName(kept.where("_n = 0")).select("_doc.*")

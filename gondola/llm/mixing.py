@@ -115,11 +115,13 @@ def mixed_rows(docs: DataFrame, params: MixParams = MixParams(), text_col: str =
     without words are in every whole pass of their source.
     """
     passes = plan(docs, params, text_col=text_col, **names).select("row_key", "size", F.explode("passes").alias("p"))
-    once = docs.withColumn("row_key", F.xxhash64(*docs.columns)).dropDuplicates(["row_key"])
-    rows = once.join(passes, "row_key")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), 1, F.col("p.words").cast("int")), "")
-    text = F.when(F.col("p.words") < F.col("size"), cut).otherwise(F.col(text_col))
-    rows = rows.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("p.words") < F.col("size"), F.char_length(text_col).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return rows.orderBy(F.col("p.position").asc_nulls_last(), "row_key").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(*docs.columns).alias("row_key"))
+    rows = whole.dropDuplicates(["row_key"]).join(passes, "row_key")
+    text, short = F.col(f"doc.{text_col}"), F.col("p.words") < F.col("size")
+    words = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    cut = F.array_join(F.slice(words, 1, F.col("p.words").cast("int")), "")
+    own = {c: F.col(f"doc.{c}") for c in docs.columns} | {text_col: F.when(short, cut).otherwise(text)}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(short, F.char_length(own[text_col]).cast(dict(docs.dtypes)["n_chars"])).otherwise(own["n_chars"])
+    laid = rows.orderBy(F.col("p.position").asc_nulls_last(), "row_key")
+    return laid.select(*[x.alias(c) for c, x in own.items()])
