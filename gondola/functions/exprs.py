@@ -16,9 +16,12 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 
 def half_up(x: Column, digits: int = 2) -> Column:
-    """Rounding half away from zero by floor, the same in every engine."""
+    """Rounding half away from zero by floor; within a millionth of a half counts as a half.
+
+    Sums in another order differ in their last bits; so they round alike all the same.
+    """
     p = F.lit(float(10**digits))
-    return F.signum(x) * F.floor(F.abs(x) * p + F.lit(0.5)) / p
+    return F.signum(x) * F.floor(F.abs(x) * p + F.lit(0.500001)) / p
 
 
 def months_between_starts(later: Column, earlier: Column) -> Column:

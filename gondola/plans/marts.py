@@ -32,7 +32,7 @@ interest AS (SELECT event_type AS category, CAST(ts AS DATE) AS day, avg(value)
 
 def r(x: str, digits: int = 2) -> str:
     """SQL of half_up."""
-    return f"(sign({x}) * floor(abs({x}) * {10**digits}.0::DOUBLE + 0.5) / {10**digits}.0::DOUBLE)"
+    return f"(sign({x}) * floor(abs({x}) * {10**digits}.0::DOUBLE + 0.500001) / {10**digits}.0::DOUBLE)"
 
 
 def cl(x: str) -> str:
