@@ -256,7 +256,7 @@ def weekly(spark, sf) -> DataFrame:
     """Store x category x month: median price, carried competitor price, gap, band, position, reliability."""
     x = retail(spark, sf)
     med = x.groupBy("category", "month").agg(F.percentile_approx("price", 0.5, 10000).alias("m"))
-    kept = x.join(F.broadcast(med), ["category", "month"]).where(F.col("price") <= T.outlier_multiple * F.col("m"))
+    kept = x.join(med, ["category", "month"]).where(F.col("price") <= T.outlier_multiple * F.col("m"))
     own = kept.groupBy("store_id", "category", "month").agg(F.percentile_approx("price", 0.5, 10000).alias("price"), F.count("*").alias("n"))
     cv = kept.groupBy("category", "month").agg(half_up(F.try_divide(F.stddev_samp("price"), F.avg("price")) * 100, 1).alias("cv"))
     comp = x.where((F.col("flag") == "R") & (F.month("month") % 4 == 1)).groupBy("category", F.col("month").alias("pulled")).agg(F.percentile_approx("list_price", 0.5, 10000).alias("competitor"))

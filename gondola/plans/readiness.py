@@ -1,0 +1,155 @@
+"""Shelf risk, confidence, expansion readiness and the complete action cascade, at signal grain.
+
+A signal is a month x store x category.  Every score is rounded before a cascade
+compares it, so that the order of additions cannot move a signal over a threshold.
+A predicate on an unknown score does not hold.
+
+Stand-ins: the consumer index is the order priority '2-HIGH' (some months absent),
+a signal's clock is its own month, momentum is the change of interest around 50,
+and the documents' support for a signal is unknown (50).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from gondola.functions.exprs import clamp, first_match, half_up
+from gondola.plans.marts import _SCORES, _WEEKLY, cl, query, r, scores, weekly
+from gondola.sources.tables import producer_index
+
+KEYS = ["month", "store_id", "category"]
+
+_BASE = _WEEKLY + _SCORES + f""", ci AS (SELECT month, value AS cpi FROM ppi WHERE series_id = '2-HIGH' AND month(month) <> 5),
+b0 AS (SELECT sc.month, sc.store_id, sc.category, products, sc.interest::DOUBLE AS interest, depth, p, p1, idx, idx1, cpi, shelf_gap, sc.promo_risk, margin, demand, sc.risk AS margin_risk, competitor, pulled
+  FROM sc LEFT JOIN fact ON sc.month = fact.month AND sc.store_id = fact.store_id AND sc.category = fact.category LEFT JOIN ci ON sc.month = ci.month),
+b1 AS (SELECT *, lag(interest) OVER v AS i1, lag(interest, 2) OVER v AS i2, lag(interest, 3) OVER v AS i3, count(*) OVER u AS seen, max(interest) OVER u - min(interest) OVER u AS spread,
+  (idx - idx1) / nullif(idx1, 0) * 100 AS rise FROM b0 WINDOW v AS (PARTITION BY store_id, category ORDER BY month), u AS (PARTITION BY store_id, category)),
+s0 AS (SELECT *, {r(cl('0.7 * shelf_gap + CASE WHEN interest > 60 AND products < 10 THEN 30 WHEN interest > 40 AND products < 20 THEN 15 ELSE 0 END'))} AS missed,
+  {r(cl('CASE WHEN interest >= coalesce(i1, 100) THEN greatest(0.0, 50 - (interest - coalesce(i1, 50)) / 5.0) WHEN coalesce(i1, 100) >= coalesce(i2, 100) THEN 35 WHEN coalesce(i2, 100) >= coalesce(i3, 100) THEN 60 ELSE 85 END'))} AS decay,
+  {r(cl('products / 50.0 * 100 * greatest(0.0, 1 - interest / 100.0)'))} AS thin,
+  {r(cl('CASE WHEN p > competitor THEN 50 + (p - competitor) / competitor * 200 WHEN competitor IS NOT NULL THEN greatest(0.0, 25 - (competitor - p) / competitor * 100) WHEN p1 IS NULL OR rise IS NULL THEN 25 WHEN p < p1 AND rise > 0.1 THEN 80 WHEN p < p1 THEN 50 WHEN rise > 0.1 THEN 35 ELSE 15 END'))} AS threat,
+  {r(cl('depth * 2 + CASE WHEN products > 0 AND depth > 15 THEN 20 ELSE 0 END'))} AS trap FROM b1),
+s1 AS (SELECT *, {r(cl('0.30 * missed + 0.25 * decay + 0.15 * thin + 0.20 * threat + 0.10 * trap'))} AS shelf_risk FROM s0),
+s2 AS (SELECT *, CASE WHEN shelf_risk >= 65 THEN 'HIGH' WHEN shelf_risk >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM s1)"""
+
+
+def shelf(spark, sf) -> DataFrame:
+    """Scores joined with the price fact, and the five risks of a shelf."""
+    month_index = producer_index(spark, sf).where((F.col("series_id") == "2-HIGH") & (F.month("month") != 5)).select("month", F.col("value").alias("cpi"))
+    facts = weekly(spark, sf).select(*KEYS, "competitor", "pulled")
+    x = scores(spark, sf).withColumnRenamed("risk", "margin_risk").join(facts, KEYS, "left").join(month_index, "month", "left")
+    group = Window.partitionBy("store_id", "category")
+    v, c = group.orderBy("month"), F.col
+    x = x.withColumns({f"i{k}": F.lag("interest", k).over(v) for k in (1, 2, 3)} | {
+        "seen": F.count("*").over(group), "spread": F.max("interest").over(group) - F.min("interest").over(group),
+        "rise": F.try_divide(c("idx") - c("idx1"), c("idx1")) * 100})
+    was = {k: F.coalesce(f"i{k}", F.lit(100.0)) for k in (1, 2, 3)}
+    falls = [c("interest") < was[1], was[1] < was[2], was[2] < was[3]]
+    drift = F.greatest(F.lit(0.0), 50 - (c("interest") - F.coalesce("i1", F.lit(50.0))) / 5)
+    over = F.try_divide(c("p") - c("competitor"), c("competitor"))
+    inferred = first_match([
+        (c("p1").isNull() | c("rise").isNull(), 25.0), ((c("p") < c("p1")) & (c("rise") > 0.1), 80.0), (c("p") < c("p1"), 50.0), (c("rise") > 0.1, 35.0)], 15.0)
+    parts = {
+        "missed": 0.7 * c("shelf_gap") + first_match([((c("interest") > 60) & (c("products") < 10), 30.0), ((c("interest") > 40) & (c("products") < 20), 15.0)], 0.0),
+        "decay": F.when(falls[0] & falls[1] & falls[2], 85.0).when(falls[0] & falls[1], 60.0).when(falls[0], 35.0).otherwise(drift),
+        "thin": c("products") / 50 * 100 * F.greatest(F.lit(0.0), 1 - c("interest") / 100),
+        "threat": F.when(over > 0, 50 + over * 200).when(c("competitor").isNotNull(), F.greatest(F.lit(0.0), 25 + over * 100)).otherwise(inferred),
+        "trap": c("depth") * 2 + F.when((c("products") > 0) & (c("depth") > 15), 20.0).otherwise(0.0)}
+    x = x.withColumns({k: half_up(clamp(e)) for k, e in parts.items()})
+    x = x.withColumn("shelf_risk", half_up(clamp(0.30 * c("missed") + 0.25 * c("decay") + 0.15 * c("thin") + 0.20 * c("threat") + 0.10 * c("trap"))))
+    return x.withColumn("risk_level", first_match([(c("shelf_risk") >= 65, "HIGH"), (c("shelf_risk") >= 35, "MEDIUM")], "LOW"))
+
+
+@query(_BASE + " SELECT month, store_id, category, missed, decay, thin, threat, trap, shelf_risk, risk_level FROM s2")
+def shelf_risk(spark, sf):
+    return shelf(spark, sf).select(*KEYS, "missed", "decay", "thin", "threat", "trap", "shelf_risk", "risk_level")
+
+
+_CONF = _BASE + f""", c0 AS (SELECT *, 20.0::DOUBLE * ((interest > 0)::INT + (p IS NOT NULL)::INT + (idx IS NOT NULL)::INT + (cpi IS NOT NULL)::INT + (competitor IS NOT NULL)::INT) AS completeness,
+  CASE WHEN demand >= 50 AND shelf_risk >= 40 THEN 85 WHEN demand >= 30 AND shelf_risk >= 25 THEN 65 WHEN abs(demand - (100 - shelf_risk)) > 50 THEN 35 ELSE 50 END::DOUBLE AS agreement,
+  (31.25 * (p IS NOT NULL)::INT + 25 * (idx IS NOT NULL)::INT + 25 * (cpi IS NOT NULL)::INT + 0.1875 * CASE WHEN pulled IS NULL THEN 0 WHEN date_diff('day', pulled, month) * 24 <= 336 THEN 100 WHEN date_diff('day', pulled, month) * 24 <= 720 THEN 70 ELSE 30 END)::DOUBLE AS recency,
+  (35 * (p IS NOT NULL)::INT + 25 * (interest > 0)::INT + 25 * (idx IS NOT NULL AND cpi IS NOT NULL)::INT + 15 * (competitor IS NOT NULL)::INT)::DOUBLE AS coverage FROM s2),
+c1 AS (SELECT *, {r(cl('0.30 * completeness + 0.25 * agreement + 0.20 * recency + 0.25 * coverage'))} AS confidence FROM c0)"""
+
+
+def confident(spark, sf) -> DataFrame:
+    """How far a signal can be trusted: complete, agreeing, recent and covered."""
+    c = F.col
+    has = lambda x: F.when(x, 1.0).otherwise(0.0)
+    wanted, priced, index, consumer, rival = (
+        has(c("interest") > 0), has(c("p").isNotNull()), has(c("idx").isNotNull()), has(c("cpi").isNotNull()), has(c("competitor").isNotNull()))
+    hours = F.date_diff("month", "pulled") * 24
+    fresh = first_match([(c("pulled").isNull(), 0.0), (hours <= 336, 100.0), (hours <= 720, 70.0)], 30.0)
+    x = shelf(spark, sf).withColumns({
+        "completeness": 20 * (wanted + priced + index + consumer + rival),
+        "agreement": first_match([
+            ((c("demand") >= 50) & (c("shelf_risk") >= 40), 85.0), ((c("demand") >= 30) & (c("shelf_risk") >= 25), 65.0),
+            (F.abs(c("demand") - (100 - c("shelf_risk"))) > 50, 35.0)], 50.0),
+        "recency": 31.25 * priced + 25 * index + 25 * consumer + 0.1875 * fresh,
+        "coverage": 35 * priced + 25 * wanted + 25 * index * consumer + 15 * rival})
+    return x.withColumn("confidence", half_up(clamp(0.30 * c("completeness") + 0.25 * c("agreement") + 0.20 * c("recency") + 0.25 * c("coverage"))))
+
+
+@query(_CONF + f" SELECT month, store_id, category, completeness, agreement, {r('recency')} AS recency, coverage, confidence FROM c1")
+def confidence_layer(spark, sf):
+    return confident(spark, sf).select(*KEYS, "completeness", "agreement", half_up(F.col("recency")).alias("recency"), "coverage", "confidence")
+
+
+_READY = _CONF + f""", r0 AS (SELECT *, {cl('50 + interest - coalesce(i1, interest)')} AS momentum, {cl('seen / 52.0 * 60 + (1 - spread / 100.0) * 40')} AS intent, {r(cl('p * 100 / nullif(cpi / 2.6, 0)'))} AS place FROM c1),
+r1 AS (SELECT *, {r(cl('0.50 * demand + 0.30 * momentum + 0.20 * intent'))} AS region, {r(cl('0.40 * shelf_gap + 0.25 * place + 0.20 * (100 - margin) + 0.15 * (100 - promo_risk)'))} AS fit FROM r0),
+r2 AS (SELECT *, {r(cl('0.35 * region + 0.30 * fit + 0.20 * (100 - shelf_risk) + 0.15 * confidence'))} AS ready FROM r1)"""
+
+
+def ready(spark, sf) -> DataFrame:
+    """Readiness of a signal for expansion; unknown where the margin side is."""
+    c = F.col
+    x = confident(spark, sf).withColumns({
+        "momentum": clamp(50 + c("interest") - F.coalesce("i1", "interest")), "intent": clamp(c("seen") / 52 * 60 + (1 - c("spread") / 100) * 40),
+        "place": half_up(clamp(F.try_divide(c("p") * 100, c("cpi") / 2.6)))})
+    x = x.withColumns({
+        "region": half_up(clamp(0.50 * c("demand") + 0.30 * c("momentum") + 0.20 * c("intent"))),
+        "fit": half_up(clamp(0.40 * c("shelf_gap") + 0.25 * c("place") + 0.20 * (100 - c("margin")) + 0.15 * (100 - c("promo_risk"))))})
+    return x.withColumn("ready", half_up(clamp(0.35 * c("region") + 0.30 * c("fit") + 0.20 * (100 - c("shelf_risk")) + 0.15 * c("confidence"))))
+
+
+@query(_READY + """ SELECT month, store_id, category, region, fit, ready, CASE WHEN ready >= 70 AND confidence >= 60 AND margin < 70 THEN 'PITCH NOW' WHEN ready >= 55 AND risk_level = 'LOW' AND margin < 70 THEN 'PREPARE PITCH'
+  WHEN ready >= 55 AND risk_level = 'MEDIUM' AND margin < 70 THEN 'MONITOR AND PREPARE' WHEN decay > 60 THEN 'DEFEND FIRST' WHEN shelf_risk >= 65 THEN 'REMEDIATE RISK' WHEN confidence < 40 THEN 'COLLECT MORE DATA'
+  WHEN idx IS NULL OR cpi IS NULL THEN 'MARGIN UNKNOWN' WHEN margin >= 70 THEN 'FIX MARGINS' WHEN ready >= 40 THEN 'BUILD CASE' ELSE 'WATCH AND WAIT' END AS action,
+  CAST(row_number() OVER (PARTITION BY month ORDER BY ready DESC NULLS LAST, store_id, category) AS BIGINT) AS month_rank FROM r2""")
+def expansion_readiness(spark, sf):
+    c = F.col
+    sound = (c("ready") >= 55) & (c("margin") < 70)
+    action = first_match([
+        ((c("ready") >= 70) & (c("confidence") >= 60) & (c("margin") < 70), "PITCH NOW"), (sound & (c("risk_level") == "LOW"), "PREPARE PITCH"),
+        (sound & (c("risk_level") == "MEDIUM"), "MONITOR AND PREPARE"), (c("decay") > 60, "DEFEND FIRST"), (c("shelf_risk") >= 65, "REMEDIATE RISK"),
+        (c("confidence") < 40, "COLLECT MORE DATA"), (c("idx").isNull() | c("cpi").isNull(), "MARGIN UNKNOWN"), (c("margin") >= 70, "FIX MARGINS"),
+        (c("ready") >= 40, "BUILD CASE")], "WATCH AND WAIT")
+    order = Window.partitionBy("month").orderBy(c("ready").desc_nulls_last(), "store_id", "category")
+    return ready(spark, sf).select(*KEYS, "region", "fit", "ready", action.alias("action"), F.row_number().over(order).cast("long").alias("month_rank"))
+
+
+@query(_READY + f""", a0 AS (SELECT *, CASE WHEN p IS NULL OR confidence < 45 OR completeness < 60 THEN 'INVESTIGATE' WHEN decay > 70 OR margin > 80 THEN 'AVOID' WHEN ready > 80 AND confidence > 70 THEN 'EXPAND' WHEN threat > 70 THEN 'DEFEND'
+  WHEN ready BETWEEN 65 AND 80 AND demand > 60 THEN 'PITCH' WHEN place > 70 AND demand > 50 THEN 'REPRICE' WHEN promo_risk > 70 THEN 'CUTPROMO' WHEN confidence >= 60 AND ready < 65 THEN 'MONITOR' ELSE 'INVESTIGATE' END AS action FROM r2)
+  SELECT month, store_id, category, action, CASE WHEN action = 'AVOID' THEN 'URGENT' WHEN action IN ('EXPAND', 'DEFEND', 'PITCH') THEN 'HIGH' WHEN action IN ('REPRICE', 'CUTPROMO') THEN 'MEDIUM' ELSE 'LOW' END AS urgency,
+  {r("CASE action WHEN 'AVOID' THEN greatest(decay, margin) WHEN 'EXPAND' THEN ready WHEN 'DEFEND' THEN threat WHEN 'PITCH' THEN ready WHEN 'REPRICE' THEN place WHEN 'CUTPROMO' THEN promo_risk WHEN 'MONITOR' THEN demand ELSE confidence END")} AS driver,
+  {r(cl('0.25 * demand + 0.20 * ready + 0.20 * (100 - shelf_risk) + 0.15 * confidence + 5 + 0.10 * (100 - margin_risk)'), 1)} AS opportunity,
+  CASE WHEN confidence >= 75 AND (demand > 65 OR demand < 35 OR ready > 75 OR shelf_risk > 70) THEN 'Strong' WHEN confidence >= 55 THEN 'Moderate' ELSE 'Weak' END AS strength FROM a0""")
+def action_cascade(spark, sf):
+    """The nine ordered actions with their urgency, driving score, opportunity and strength."""
+    c = F.col
+    rules = [
+        (c("p").isNull() | (c("confidence") < 45) | (c("completeness") < 60), "INVESTIGATE"), ((c("decay") > 70) | (c("margin") > 80), "AVOID"),
+        ((c("ready") > 80) & (c("confidence") > 70), "EXPAND"), (c("threat") > 70, "DEFEND"), (c("ready").between(65, 80) & (c("demand") > 60), "PITCH"),
+        ((c("place") > 70) & (c("demand") > 50), "REPRICE"), (c("promo_risk") > 70, "CUTPROMO"), ((c("confidence") >= 60) & (c("ready") < 65), "MONITOR")]
+    x = ready(spark, sf).withColumn("action", first_match(rules, "INVESTIGATE"))
+    is_ = lambda *names: c("action").isin(*names)
+    driver = (
+        F.when(is_("AVOID"), F.greatest("decay", "margin")).when(is_("EXPAND", "PITCH"), c("ready")).when(is_("DEFEND"), c("threat")).when(is_("REPRICE"), c("place"))
+        .when(is_("CUTPROMO"), c("promo_risk")).when(is_("MONITOR"), c("demand")).otherwise(c("confidence")))
+    extreme = (c("demand") > 65) | (c("demand") < 35) | (c("ready") > 75) | (c("shelf_risk") > 70)
+    opportunity = 0.25 * c("demand") + 0.20 * c("ready") + 0.20 * (100 - c("shelf_risk")) + 0.15 * c("confidence") + 5 + 0.10 * (100 - c("margin_risk"))
+    return x.select(
+        *KEYS, "action", first_match([(is_("AVOID"), "URGENT"), (is_("EXPAND", "DEFEND", "PITCH"), "HIGH"), (is_("REPRICE", "CUTPROMO"), "MEDIUM")], "LOW").alias("urgency"),
+        half_up(driver).alias("driver"), half_up(clamp(opportunity), 1).alias("opportunity"),
+        first_match([((c("confidence") >= 75) & extreme, "Strong"), (c("confidence") >= 55, "Moderate")], "Weak").alias("strength"))

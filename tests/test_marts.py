@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from gondola.plans import marts
+from gondola.plans import marts, readiness  # noqa: F401  readiness registers its queries
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
