@@ -326,5 +326,7 @@ def with_starts(index: DataFrame, found: DataFrame) -> DataFrame:
     shard0 = index.select("part", "shard", F.coalesce(F.sum("tokens").over(inside), F.lit(0)).alias("shard0"))
     run = Window.partitionBy("part", "shard").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     own = found.withColumn("own0", F.coalesce(F.sum("n_tokens").over(run), F.lit(0)))
-    return own.join(shard0.join(part0, "part"), ["part", "shard"]).withColumn(
+    # estimates for what Python reads come from the small index: without the hint, all documents would be broadcast
+    places = shard0.join(part0.hint("merge"), "part").hint("merge")
+    return own.join(places, ["part", "shard"]).withColumn(
         "start", (F.col("part0") + F.col("shard0") + F.col("own0")).cast("long"))
