@@ -275,10 +275,11 @@ def weekly_price_fact(spark, sf):
     return weekly(spark, sf).select("store_id", "category", "month", half_up(F.col("price")).alias("price"), "n", "cv", "pulled", half_up(F.col("competitor")).alias("competitor"), "gap", "band", "position", "reliability")
 
 
-_ISLANDS = _WEEKLY + f""", l AS (SELECT *, lag(position) OVER w AS prev, lag(gap) OVER w AS prev_gap, count(*) OVER (PARTITION BY store_id, category) AS seen FROM fact WINDOW w AS (PARTITION BY store_id, category ORDER BY month)),
+_RUNS = f""", l AS (SELECT *, lag(position) OVER w AS prev, lag(gap) OVER w AS prev_gap, count(*) OVER (PARTITION BY store_id, category) AS seen FROM fact WINDOW w AS (PARTITION BY store_id, category ORDER BY month)),
 ch AS (SELECT *, CASE WHEN prev IS NULL OR prev = 'Unknown' OR position = 'Unknown' OR prev <> position THEN 1 ELSE 0 END AS change FROM l),
 isl AS (SELECT *, sum(change) OVER (PARTITION BY store_id, category ORDER BY month ROWS UNBOUNDED PRECEDING) AS island FROM ch),
 run AS (SELECT *, row_number() OVER (PARTITION BY store_id, category, island ORDER BY month) AS run_length FROM isl)"""
+_ISLANDS = _WEEKLY + _RUNS
 
 
 def temporal(spark, sf) -> DataFrame:
@@ -311,49 +312,64 @@ def weekly_events(spark, sf):
 
 _SCORES = f""", d AS (SELECT month, store_id, category, count(DISTINCT product_id) AS products, avg((price - coalesce(promo, price)) / nullif(price, 0)) * 100 AS depth, avg(price) AS p, count_if(promo IS NOT NULL) / count(*)::DOUBLE AS frac FROM retail GROUP BY ALL),
 ip AS (SELECT month, value AS idx, lag(value, 3) OVER (ORDER BY month) AS idx3, lag(value) OVER (ORDER BY month) AS idx1 FROM ppi WHERE series_id = '1-URGENT' AND month(month) <> 7),
-b AS (SELECT d.*, lag(p) OVER (PARTITION BY store_id, category ORDER BY d.month) AS p1, idx, idx1, idx3, (month(d.month) * 7 + store_id * 3) % 101 AS interest FROM d LEFT JOIN ip ON d.month = ip.month),
-g AS (SELECT *, {cl('interest * (50.0 / nullif(products, 0))')} AS shelf_gap, {cl('interest * greatest(0.0, 1 - products / 50.0)')} AS phantom,
+ci AS (SELECT month, value AS cpi, lag(value) OVER (ORDER BY month) AS cpi1 FROM ppi WHERE series_id = '2-HIGH' AND month(month) <> 5),
+b AS (SELECT d.*, idx, idx1, idx3, cpi, (month(d.month) * 7 + store_id * 3) % 101 * 1.0::DOUBLE AS interest, (idx - idx1) / nullif(idx1, 0) * 100 AS rise, (cpi - cpi1) / nullif(cpi1, 0) * 100 AS cpi_rise FROM d LEFT JOIN ip ON d.month = ip.month LEFT JOIN ci ON d.month = ci.month),
+h AS (SELECT *, lag(p) OVER v AS p1, lag(p, 3) OVER v AS p3, lag(interest) OVER v AS i1, lag(interest, 2) OVER v AS i2, lag(interest, 3) OVER v AS i3, count(*) OVER u AS seen, max(interest) OVER u - min(interest) OVER u AS spread
+  FROM b WINDOW v AS (PARTITION BY store_id, category ORDER BY month), u AS (PARTITION BY store_id, category)),
+k AS (SELECT *, {cl('50 + 2 * (interest - i1)')} AS drive, {cl('50 + rise')} AS ppi_score, {cl('50 + cpi_rise')} AS cpi_score FROM h),
+g AS (SELECT *, {cl('interest * (50.0 / nullif(products, 0))')} AS shelf_gap, {cl('interest * greatest(0.0, 1 - products / 50.0)')} AS phantom, {cl('seen / 52.0 * 60 + (1 - spread / 100.0) * 40')} AS intent,
+  CASE WHEN idx IS NULL OR cpi IS NULL THEN {cl('coalesce(drive, 50)')} ELSE {cl('coalesce(drive, 50) * 0.8 + (coalesce(cpi_score, 50) + coalesce(ppi_score, 50)) / 2 * 0.2')} END AS momentum, {cl('p * 100 / nullif(cpi / 2.6, 0)')} AS place,
   CASE WHEN idx IS NULL THEN NULL ELSE {cl('(idx - coalesce(idx3, idx)) / nullif(coalesce(idx3, 100), 0) * 500')} END AS cost_shock, {cl('coalesce(frac, 0) * 80 + coalesce(depth, 0)')} AS promo_risk,
-  CASE WHEN p IS NULL THEN 30 WHEN idx IS NULL THEN NULL WHEN p1 IS NULL THEN 50 WHEN p < p1 AND (idx - coalesce(idx1, idx)) / nullif(coalesce(idx1, idx), 0) * 100 > 0.1 THEN 80 WHEN p < p1 THEN 55
-    WHEN (idx - coalesce(idx1, idx)) / nullif(coalesce(idx1, idx), 0) * 100 > 0.1 THEN 40 ELSE greatest(0.0, 30 - (p - p1) / nullif(p1, 0) * 100 * 7.5) END::DOUBLE AS margin FROM b),
-sc AS (SELECT *, {r(cl('0.55 * shelf_gap + 0.15 * coalesce(phantom, 0) + 0.30 * interest'))} AS demand, {r(cl('0.55 * margin + 0.25 * cost_shock + 0.20 * promo_risk'))} AS risk FROM g)"""
+  coalesce((coalesce(p, 0) - coalesce(p3, p, 0)) / nullif(abs(coalesce(idx, 0) - coalesce(idx3, idx, 0)), 0) * 100, 0) AS passthrough,
+  CASE WHEN p IS NULL THEN 30 WHEN idx IS NULL THEN NULL WHEN p1 IS NULL THEN 50 WHEN p < p1 AND coalesce(rise, 0) > 0.1 THEN 80 WHEN p < p1 THEN 55
+    WHEN coalesce(rise, 0) > 0.1 THEN 40 ELSE greatest(0.0, 30 - (p - p1) / nullif(p1, 0) * 100 * 7.5) END::DOUBLE AS margin FROM k),
+sc AS (SELECT *, {r(cl('0.25 * momentum + 0.40 * shelf_gap + 0.15 * coalesce(phantom, 0) + 0.20 * intent'))} AS demand, {r(cl('0.40 * margin + 0.25 * cost_shock + 0.20 * promo_risk + 0.15 * (100 - place)'))} AS risk FROM g)"""
 
 
 def scores(spark, sf) -> DataFrame:
     """Signal grain: demand and margin scores; an absent index keeps the margin side unknown."""
-    x = retail(spark, sf)
+    x, c = retail(spark, sf), F.col
     d = x.groupBy("month", "store_id", "category").agg(
-        F.count_distinct("product_id").alias("products"), (F.avg(F.try_divide(F.col("price") - F.coalesce("promo", "price"), F.col("price"))) * 100).alias("depth"),
-        F.avg("price").alias("p"), (F.count_if(F.col("promo").isNotNull()) / F.count("*")).cast("double").alias("frac"))
+        F.count_distinct("product_id").alias("products"), (F.avg(F.try_divide(c("price") - F.coalesce("promo", "price"), c("price"))) * 100).alias("depth"),
+        F.avg("price").alias("p"), (F.count_if(c("promo").isNotNull()) / F.count("*")).cast("double").alias("frac"))
     m = Window.orderBy("month")  # one row a month
-    ip = producer_index(spark, sf).where((F.col("series_id") == "1-URGENT") & (F.month("month") != 7)).select("month", F.col("value").alias("idx"), F.lag("value", 3).over(m).alias("idx3"), F.lag("value").over(m).alias("idx1"))
-    b = d.join(F.broadcast(ip), "month", "left").withColumns({
-        "p1": F.lag("p").over(Window.partitionBy("store_id", "category").orderBy("month")),
-        "interest": ((F.month("month") * 7 + F.col("store_id") * 3) % 101).cast("double")})
-    old = F.coalesce("idx1", "idx")
-    rise = F.try_divide(F.col("idx") - old, old) * 100
-    mom = F.try_divide(F.col("p") - F.col("p1"), F.col("p1")) * 100
+    index = producer_index(spark, sf)
+    ip = index.where((c("series_id") == "1-URGENT") & (F.month("month") != 7)).select("month", c("value").alias("idx"), F.lag("value", 3).over(m).alias("idx3"), F.lag("value").over(m).alias("idx1"))
+    ci = index.where((c("series_id") == "2-HIGH") & (F.month("month") != 5)).select("month", c("value").alias("cpi"), F.lag("value").over(m).alias("cpi1"))
+    group = Window.partitionBy("store_id", "category")
+    v = group.orderBy("month")
+    change = lambda a, b: F.try_divide(c(a) - c(b), c(b)) * 100
+    b = d.join(F.broadcast(ip), "month", "left").join(F.broadcast(ci), "month", "left").withColumns({
+        "interest": ((F.month("month") * 7 + c("store_id") * 3) % 101).cast("double"), "rise": change("idx", "idx1"), "cpi_rise": change("cpi", "cpi1")})
+    h = b.withColumns({f"i{k}": F.lag("interest", k).over(v) for k in (1, 2, 3)} | {
+        "p1": F.lag("p").over(v), "p3": F.lag("p", 3).over(v), "seen": F.count("*").over(group), "spread": F.max("interest").over(group) - F.min("interest").over(group)})
+    i, zero, half = c("interest"), F.lit(0.0), F.lit(50.0)
+    up = F.coalesce("rise", zero) > 0.1
     margin = (
-        F.when(F.col("p").isNull(), 30.0).when(F.col("idx").isNull(), None).when(F.col("p1").isNull(), 50.0).when((F.col("p") < F.col("p1")) & (rise > 0.1), 80.0)
-        .when(F.col("p") < F.col("p1"), 55.0).when(rise > 0.1, 40.0).otherwise(F.greatest(F.lit(0.0), 30 - mom * 7.5)))
-    i = F.col("interest")
-    base = F.coalesce("idx3", F.lit(100.0))
-    g = b.withColumns({
-        "shelf_gap": clamp(i * F.try_divide(F.lit(50.0), F.col("products").cast("double"))), "phantom": clamp(i * F.greatest(F.lit(0.0), 1 - F.col("products") / 50.0)),
-        "cost_shock": clamp(F.try_divide(F.col("idx") - F.coalesce("idx3", "idx"), base) * 500), "promo_risk": clamp(F.coalesce("frac", F.lit(0.0)) * 80 + F.coalesce("depth", F.lit(0.0))), "margin": margin})
+        F.when(c("p").isNull(), 30.0).when(c("idx").isNull(), None).when(c("p1").isNull(), 50.0).when((c("p") < c("p1")) & up, 80.0)
+        .when(c("p") < c("p1"), 55.0).when(up, 40.0).otherwise(F.greatest(zero, 30 - change("p", "p1") * 7.5)))
+    drive = F.coalesce(clamp(50 + 2 * (i - c("i1"))), half)
+    macro = (F.coalesce(clamp(50 + c("cpi_rise")), half) + F.coalesce(clamp(50 + c("rise")), half)) / 2
+    moved = F.abs(F.coalesce("idx", zero) - F.coalesce("idx3", "idx", zero))
+    g = h.withColumns({
+        "shelf_gap": clamp(i * F.try_divide(half, c("products").cast("double"))), "phantom": clamp(i * F.greatest(zero, 1 - c("products") / 50.0)),
+        "intent": clamp(c("seen") / 52 * 60 + (1 - c("spread") / 100) * 40), "momentum": F.when(c("idx").isNull() | c("cpi").isNull(), clamp(drive)).otherwise(clamp(drive * 0.8 + macro * 0.2)),
+        "place": clamp(F.try_divide(c("p") * 100, c("cpi") / 2.6)), "cost_shock": clamp(F.try_divide(c("idx") - F.coalesce("idx3", "idx"), F.coalesce("idx3", F.lit(100.0))) * 500),
+        "promo_risk": clamp(F.coalesce("frac", zero) * 80 + F.coalesce("depth", zero)), "margin": margin,
+        "passthrough": F.coalesce(F.try_divide(F.coalesce("p", zero) - F.coalesce("p3", "p", zero), moved) * 100, zero)})
     return g.withColumns({
-        "demand": half_up(clamp(0.55 * F.col("shelf_gap") + 0.15 * F.coalesce("phantom", F.lit(0.0)) + 0.30 * i)),
-        "risk": half_up(clamp(0.55 * F.col("margin") + 0.25 * F.col("cost_shock") + 0.20 * F.col("promo_risk")))})
+        "demand": half_up(clamp(0.25 * c("momentum") + 0.40 * c("shelf_gap") + 0.15 * F.coalesce("phantom", zero) + 0.20 * c("intent"))),
+        "risk": half_up(clamp(0.40 * c("margin") + 0.25 * c("cost_shock") + 0.20 * c("promo_risk") + 0.15 * (100 - c("place"))))})
 
 
-@query(_SCORES + f" SELECT month, store_id, category, products, {r('depth', 6)} AS promo_depth, {r('shelf_gap')} AS shelf_gap, {r('phantom')} AS phantom, demand FROM sc")
+@query(_SCORES + f" SELECT month, store_id, category, products, {r('depth', 6)} AS promo_depth, {r('shelf_gap')} AS shelf_gap, {r('phantom')} AS phantom, {r('momentum')} AS momentum, {r('intent')} AS intent, demand FROM sc")
 def demand_gap(spark, sf):
-    return scores(spark, sf).select("month", "store_id", "category", "products", half_up(F.col("depth"), 6).alias("promo_depth"), half_up(F.col("shelf_gap")).alias("shelf_gap"), half_up(F.col("phantom")).alias("phantom"), "demand")
+    return scores(spark, sf).select("month", "store_id", "category", "products", half_up(F.col("depth"), 6).alias("promo_depth"), half_up(F.col("shelf_gap")).alias("shelf_gap"), *[half_up(F.col(k)).alias(k) for k in ("phantom", "momentum", "intent")], "demand")
 
 
-@query(_SCORES + f" SELECT month, store_id, category, {r('cost_shock')} AS cost_shock, {r('promo_risk')} AS promo_risk, {r('margin')} AS margin_pressure, risk FROM sc")
+@query(_SCORES + f" SELECT month, store_id, category, {r('cost_shock')} AS cost_shock, {r('promo_risk')} AS promo_risk, {r('margin')} AS margin_pressure, {r('place')} AS price_position, {r('passthrough')} AS passthrough, risk FROM sc")
 def price_margin(spark, sf):
-    return scores(spark, sf).select("month", "store_id", "category", half_up(F.col("cost_shock")).alias("cost_shock"), half_up(F.col("promo_risk")).alias("promo_risk"), half_up(F.col("margin")).alias("margin_pressure"), "risk")
+    return scores(spark, sf).select("month", "store_id", "category", half_up(F.col("cost_shock")).alias("cost_shock"), half_up(F.col("promo_risk")).alias("promo_risk"), half_up(F.col("margin")).alias("margin_pressure"), half_up(F.col("place")).alias("price_position"), half_up(F.col("passthrough")).alias("passthrough"), "risk")
 
 
 _QUEUE = _SCORES + """, q AS (SELECT month, store_id, category, demand, risk, CASE WHEN risk IS NULL THEN 'INVESTIGATE' WHEN risk > 60 THEN 'AVOID' WHEN demand > 80 THEN 'EXPAND' WHEN demand > 60 THEN 'PITCH' WHEN promo_risk > 45 THEN 'CUTPROMO' WHEN demand >= 20 THEN 'MONITOR' ELSE 'INVESTIGATE' END AS action FROM sc)"""

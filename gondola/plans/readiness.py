@@ -16,15 +16,10 @@ from pyspark.sql import functions as F
 
 from gondola.functions.exprs import clamp, first_match, half_up
 from gondola.plans.marts import _SCORES, _WEEKLY, cl, query, r, scores, weekly
-from gondola.sources.tables import producer_index
 
 KEYS = ["month", "store_id", "category"]
 
-_BASE = _WEEKLY + _SCORES + f""", ci AS (SELECT month, value AS cpi FROM ppi WHERE series_id = '2-HIGH' AND month(month) <> 5),
-b0 AS (SELECT sc.month, sc.store_id, sc.category, products, sc.interest::DOUBLE AS interest, depth, p, p1, idx, idx1, cpi, shelf_gap, sc.promo_risk, margin, demand, sc.risk AS margin_risk, competitor, pulled
-  FROM sc LEFT JOIN fact ON sc.month = fact.month AND sc.store_id = fact.store_id AND sc.category = fact.category LEFT JOIN ci ON sc.month = ci.month),
-b1 AS (SELECT *, lag(interest) OVER v AS i1, lag(interest, 2) OVER v AS i2, lag(interest, 3) OVER v AS i3, count(*) OVER u AS seen, max(interest) OVER u - min(interest) OVER u AS spread,
-  (idx - idx1) / nullif(idx1, 0) * 100 AS rise FROM b0 WINDOW v AS (PARTITION BY store_id, category ORDER BY month), u AS (PARTITION BY store_id, category)),
+_BASE = _WEEKLY + _SCORES + f""", b1 AS (SELECT sc.* EXCLUDE (risk), sc.risk AS margin_risk, competitor, pulled FROM sc LEFT JOIN fact ON sc.month = fact.month AND sc.store_id = fact.store_id AND sc.category = fact.category),
 s0 AS (SELECT *, {r(cl('0.7 * shelf_gap + CASE WHEN interest > 60 AND products < 10 THEN 30 WHEN interest > 40 AND products < 20 THEN 15 ELSE 0 END'))} AS missed,
   {r(cl('CASE WHEN interest >= coalesce(i1, 100) THEN greatest(0.0, 50 - (interest - coalesce(i1, 50)) / 5.0) WHEN coalesce(i1, 100) >= coalesce(i2, 100) THEN 35 WHEN coalesce(i2, 100) >= coalesce(i3, 100) THEN 60 ELSE 85 END'))} AS decay,
   {r(cl('products / 50.0 * 100 * greatest(0.0, 1 - interest / 100.0)'))} AS thin,
@@ -36,14 +31,8 @@ s2 AS (SELECT *, CASE WHEN shelf_risk >= 65 THEN 'HIGH' WHEN shelf_risk >= 35 TH
 
 def shelf(spark, sf) -> DataFrame:
     """Scores joined with the price fact, and the five risks of a shelf."""
-    month_index = producer_index(spark, sf).where((F.col("series_id") == "2-HIGH") & (F.month("month") != 5)).select("month", F.col("value").alias("cpi"))
     facts = weekly(spark, sf).select(*KEYS, "competitor", "pulled")
-    x = scores(spark, sf).withColumnRenamed("risk", "margin_risk").join(facts, KEYS, "left").join(month_index, "month", "left")
-    group = Window.partitionBy("store_id", "category")
-    v, c = group.orderBy("month"), F.col
-    x = x.withColumns({f"i{k}": F.lag("interest", k).over(v) for k in (1, 2, 3)} | {
-        "seen": F.count("*").over(group), "spread": F.max("interest").over(group) - F.min("interest").over(group),
-        "rise": F.try_divide(c("idx") - c("idx1"), c("idx1")) * 100})
+    x, c = scores(spark, sf).withColumnRenamed("risk", "margin_risk").join(facts, KEYS, "left"), F.col
     was = {k: F.coalesce(f"i{k}", F.lit(100.0)) for k in (1, 2, 3)}
     falls = [c("interest") < was[1], was[1] < was[2], was[2] < was[3]]
     drift = F.greatest(F.lit(0.0), 50 - (c("interest") - F.coalesce("i1", F.lit(50.0))) / 5)
@@ -96,7 +85,7 @@ def confidence_layer(spark, sf):
     return confident(spark, sf).select(*KEYS, "completeness", "agreement", half_up(F.col("recency")).alias("recency"), "coverage", "confidence")
 
 
-_READY = _CONF + f""", r0 AS (SELECT *, {cl('50 + interest - coalesce(i1, interest)')} AS momentum, {cl('seen / 52.0 * 60 + (1 - spread / 100.0) * 40')} AS intent, {r(cl('p * 100 / nullif(cpi / 2.6, 0)'))} AS place FROM c1),
+_READY = _CONF + f""", r0 AS (SELECT * EXCLUDE (place), {r('place')} AS place FROM c1),
 r1 AS (SELECT *, {r(cl('0.50 * demand + 0.30 * momentum + 0.20 * intent'))} AS region, {r(cl('0.40 * shelf_gap + 0.25 * place + 0.20 * (100 - margin) + 0.15 * (100 - promo_risk)'))} AS fit FROM r0),
 r2 AS (SELECT *, {r(cl('0.35 * region + 0.30 * fit + 0.20 * (100 - shelf_risk) + 0.15 * confidence'))} AS ready FROM r1)"""
 
@@ -104,9 +93,7 @@ r2 AS (SELECT *, {r(cl('0.35 * region + 0.30 * fit + 0.20 * (100 - shelf_risk) +
 def ready(spark, sf) -> DataFrame:
     """Readiness of a signal for expansion; unknown where the margin side is."""
     c = F.col
-    x = confident(spark, sf).withColumns({
-        "momentum": clamp(50 + c("interest") - F.coalesce("i1", "interest")), "intent": clamp(c("seen") / 52 * 60 + (1 - c("spread") / 100) * 40),
-        "place": half_up(clamp(F.try_divide(c("p") * 100, c("cpi") / 2.6)))})
+    x = confident(spark, sf).withColumn("place", half_up(c("place")))
     x = x.withColumns({
         "region": half_up(clamp(0.50 * c("demand") + 0.30 * c("momentum") + 0.20 * c("intent"))),
         "fit": half_up(clamp(0.40 * c("shelf_gap") + 0.25 * c("place") + 0.20 * (100 - c("margin")) + 0.15 * (100 - c("promo_risk"))))})
