@@ -21,6 +21,20 @@ class Thresholds:
     move_limit: float = 50.0
     streak: int = 3
     saturation: float = 15.0
+    demand_high: float = 65.0
+    demand_medium: float = 45.0
+    safe_full: float = 60.0
+    safe_least: float = 40.0
+    margin_avoid: float = 80.0
+    margin_raise: float = 65.0
+    support_hold: float = 70.0
+    support_strong: float = 75.0
+    threat_protect: float = 70.0
+    cut_gap: float = 10.0
+    stale_days: int = 14
+    smoothing: float = 15.0
+    trusted: float = 45.0
+    persistent_run: int = 4
 
 
 T = Thresholds()

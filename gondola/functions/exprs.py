@@ -6,7 +6,7 @@ skip nulls; clamp() therefore checks first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,13 @@ def html_text(html: Column) -> Column:
     for tag in ("script", "style", "nav", "header", "footer"):
         out = F.regexp_replace(out, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"\s+", " "))
+
+
+def kept(df: DataFrame, predicate: Column) -> DataFrame:
+    """df.where(predicate) for predicates on deep cascades: rows pass a generator instead of a filter.
+
+    A filter would be pushed below the projections and repeat their expressions, whose
+    size then grows with each level until code generation fails.
+    """
+    row = F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.select(F.explode(F.when(predicate, row)).alias("_row")).select("_row.*")

@@ -372,38 +372,6 @@ def price_margin(spark, sf):
     return scores(spark, sf).select("month", "store_id", "category", half_up(F.col("cost_shock")).alias("cost_shock"), half_up(F.col("promo_risk")).alias("promo_risk"), half_up(F.col("margin")).alias("margin_pressure"), half_up(F.col("place")).alias("price_position"), half_up(F.col("passthrough")).alias("passthrough"), "risk")
 
 
-_QUEUE = _SCORES + """, q AS (SELECT month, store_id, category, demand, risk, CASE WHEN risk IS NULL THEN 'INVESTIGATE' WHEN risk > 60 THEN 'AVOID' WHEN demand > 80 THEN 'EXPAND' WHEN demand > 60 THEN 'PITCH' WHEN promo_risk > 45 THEN 'CUTPROMO' WHEN demand >= 20 THEN 'MONITOR' ELSE 'INVESTIGATE' END AS action FROM sc)"""
-
-
-def queue(spark, sf) -> DataFrame:
-    d, k = F.col("demand"), F.col("risk")
-    rules = [(k.isNull(), "INVESTIGATE"), (k > 60, "AVOID"), (d > 80, "EXPAND"), (d > 60, "PITCH"), (F.col("promo_risk") > 45, "CUTPROMO"), (d >= 20, "MONITOR")]
-    return scores(spark, sf).select("month", "store_id", "category", "demand", "risk", first_match(rules, "INVESTIGATE").alias("action"))
-
-
-@query(_QUEUE + " SELECT *, CAST(row_number() OVER (PARTITION BY month ORDER BY CASE action WHEN 'AVOID' THEN 1 WHEN 'EXPAND' THEN 2 WHEN 'PITCH' THEN 3 WHEN 'CUTPROMO' THEN 4 WHEN 'MONITOR' THEN 5 ELSE 6 END, demand DESC NULLS LAST, store_id, category) AS BIGINT) AS priority FROM q")
-def action_queue(spark, sf):
-    order = first_match([(F.col("action") == a, k) for k, a in enumerate(("AVOID", "EXPAND", "PITCH", "CUTPROMO", "MONITOR"), 1)], 6)
-    w = Window.partitionBy("month").orderBy(order, F.col("demand").desc_nulls_last(), "store_id", "category")
-    return queue(spark, sf).withColumn("priority", F.row_number().over(w).cast("long"))
-
-
-@query(_QUEUE + " SELECT month, store_id, category, action, demand FROM q WHERE action NOT IN ('MONITOR', 'INVESTIGATE') ORDER BY demand DESC, month, store_id, category LIMIT 5")
-def topk_actions(spark, sf):
-    return queue(spark, sf).where(~F.col("action").isin("MONITOR", "INVESTIGATE")).orderBy(F.desc("demand"), "month", "store_id", "category").limit(5).select("month", "store_id", "category", "action", "demand")
-
-
-@query(_QUEUE + f" SELECT store_id, {r('avg(demand)')} AS demand, {r('avg(100 - risk)')} AS safety, count_if(action = 'AVOID') AS avoid FROM q GROUP BY store_id")
-def store_health(spark, sf):
-    return queue(spark, sf).groupBy("store_id").agg(half_up(F.avg("demand")).alias("demand"), half_up(F.avg(100 - F.col("risk"))).alias("safety"), F.count_if(F.col("action") == "AVOID").alias("avoid"))
-
-
-@query(_QUEUE + " SELECT list_filter([CASE WHEN demand > 60 THEN 'HIGH_DEMAND' END, CASE WHEN risk > 50 THEN 'MARGIN_RISK' END, CASE WHEN risk IS NULL THEN 'NO_MACRO' END], lambda x: x IS NOT NULL)::VARCHAR AS reason_codes, count(*) AS n FROM q GROUP BY ALL")
-def reason_codes(spark, sf):
-    codes = F.array_compact(F.array(F.when(F.col("demand") > 60, "HIGH_DEMAND"), F.when(F.col("risk") > 50, "MARGIN_RISK"), F.when(F.col("risk").isNull(), "NO_MACRO")))
-    return queue(spark, sf).groupBy(codes.cast("string").alias("reason_codes")).agg(F.count("*").alias("n"))
-
-
 # --- text, documents, vectors ---------------------------------------------------------------------
 
 _SIZE = """SELECT p_partkey AS part, CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN p_size || ' fl oz' WHEN 1 THEN '24 bottles / ' || p_size || ' oz' WHEN 2 THEN p_size || ' L' WHEN 3 THEN '8 oz / ' || p_size || ' oz' WHEN 4 THEN p_size || 'ct' WHEN 5 THEN '' ELSE p_size || ' dozen' END AS raw FROM part"""

@@ -116,13 +116,15 @@ def expansion_readiness(spark, sf):
     return ready(spark, sf).select(*KEYS, "region", "fit", "ready", action.alias("action"), F.row_number().over(order).cast("long").alias("month_rank"))
 
 
-@query(_READY + f""", a0 AS (SELECT *, CASE WHEN p IS NULL OR confidence < 45 OR completeness < 60 THEN 'INVESTIGATE' WHEN decay > 70 OR margin > 80 THEN 'AVOID' WHEN ready > 80 AND confidence > 70 THEN 'EXPAND' WHEN threat > 70 THEN 'DEFEND'
-  WHEN ready BETWEEN 65 AND 80 AND demand > 60 THEN 'PITCH' WHEN place > 70 AND demand > 50 THEN 'REPRICE' WHEN promo_risk > 70 THEN 'CUTPROMO' WHEN confidence >= 60 AND ready < 65 THEN 'MONITOR' ELSE 'INVESTIGATE' END AS action FROM r2)
-  SELECT month, store_id, category, action, CASE WHEN action = 'AVOID' THEN 'URGENT' WHEN action IN ('EXPAND', 'DEFEND', 'PITCH') THEN 'HIGH' WHEN action IN ('REPRICE', 'CUTPROMO') THEN 'MEDIUM' ELSE 'LOW' END AS urgency,
+_ACTIONS = _READY + f""", a0 AS (SELECT *, CASE WHEN p IS NULL OR confidence < 45 OR completeness < 60 THEN 'INVESTIGATE' WHEN decay > 70 OR margin > 80 THEN 'AVOID' WHEN ready > 80 AND confidence > 70 THEN 'EXPAND' WHEN threat > 70 THEN 'DEFEND'
+  WHEN ready BETWEEN 65 AND 80 AND demand > 60 THEN 'PITCH' WHEN place > 70 AND demand > 50 THEN 'REPRICE' WHEN promo_risk > 70 THEN 'CUTPROMO' WHEN confidence >= 60 AND ready < 65 THEN 'MONITOR' ELSE 'INVESTIGATE' END AS action FROM r2),
+a1 AS (SELECT *, CASE WHEN action = 'AVOID' THEN 'URGENT' WHEN action IN ('EXPAND', 'DEFEND', 'PITCH') THEN 'HIGH' WHEN action IN ('REPRICE', 'CUTPROMO') THEN 'MEDIUM' ELSE 'LOW' END AS urgency,
   {r("CASE action WHEN 'AVOID' THEN greatest(decay, margin) WHEN 'EXPAND' THEN ready WHEN 'DEFEND' THEN threat WHEN 'PITCH' THEN ready WHEN 'REPRICE' THEN place WHEN 'CUTPROMO' THEN promo_risk WHEN 'MONITOR' THEN demand ELSE confidence END")} AS driver,
   {r(cl('0.25 * demand + 0.20 * ready + 0.20 * (100 - shelf_risk) + 0.15 * confidence + 5 + 0.10 * (100 - margin_risk)'), 1)} AS opportunity,
-  CASE WHEN confidence >= 75 AND (demand > 65 OR demand < 35 OR ready > 75 OR shelf_risk > 70) THEN 'Strong' WHEN confidence >= 55 THEN 'Moderate' ELSE 'Weak' END AS strength FROM a0""")
-def action_cascade(spark, sf):
+  CASE WHEN confidence >= 75 AND (demand > 65 OR demand < 35 OR ready > 75 OR shelf_risk > 70) THEN 'Strong' WHEN confidence >= 55 THEN 'Moderate' ELSE 'Weak' END AS strength FROM a0)"""
+
+
+def acted(spark, sf) -> DataFrame:
     """The nine ordered actions with their urgency, driving score, opportunity and strength."""
     c = F.col
     rules = [
@@ -136,7 +138,12 @@ def action_cascade(spark, sf):
         .when(is_("CUTPROMO"), c("promo_risk")).when(is_("MONITOR"), c("demand")).otherwise(c("confidence")))
     extreme = (c("demand") > 65) | (c("demand") < 35) | (c("ready") > 75) | (c("shelf_risk") > 70)
     opportunity = 0.25 * c("demand") + 0.20 * c("ready") + 0.20 * (100 - c("shelf_risk")) + 0.15 * c("confidence") + 5 + 0.10 * (100 - c("margin_risk"))
-    return x.select(
-        *KEYS, "action", first_match([(is_("AVOID"), "URGENT"), (is_("EXPAND", "DEFEND", "PITCH"), "HIGH"), (is_("REPRICE", "CUTPROMO"), "MEDIUM")], "LOW").alias("urgency"),
-        half_up(driver).alias("driver"), half_up(clamp(opportunity), 1).alias("opportunity"),
-        first_match([((c("confidence") >= 75) & extreme, "Strong"), (c("confidence") >= 55, "Moderate")], "Weak").alias("strength"))
+    return x.withColumns({
+        "urgency": first_match([(is_("AVOID"), "URGENT"), (is_("EXPAND", "DEFEND", "PITCH"), "HIGH"), (is_("REPRICE", "CUTPROMO"), "MEDIUM")], "LOW"),
+        "driver": half_up(driver), "opportunity": half_up(clamp(opportunity), 1),
+        "strength": first_match([((c("confidence") >= 75) & extreme, "Strong"), (c("confidence") >= 55, "Moderate")], "Weak")})
+
+
+@query(_ACTIONS + " SELECT month, store_id, category, action, urgency, driver, opportunity, strength FROM a1")
+def action_cascade(spark, sf):
+    return acted(spark, sf).select(*KEYS, "action", "urgency", "driver", "opportunity", "strength")

@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Stand-ins: part types as shelf categories.
+SHELF = {"ECONOMY": "household", "LARGE": "dairy", "MEDIUM": "snacks", "PROMO": "beverages", "SMALL": "coffee tea", "STANDARD": "meat seafood"}
+
+#: Price sensitivity and premium prior of a category, and how far a rival's price bears on it.
+SENSITIVITY = {
+    "beverages": ("Low", 70), "snacks": ("Medium", 55), "dairy": ("High", 30), "frozen foods": ("High", 35), "breakfast cereal": ("Medium", 55),
+    "meat seafood": ("High", 30), "produce": ("High", 25), "personal care": ("Low", 75), "household": ("High", 35), "coffee tea": ("Low", 80)}
+RELEVANCE = {
+    "household": "High", "produce": "High", "dairy": "High", "frozen foods": "High", "breakfast cereal": "Medium", "snacks": "Medium",
+    "beverages": "Low", "coffee tea": "Low", "personal care": "Low", "meat seafood": "Low"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
