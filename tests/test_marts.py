@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from gondola.plans import marts, serving  # noqa: F401  serving registers the queries of the later marts
+from gondola.plans import marts, validation  # noqa: F401  validation imports all other plans
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
