@@ -252,12 +252,21 @@ fact AS (SELECT *, CASE WHEN gap IS NULL THEN 'Unknown' WHEN gap > band THEN 'Ov
   CASE WHEN gap IS NULL THEN 'Unknown' WHEN n < {T.least_products} OR abs(gap) > {T.gap_low} THEN 'Low' WHEN abs(gap) > {T.gap_medium} THEN 'Medium' ELSE 'High' END AS reliability FROM w)"""
 
 
+#: Stand-ins for the brands of a retailer: how descriptions start.
+OWN_BRANDS = ("red", "blue")
+
+
 def weekly(spark, sf) -> DataFrame:
     """Store x category x month: median price, carried competitor price, gap, band, position, reliability."""
     x = retail(spark, sf)
     med = x.groupBy("category", "month").agg(F.percentile_approx("price", 0.5, 10000).alias("m"))
     kept = x.join(med, ["category", "month"]).where(F.col("price") <= T.outlier_multiple * F.col("m"))
-    own = kept.groupBy("store_id", "category", "month").agg(F.percentile_approx("price", 0.5, 10000).alias("price"), F.count("*").alias("n"))
+    share = lambda p: half_up((F.count_if(p) / F.count("*")).cast("double"), 3)
+    branded = F.col("description").startswith(OWN_BRANDS[0]) | F.col("description").startswith(OWN_BRANDS[1])
+    # the last three are pruned where nobody reads them
+    own = kept.groupBy("store_id", "category", "month").agg(
+        F.percentile_approx("price", 0.5, 10000).alias("price"), F.count("*").alias("n"), share(branded).alias("own_brand"),
+        share(F.col("promo") < F.col("price")).alias("promo_share"), F.percentile_approx(F.coalesce("promo", "price"), 0.5, 10000).alias("paid"))
     cv = kept.groupBy("category", "month").agg(half_up(F.try_divide(F.stddev_samp("price"), F.avg("price")) * 100, 1).alias("cv"))
     comp = x.where((F.col("flag") == "R") & (F.month("month") % 4 == 1)).groupBy("category", F.col("month").alias("pulled")).agg(F.percentile_approx("list_price", 0.5, 10000).alias("competitor"))
     carried = asof(cv.select("category", "month"), comp, "month", "pulled", ["category"], ["competitor"]).where("pulled is not null")

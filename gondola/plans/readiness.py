@@ -29,9 +29,10 @@ s1 AS (SELECT *, {r(cl('0.30 * missed + 0.25 * decay + 0.15 * thin + 0.20 * thre
 s2 AS (SELECT *, CASE WHEN shelf_risk >= 65 THEN 'HIGH' WHEN shelf_risk >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM s1)"""
 
 
-def shelf(spark, sf) -> DataFrame:
-    """Scores joined with the price fact, and the five risks of a shelf."""
-    facts = weekly(spark, sf).select(*KEYS, "competitor", "pulled")
+def shelf(spark, sf, facts: DataFrame | None = None) -> DataFrame:
+    """Scores joined with the price fact (facts: the columns of it that a caller wants), and the five risks of a shelf."""
+    if facts is None:
+        facts = weekly(spark, sf).select(*KEYS, "competitor", "pulled")
     x, c = scores(spark, sf).withColumnRenamed("risk", "margin_risk").join(facts, KEYS, "left"), F.col
     was = {k: F.coalesce(f"i{k}", F.lit(100.0)) for k in (1, 2, 3)}
     falls = [c("interest") < was[1], was[1] < was[2], was[2] < was[3]]
@@ -62,7 +63,7 @@ _CONF = _BASE + f""", c0 AS (SELECT *, 20.0::DOUBLE * ((interest > 0)::INT + (p
 c1 AS (SELECT *, {r(cl('0.30 * completeness + 0.25 * agreement + 0.20 * recency + 0.25 * coverage'))} AS confidence FROM c0)"""
 
 
-def confident(spark, sf) -> DataFrame:
+def confident(spark, sf, facts: DataFrame | None = None) -> DataFrame:
     """How far a signal can be trusted: complete, agreeing, recent and covered."""
     c = F.col
     has = lambda x: F.when(x, 1.0).otherwise(0.0)
@@ -70,7 +71,7 @@ def confident(spark, sf) -> DataFrame:
         has(c("interest") > 0), has(c("p").isNotNull()), has(c("idx").isNotNull()), has(c("cpi").isNotNull()), has(c("competitor").isNotNull()))
     hours = F.date_diff("month", "pulled") * 24
     fresh = first_match([(c("pulled").isNull(), 0.0), (hours <= 336, 100.0), (hours <= 720, 70.0)], 30.0)
-    x = shelf(spark, sf).withColumns({
+    x = shelf(spark, sf, facts).withColumns({
         "completeness": 20 * (wanted + priced + index + consumer + rival),
         "agreement": first_match([
             ((c("demand") >= 50) & (c("shelf_risk") >= 40), 85.0), ((c("demand") >= 30) & (c("shelf_risk") >= 25), 65.0),
@@ -90,10 +91,10 @@ r1 AS (SELECT *, {r(cl('0.50 * demand + 0.30 * momentum + 0.20 * intent'))} AS r
 r2 AS (SELECT *, {r(cl('0.35 * region + 0.30 * fit + 0.20 * (100 - shelf_risk) + 0.15 * confidence'))} AS ready FROM r1)"""
 
 
-def ready(spark, sf) -> DataFrame:
+def ready(spark, sf, facts: DataFrame | None = None) -> DataFrame:
     """Readiness of a signal for expansion; unknown where the margin side is."""
     c = F.col
-    x = confident(spark, sf).withColumn("place", half_up(c("place")))
+    x = confident(spark, sf, facts).withColumn("place", half_up(c("place")))
     x = x.withColumns({
         "region": half_up(clamp(0.50 * c("demand") + 0.30 * c("momentum") + 0.20 * c("intent"))),
         "fit": half_up(clamp(0.40 * c("shelf_gap") + 0.25 * c("place") + 0.20 * (100 - c("margin")) + 0.15 * (100 - c("promo_risk"))))})
