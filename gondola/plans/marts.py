@@ -206,6 +206,12 @@ def spike_flag(spark, sf):
 
 # --- as-of joins ----------------------------------------------------------------------------------
 
+
+def competitor_pulls(x: DataFrame) -> DataFrame:
+    """All rows of the competitor feed; pulled is their month of collection."""
+    return x.where(F.col("flag") == "R").withColumn("pulled", F.col("month"))
+
+
 _ASOF = ", s AS (SELECT DISTINCT CAST(month + INTERVAL 20 DAY AS DATE) AS on_day FROM retail WHERE month(month) % 3 = 0), i AS (SELECT month AS m, value FROM ppi WHERE series_id = '1-URGENT' AND month(month) % 5 <> 1)"
 
 
@@ -233,7 +239,7 @@ def asof_tolerance(spark, sf):
 @query(f", s AS (SELECT DISTINCT category, month FROM retail), c AS (SELECT category, month AS pulled, avg(list_price) AS competitor FROM retail WHERE flag = 'R' AND month(month) % 4 = 1 GROUP BY ALL) SELECT s.category, s.month, pulled, {r('competitor')} AS competitor FROM s ASOF JOIN c ON s.category = c.category AND s.month >= c.pulled")
 def asof_carry_forward(spark, sf):
     x = retail(spark, sf)
-    c = x.where((F.col("flag") == "R") & (F.month("month") % 4 == 1)).groupBy("category", F.col("month").alias("pulled")).agg(F.avg("list_price").alias("competitor"))
+    c = competitor_pulls(x).groupBy("category", "pulled").agg(F.avg("list_price").alias("competitor"))
     return asof(x.select("category", "month").distinct(), c, "month", "pulled", ["category"], ["competitor"]).where("pulled is not null").select("category", "month", "pulled", half_up(F.col("competitor")).alias("competitor"))
 
 
@@ -268,7 +274,7 @@ def weekly(spark, sf) -> DataFrame:
         F.percentile_approx("price", 0.5, 10000).alias("price"), F.count("*").alias("n"), share(branded).alias("own_brand"),
         share(F.col("promo") < F.col("price")).alias("promo_share"), F.percentile_approx(F.coalesce("promo", "price"), 0.5, 10000).alias("paid"))
     cv = kept.groupBy("category", "month").agg(half_up(F.try_divide(F.stddev_samp("price"), F.avg("price")) * 100, 1).alias("cv"))
-    comp = x.where((F.col("flag") == "R") & (F.month("month") % 4 == 1)).groupBy("category", F.col("month").alias("pulled")).agg(F.percentile_approx("list_price", 0.5, 10000).alias("competitor"))
+    comp = competitor_pulls(x).groupBy("category", "pulled").agg(F.percentile_approx("list_price", 0.5, 10000).alias("competitor"))
     carried = asof(cv.select("category", "month"), comp, "month", "pulled", ["category"], ["competitor"]).where("pulled is not null")
     gap = half_up(F.try_divide(F.col("price") - F.col("competitor"), F.col("competitor")) * 100)
     w = own.join(cv, ["category", "month"], "left").join(carried, ["category", "month"], "left").withColumns({
