@@ -216,8 +216,8 @@ _ASOF = ", s AS (SELECT DISTINCT CAST(month + INTERVAL 20 DAY AS DATE) AS on_day
 
 
 def _asof_inputs(spark, sf):
-    s = retail(spark, sf).select("month").distinct().where(F.month("month") % 3 == 0).select(F.date_add("month", 20).alias("on_day"))
-    i = producer_index(spark, sf).where((F.col("series_id") == "1-URGENT") & (F.month("month") % 5 != 1)).select(F.col("month").alias("m"), "value")
+    s = retail(spark, sf).select("month").distinct().select(F.date_add("month", 20).alias("on_day"))
+    i = producer_index(spark, sf).where(F.col("series_id") == "1-URGENT").select(F.col("month").alias("m"), "value")
     return s, i
 
 
@@ -230,7 +230,7 @@ def asof_month(spark, sf):
 @query(_ASOF + f", j AS (SELECT on_day, m, value, (year(on_day) * 12 + month(on_day)) - (year(m) * 12 + month(m)) AS d FROM s ASOF LEFT JOIN (SELECT * FROM i WHERE year(m) <> 1997) i ON on_day >= m) SELECT on_day, CASE WHEN d <= {T.stale_months} THEN m END AS index_month, CASE WHEN d <= {T.stale_months} THEN {r('value')} END AS value, coalesce(d > {T.stale_months}, true) AS stale FROM j")
 def asof_tolerance(spark, sf):
     s, i = _asof_inputs(spark, sf)
-    j = asof(s, i.where(F.year("m") != 1997), "on_day", "m", [], ["value"])
+    j = asof(s, i, "on_day", "m", [], ["value"])
     d = months_between_starts(F.col("on_day"), F.col("m"))
     fresh = d <= T.stale_months
     return j.select("on_day", F.when(fresh, F.col("m")).alias("index_month"), F.when(fresh, half_up(F.col("value"))).alias("value"), F.coalesce(d > T.stale_months, F.lit(True)).alias("stale"))

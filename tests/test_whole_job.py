@@ -33,3 +33,13 @@ def test_competitors_of_all_months(spark, retail_dir):
     assert {m: (r["pulled"], r["competitor"]) for m, r in fact.items()} == {date(1995, 1, 1): (None, None)} | CARRIED
     assert (fact[date(1995, 3, 1)]["gap"], fact[date(1995, 4, 1)]["gap"], fact[date(1995, 1, 1)]["position"]) == (10.0, -45.0, "Unknown")
     assert sorted(r["list_price"] for r in marts.competitor_pulls(marts.retail(spark, retail_dir)).collect()) == [100.0, 200.0]
+
+
+def test_asof_of_all_months(spark, retail_dir):
+    """Dates of all months are answered from all index rows; an old value is kept by asof_month and stale in asof_tolerance."""
+    jan, mar, feb = (date(1995, 1, 1), 10.0), (date(1995, 3, 1), 30.0), (date(1997, 2, 1), 70.0)
+    want = {date(1995, 1, 21): jan, date(1995, 2, 21): jan, date(1995, 3, 21): mar, date(1995, 4, 21): mar, date(1995, 12, 21): mar, date(1997, 3, 21): feb, date(1997, 8, 21): feb}
+    assert {r["on_day"]: (r["index_month"], r["value"]) for r in marts.asof_month(spark, retail_dir).collect()} == want
+    late = {date(1995, 12, 21), date(1997, 8, 21)}
+    got = {r["on_day"]: (r["index_month"], r["value"], r["stale"]) for r in marts.asof_tolerance(spark, retail_dir).collect()}
+    assert got == {d: (None, None, True) if d in late else (*v, False) for d, v in want.items()}
