@@ -64,7 +64,8 @@ class WordEncoder:
     """The tokenizers library, asked once for each distinct word.
 
     Splits texts as the library's own pre-tokenizer does.  A text with code points
-    that normalisation could join or split goes to the library whole.
+    that normalisation could join or split, or with an added token's content in any
+    case, goes to the library whole.
     """
 
     def __init__(self, path: str, memo: int):
@@ -72,7 +73,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocab = self.library.get_vocab()
         self.word_end = np.zeros(max(vocab.values()) + 1, bool)
         self.word_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -105,7 +106,8 @@ class WordEncoder:
         simple = []
         for x in texts:
             cp = np.frombuffer(x.encode("utf-32-le"), np.uint32)
-            simple.append(x.isascii() or bool(self.plain[cp].all()))
+            low = x.lower()
+            simple.append((x.isascii() or bool(self.plain[cp].all())) and not any(t in low for t in self.added))
         easy = [x.lower() for x, ok in zip(texts, simple) if ok]
         found = iter(self._split(easy) if easy else [])
         return [next(found) if ok else np.array(self.library.encode(x, add_special_tokens=False).ids, np.uint32)
