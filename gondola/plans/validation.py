@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.exprs import first_match, half_up
 from gondola.operators.models import direction_scores
 from gondola.plans.marts import _RUNS, _WEEKLY, query, r, temporal, weekly
+from gondola.plans.pricing import priced
 from gondola.plans.readiness import KEYS, acted
 from gondola.plans.serving import _QUEUE
 
+#: Draws of the registered SQL.
 DRAWS = 20
 
+#: Permutations of a panel, months ahead, and the change of a gap (percentage points) that still counts as the same.
+PERMUTATIONS = 500
+HORIZONS = (1, 2, 3)
+STILL = 0.08 + 1e-9
+SEED = 20260830
+MEASURES = {"direction": "position", "magnitude": "gap", "action": "direction"}
+
 _BAND = "CASE WHEN gap IS NULL THEN 'none' WHEN abs(gap) < 5 THEN '0-5' WHEN abs(gap) < 10 THEN '5-10' WHEN abs(gap) < 25 THEN '10-25' ELSE '25+' END"
 
 
@@ -30,38 +43,73 @@ obs AS (SELECT stratum, avg((position = nxt)::INT) AS rate, count(*) AS n FROM k
 SELECT stratum, n, {r('any_value(rate) * 100', 4)} AS persisted, {r('avg(chance) * 100', 4)} AS by_chance, {r('(any_value(rate) - avg(chance)) * 100', 4)} AS lift, (1 + count_if(chance >= rate)) / {DRAWS + 1}.0::DOUBLE AS p_value FROM obs JOIN pm USING (stratum) GROUP BY stratum, n"""
 
 
-def persistence(facts: DataFrame, stratum, draws: int = DRAWS) -> DataFrame:
-    """How often a position is the next one too, by stratum, against next positions permuted among the rows of a stratum's month.
-
-    A draw deals the next positions by the order of a digest, so that reruns agree.
-    Cost: `draws` copies of the panel, ranked within draw, stratum and month.
+def _transitions(draws: int):
+    """Of one entity's panel: stable and valid pairs by draw (-1: as observed), stratum, measure and horizon."""
+
+    def count(key, panel):
+        panel = panel.sort_values("k")
+        k, strata = panel["k"].to_numpy(), panel["stratum"].to_numpy()
+        rng = np.random.default_rng([SEED, zlib.crc32("/".join(map(str, key)).encode())])
+        found = []
+        for measure, column in MEASURES.items():
+            if measure == "magnitude":
+                values = panel[column].to_numpy(float, na_value=np.nan)
+            else:  # 0: a known lack of knowledge, which is permuted but never counted
+                names = ["Unknown", *sorted(set(panel[column].dropna()) - {"Unknown"})]
+                values = panel[column].map({x: float(i) for i, x in enumerate(names)}).to_numpy(float)
+            at = np.flatnonzero(~np.isnan(values))
+            rows = np.tile(values, (draws + 1, 1))
+            rows[1:, at] = values[rng.permuted(np.tile(at, (draws, 1)), axis=1)]
+            for n in HORIZONS:
+                j = np.minimum(np.searchsorted(k, k + n), len(k) - 1)
+                i = np.flatnonzero(k[j] == k + n)
+                x, y = rows[:, i], rows[:, j[i]]
+                valid = ~np.isnan(x) & ~np.isnan(y)
+                if measure != "magnitude":
+                    valid &= (x != 0) & (y != 0)
+                stable = valid & (np.abs(x - y) <= (STILL if measure == "magnitude" else 0))
+                for s in sorted(set(strata[i])):
+                    own = strata[i] == s
+                    found.append(pd.DataFrame({"stratum": s, "measure": measure, "horizon": f"T+{n}", "draw": np.arange(-1, draws), "stable": stable[:, own].sum(1), "valid": valid[:, own].sum(1)}))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("stratum", "measure", "horizon", "draw", "stable", "valid")})
+
+    return count
+
+
+def persistence(facts: DataFrame, stratum, draws: int = PERMUTATIONS) -> DataFrame:
+    """How often direction, magnitude and action hold 1 to 3 months on, by stratum, against panels permuted within each store and category.
+
+    A permutation leaves an entity's absent months absent and the strata where they are.  Seeded by entity, so that reruns agree.
+    Cost: an entity's months times `draws` in a Python worker; months are bounded, entities are dealt.
     """
     c = F.col
-    v = Window.partitionBy("store_id", "category").orderBy("month")
-    known = facts.select(*KEYS, stratum.alias("stratum"), "position", F.lead("position").over(v).alias("nxt")).where("nxt is not null")
-    group = Window.partitionBy("draw", "stratum", "month")
-    digest = F.md5(F.concat_ws("/", c("draw").cast("string"), c("store_id").cast("string"), "category", c("month").cast("string")))
-    dealt = known.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("digest", digest).withColumns({
-        "a": F.row_number().over(group.orderBy("store_id", "category")), "b": F.row_number().over(group.orderBy("digest", "store_id", "category"))})
-    keys = ["draw", "stratum", "month"]
-    pairs = dealt.select(*keys, "position", c("a").alias("k")).join(dealt.select(*keys, c("nxt").alias("dealt"), c("b").alias("k")), [*keys, "k"])
-    same = lambda a, b: F.avg((c(a) == c(b)).cast("int"))
-    chance = pairs.groupBy("draw", "stratum").agg(same("position", "dealt").alias("chance"))
-    rate = known.groupBy("stratum").agg(same("position", "nxt").alias("rate"), F.count("*").alias("n"))
-    return chance.join(rate, "stratum").groupBy("stratum", "n", "rate").agg(
+    # one row a month is ranked
+    months = facts.select("month").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("month")))
+    panel = facts.select(*KEYS, stratum.alias("stratum"), *MEASURES.values()).join(F.broadcast(months), "month")
+    counts = panel.groupBy("store_id", "category").applyInPandas(_transitions(draws), "stratum string, measure string, horizon string, draw int, stable long, valid long")
+    keys = ["stratum", "measure", "horizon"]
+    rates = counts.groupBy(*keys, "draw").agg(F.sum("valid").alias("n"), F.try_divide(F.sum("stable").cast("double"), F.sum("valid").cast("double")).alias("rate"))
+    seen = rates.where("draw = -1 and n > 0").drop("draw")
+    dealt = rates.where("draw >= 0").select(*keys, c("rate").alias("chance"))
+    return seen.join(dealt, keys).groupBy(*keys, "n", "rate").agg(
         F.avg("chance").alias("m"), ((F.count_if(c("chance") >= c("rate")) + 1) / F.lit(float(draws + 1))).alias("p_value")).select(
-        "stratum", "n", half_up(c("rate") * 100, 4).alias("persisted"), half_up(c("m") * 100, 4).alias("by_chance"), half_up((c("rate") - c("m")) * 100, 4).alias("lift"), "p_value")
+        *keys, "n", half_up(c("rate") * 100, 4).alias("persisted"), half_up(c("m") * 100, 4).alias("by_chance"), half_up((c("rate") - c("m")) * 100, 4).alias("lift"), "p_value")
+
+
+def signals(spark, sf) -> DataFrame:
+    """The panel of persistence: position, gap and directional advice of each fact."""
+    return priced(spark, sf).where("position is not null").select(*KEYS, "position", "gap", "direction")
 
 
 @query(_persistence_sql("category"))
 def persistence_null(spark, sf):
-    return persistence(weekly(spark, sf), F.col("category"))
+    return persistence(signals(spark, sf), F.col("category"))
 
 
 @query(_persistence_sql(_BAND))
 def persistence_by_magnitude(spark, sf):
     """Strata of like gaps: a large gap persists more easily than a small one."""
-    return persistence(weekly(spark, sf), _band())
+    return persistence(signals(spark, sf), _band())
 
 
 @query(_WEEKLY + _RUNS + f""", z AS (SELECT category, pulled, lag(pulled) OVER w AS pulled1, price, lag(price) OVER w AS price1, gap, lag(gap) OVER w AS gap1 FROM run WINDOW w AS (PARTITION BY store_id, category ORDER BY month))
