@@ -437,11 +437,26 @@ def transition_persistence(spark, sf):
 
 @query(_SCORES + f", f AS (SELECT unnest([0.9, 1.0, 1.1])::DOUBLE AS f), t AS (SELECT f, demand, {r(cl('0.55 * f * shelf_gap + 0.15 * coalesce(phantom, 0) + 0.30 * interest'))} AS moved FROM sc, f) SELECT f AS factor, count(*) AS n, count_if((demand >= 65) <> (moved >= 65) OR (demand >= 35) <> (moved >= 35)) AS changed FROM t GROUP BY f")
 def sensitivity_tiers(spark, sf):
-    t = scores(spark, sf).withColumn("factor", F.explode(F.array(F.lit(0.9), F.lit(1.0), F.lit(1.1))))
-    moved = half_up(clamp(0.55 * F.col("factor") * F.col("shelf_gap") + 0.15 * F.coalesce("phantom", F.lit(0.0)) + 0.30 * F.col("interest")))
-    t = t.withColumn("moved", moved)
-    change = ((F.col("demand") >= 65) != (F.col("moved") >= 65)) | ((F.col("demand") >= 35) != (F.col("moved") >= 35))
-    return t.groupBy("factor").agg(F.count("*").alias("n"), F.count_if(change).alias("changed"))
+    """Signals that change tier when one weight of the opportunity score is 10 % lower or higher: 6 weights x 2 factors."""
+    from gondola.plans.readiness import acted  # readiness is built on this module
+
+    return tier_changes(acted(spark, sf))
+
+
+#: Weights of the opportunity score; pricing power is the constant 50 of `readiness.acted`.
+OPPORTUNITY = {"demand": 0.25, "ready": 0.20, "shelf_risk_inv": 0.20, "confidence": 0.15, "pricing_power": 0.10, "margin_risk_inv": 0.10}
+
+
+def tier_changes(x: DataFrame) -> DataFrame:
+    """weight, factor, n, unknown (signals without a score, which have no tier) and changed."""
+    c = F.col
+    parts = {"demand": c("demand"), "ready": c("ready"), "shelf_risk_inv": 100 - c("shelf_risk"), "confidence": c("confidence"), "pricing_power": F.lit(50.0), "margin_risk_inv": 100 - c("margin_risk")}
+    # rounded far below any step of a score, so that the order of additions cannot move a tier
+    base = sum(w * parts[k] for k, w in OPPORTUNITY.items())
+    tier = lambda s: first_match([(s.isNull(), None), (s >= 75, 3), (s >= 55, 2), (s >= 35, 1)], 0)
+    runs = F.array(*[F.struct(F.lit(k).alias("weight"), F.lit(f).alias("factor"), ((f - 1) * w * parts[k]).alias("step")) for k, w in OPPORTUNITY.items() for f in (0.9, 1.1)])
+    t = x.select(base.alias("base"), F.explode(runs).alias("run")).select("base", "run.*").withColumns({"was": half_up(clamp(c("base")), 6), "is": half_up(clamp(c("base") + c("step")), 6)})
+    return t.groupBy("weight", "factor").agg(F.count("*").alias("n"), F.count_if(c("was").isNull()).alias("unknown"), F.count_if(tier(c("was")) != tier(c("is"))).alias("changed"))
 
 
 @query(f", k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY day DESC) AS k, row_number() OVER (PARTITION BY category ORDER BY day) AS x FROM interest), b AS (SELECT category, arg_max(interest, day) FILTER (k > 4) AS naive, avg(interest) FILTER (k BETWEEN 5 AND 8) AS mov, regr_slope(interest, x) FILTER (k > 4) AS s, regr_intercept(interest, x) FILTER (k > 4) AS i FROM k GROUP BY category) SELECT category, {r('avg(abs(interest - naive) / nullif(abs(interest), 0)) * 100')} AS mape_naive, {r('avg(abs(interest - mov) / nullif(abs(interest), 0)) * 100')} AS mape_moving, {r('avg(abs(interest - (s * x + i)) / nullif(abs(interest), 0)) * 100')} AS mape_linear FROM k JOIN b USING (category) WHERE k <= 4 GROUP BY category")

@@ -43,3 +43,12 @@ def test_asof_of_all_months(spark, retail_dir):
     late = {date(1995, 12, 21), date(1997, 8, 21)}
     got = {r["on_day"]: (r["index_month"], r["value"], r["stale"]) for r in marts.asof_tolerance(spark, retail_dir).collect()}
     assert got == {d: (None, None, True) if d in late else (*v, False) for d, v in want.items()}
+
+
+def test_sensitivity_of_all_weights(spark):
+    """A score at the edge of Prime falls with every weight; one below Watch rises with the weight of demand alone."""
+    rows = [(80.0, 80.0, 20.0, 80.0, 40.0), (100.0, 0.0, 100.0, 0.0, 60.0), (50.0, 50.0, 50.0, 50.0, 50.0), (50.0, None, 50.0, 50.0, 50.0)]
+    x = spark.createDataFrame(rows, "demand double, ready double, shelf_risk double, confidence double, margin_risk double")
+    got = {(r["weight"], r["factor"]): (r["n"], r["unknown"], r["changed"]) for r in marts.tier_changes(x).collect()}
+    weights = ["demand", "ready", "shelf_risk_inv", "confidence", "pricing_power", "margin_risk_inv"]
+    assert got == {(w, 0.9): (4, 1, 1) for w in weights} | {(w, 1.1): (4, 1, int(w == "demand")) for w in weights}
