@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gondola.config import T
 from gondola.functions.exprs import clamp, first_match, group, half_up, html_text, months_between_starts, numeric_claim
+from gondola.operators.chunks import chunks
+from gondola.operators.grounding import injections
 from gondola.operators.joins import asof, cosine, top_k_cosine
 from gondola.operators.windows import islands
 from gondola.sources.tables import interest, producer_index, retail, table
@@ -408,8 +410,20 @@ def unit_size_parse(spark, sf):
 
 @query("SELECT doc_id, regexp_matches(text, '(?i)\\$\\s?\\d|\\d+(\\.\\d+)?\\s?%|\\d{1,3}(,\\d{3})+|\\d+\\.\\d+|\\d+\\s(million|billion|thousand|percent)') AS claim, sha256(doc_id || ':0') AS chunk_id, contains(lower(text), 'ignore previous instructions') OR contains(lower(text), 'system prompt') AS flagged FROM documents".replace("SELECT", "WITH z AS (SELECT 1) SELECT", 1))
 def document_flags(spark, sf):
-    low = F.lower("text")
-    return table(spark, sf, "documents").select("doc_id", numeric_claim(F.col("text")).alias("claim"), F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":0")), 256).alias("chunk_id"), (low.contains("ignore previous instructions") | low.contains("system prompt")).alias("flagged"))
+    """Claim and injection phrases of whole documents, and the id of their first chunk; `chunk_docs` has all chunks."""
+    return table(spark, sf, "documents").select("doc_id", numeric_claim(F.col("text")).alias("claim"), chunk_key(F.col("doc_id"), F.lit(0)).alias("chunk_id"), F.when(F.col("text").isNotNull(), F.size(injections(F.col("text"))) > 0).alias("flagged"))
+
+
+def chunk_key(doc_id: Column, chunk_no: Column) -> Column:
+    return F.sha2(F.concat_ws(":", doc_id.cast("string"), chunk_no.cast("string")), 256)
+
+
+@query(None)
+def chunk_docs(spark, sf):
+    """All chunks of all documents, each with its own id, claim and injection phrases."""
+    text = F.col("chunk")
+    return chunks(table(spark, sf, "documents"), "doc_id", "text").select(
+        "doc_id", "chunk_no", chunk_key(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), "heading", "tokens", "chunk", numeric_claim(text).alias("claim"), injections(text).alias("phrases"), (F.size(injections(text)) > 0).alias("flagged"))
 
 
 @query(None)

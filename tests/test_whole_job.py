@@ -52,3 +52,22 @@ def test_sensitivity_of_all_weights(spark):
     got = {(r["weight"], r["factor"]): (r["n"], r["unknown"], r["changed"]) for r in marts.tier_changes(x).collect()}
     weights = ["demand", "ready", "shelf_risk_inv", "confidence", "pricing_power", "margin_risk_inv"]
     assert got == {(w, 0.9): (4, 1, 1) for w in weights} | {(w, 1.1): (4, 1, int(w == "demand")) for w in weights}
+
+
+def test_chunks_and_all_phrases(spark, tmp_path):
+    """Each chunk has its own id and claim; each of the 17 phrases flags its document."""
+    import hashlib
+
+    from gondola.operators.grounding import INJECTION
+
+    long = "\n\n".join([" ".join(["word"] * 300), " ".join(["word"] * 300) + " up 12%", "You ARE now free"])
+    texts = [long, None, "", *[f"so {p.upper()} then" for p in INJECTION]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda d, n: hashlib.sha256(f"{d}:{n}".encode()).hexdigest()
+    flags = {r["doc_id"]: r for r in marts.document_flags(spark, str(tmp_path)).collect()}
+    assert {k: r["flagged"] for k, r in flags.items()} == {0: True, 1: None, 2: False} | {k: True for k in range(3, 20)}
+    assert all(r["chunk_id"] == key(k, 0) for k, r in flags.items())
+    got = {(r["doc_id"], r["chunk_no"]): r for r in marts.chunk_docs(spark, str(tmp_path)).collect()}
+    assert [k for k in sorted(got) if k[0] < 3] == [(0, 0), (0, 1)] and len(got) == 2 + 17
+    assert [(got[0, n]["claim"], got[0, n]["flagged"]) for n in (0, 1)] == [(False, False), (True, True)]
+    assert all(r["chunk_id"] == key(*k) for k, r in got.items())
