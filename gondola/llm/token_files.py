@@ -3,17 +3,19 @@
 Documents are range-partitioned in ascending id order (nulls last; ties by a hash
 of the text), encoded, closed with an end id and collected into shards of about
 `shard_ids` ids.  Within a shard, frequent pairs of neighbouring ids are replaced
-by nonterminals, again and again, the most frequent pairs first; a pair never
+by nonterminals, the most frequent pairs first, until no pair has `least`; a pair never
 crosses the end of a document, so any document expands alone.
 
 A shard, little-endian, in this order:
-    magic ``GRP1``; uint32 documents, rules, symbols, first nonterminal
+    magic ``GRP2``; uint32 documents, rules, symbols, first nonterminal, symbols of a
+    block, bytes of the deflated head; uint32 bytes of each deflated block of symbols
     int64   id of each document      uint8  1 where that id is null
     uint32  ids of each document     uint32 symbols of each document
     uint32  left and right symbol of each rule; uint32 expansion length of each rule
     uint32  symbols
-``GRP1`` bodies are deflated as one block; a file holds several shards, and the
-index says where each one is.  Expansion lengths let a reader skip to the n-th id
+All before the symbols is the head, deflated as one; symbols are deflated by blocks,
+so that a document is read without inflating the others'.  A file holds several
+shards, and the index says where each one is.  Expansion lengths let a reader skip to the n-th id
 of a document without expanding what lies before it.
 
 Defined results: null and empty texts hold the end id alone.  Repeated ids and
@@ -39,7 +41,7 @@ from gondola.llm.bpe import text_passes
 from gondola.llm.files import Appender, ranged_reads, read_tasks
 from gondola.llm.pretokens import Memo, Split, classes, ragged
 
-MAGIC = b"GRP1"
+MAGIC = b"GRP2"
 INDEX = "part int, shard int, docs bigint, tokens bigint, file string, offset bigint, length bigint"
 READ = "doc_id bigint, part int, shard int, k int, n_tokens bigint, ids_crc32 bigint"
 
@@ -48,11 +50,11 @@ READ = "doc_id bigint, part int, shard int, k int, n_tokens bigint, ids_crc32 bi
 class TokenFileParams:
     end_id: int = 1
     shard_ids: int = 1 << 20  #: ids after which a shard ends (with a whole document)
-    rounds: int = 8  #: rounds of replacement
-    least: int = 16  #: occurrences that a pair needs
-    share: float = 0.02  #: and this part of the most frequent pair's
+    least: int = 16  #: occurrences that a pair needs; replacement ends when no pair has them
+    share: float = 0.02  #: part of the most frequent pair's occurrences that a pair of the same round needs
     file_bytes: int = 64 << 20
     task_bytes: int = 16 << 20  #: file bytes that one reading task takes
+    block: int = 1 << 14  #: symbols that are deflated together
     level: int = 1
     memo: int = 600_000  #: pre-tokens that one worker remembers
 
@@ -143,12 +145,11 @@ def repair(ids: np.ndarray, last: np.ndarray, first_new: int, params: TokenFileP
     """(symbols, which of them end a document, rules as rows (left, right)).
 
     Each round counts all pairs in a hashed table, takes exact counts of those that
-    may be frequent, and replaces the frequent ones from left to right.
+    may be frequent, and replaces the frequent ones from left to right.  The most frequent
+    pair is always among them, so rounds end when no pair has `least` occurrences.
     """
     symbols, rules, bits = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), 20
-    for _ in range(params.rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         code = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         bins = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
         counts = np.bincount(bins[~last[:-1]], minlength=1 << bits)
@@ -202,11 +203,13 @@ def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray], first_new: int,
     last[np.cumsum(lens) - 1] = True
     symbols, last, rules = repair(np.concatenate(ids), last, first_new, params)
     per = np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
-    body = b"".join([
+    head = zlib.compress(b"".join([
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(),
         lens.astype("<u4").tobytes(), per.astype("<u4").tobytes(), rules[:, 0].astype("<u4").tobytes(), rules[:, 1].astype("<u4").tobytes(),
-        expansion_lengths(rules, first_new).astype("<u4").tobytes(), symbols.astype("<u4").tobytes()])
-    return MAGIC + struct.pack("<4I", len(ids), len(rules), len(symbols), first_new) + zlib.compress(body, params.level)
+        expansion_lengths(rules, first_new).astype("<u4").tobytes()]), params.level)
+    blocks = [zlib.compress(symbols[k : k + params.block].astype("<u4").tobytes(), params.level) for k in range(0, len(symbols), params.block)]
+    sizes = np.array([len(x) for x in blocks], "<u4").tobytes()
+    return b"".join([MAGIC, struct.pack("<6I", len(ids), len(rules), len(symbols), first_new, params.block, len(head)), sizes, head, *blocks])
 
 
 class Shard:
@@ -214,8 +217,12 @@ class Shard:
 
     def __init__(self, data: bytes):
         assert data[:4] == MAGIC, "not a shard"
-        n, r, m, self.first_new = struct.unpack("<4I", data[4:20])
-        body, at = zlib.decompress(data[20:]), 0
+        n, r, self.m, self.first_new, self.block, size = struct.unpack("<6I", data[4:28])
+        blocks = -(-self.m // self.block)
+        start = 28 + 4 * blocks + size
+        self.data = data
+        self.places = start + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", blocks, 28).astype(np.int64))])
+        body, at = zlib.decompress(data[start - size : start]), 0
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -227,18 +234,26 @@ class Shard:
         self.doc_ids = [None if z else int(x) for x, z in zip(ids, null)]
         self.lens, self.per = take("<u4", n), take("<u4", n)
         left, right = take("<u4", r), take("<u4", r)
-        self.rules, self.sizes, self.symbols = np.stack([left, right], axis=1), take("<u4", r), take("<u4", m)
+        self.rules, self.sizes = np.stack([left, right], axis=1), take("<u4", r)
         self.ends = np.concatenate([[0], np.cumsum(self.per.astype(np.int64))])
 
+    def symbols(self, a: int, b: int) -> np.ndarray:
+        """Symbols a:b; only the blocks that hold them are inflated."""
+        if a == b:
+            return np.zeros(0, np.uint32)
+        first, stop = a // self.block, -(-b // self.block)
+        raw = b"".join(zlib.decompress(self.data[self.places[k] : self.places[k + 1]]) for k in range(first, stop))
+        return np.frombuffer(raw, "<u4")[a - first * self.block : b - first * self.block]
+
     def document(self, k: int) -> np.ndarray:
-        return expand(self.symbols[self.ends[k] : self.ends[k + 1]], self.rules, self.first_new)
+        return expand(self.symbols(self.ends[k], self.ends[k + 1]), self.rules, self.first_new)
 
     def all(self) -> list[np.ndarray]:
-        return np.split(expand(self.symbols, self.rules, self.first_new), np.cumsum(self.lens.astype(np.int64))[:-1])
+        return np.split(expand(self.symbols(0, self.m), self.rules, self.first_new), np.cumsum(self.lens.astype(np.int64))[:-1])
 
     def tokens(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start:stop of document k, expanding only the symbols that cover them."""
-        own = self.symbols[self.ends[k] : self.ends[k + 1]]
+        own = self.symbols(self.ends[k], self.ends[k + 1])
         size = np.ones(len(own), np.int64)
         big = own >= self.first_new
         size[big] = self.sizes[own[big] - self.first_new]
