@@ -25,13 +25,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gondola.llm.pretokens import Memo, Split, ragged
+from gondola.llm.pretokens import Memo, Split, picked, ragged
 from gondola.llm.words import mix, runs_hash
 
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens that one worker remembers, and code points of one pass.
 MEMO, PASS_CHARS = 300_000, 1 << 20
 
@@ -145,34 +145,33 @@ class BytePairs:
         split = Split(texts, "gpt")
         if not len(split.starts):
             return [np.zeros(0, np.uint32) for _ in texts]
-        keys, first, which = np.unique(split.hashes, return_index=True, return_inverse=True)
+        keys, first, which = split.distinct()
         ids = self.whole(keys)
-        for k in np.flatnonzero(ids >= 0):
-            if self.tokens[ids[k]] != split.piece(first[k]).encode():
-                ids[k] = -1
+        hits = np.flatnonzero(ids >= 0)
+        wrong = [k for k in hits.tolist() if self.tokens[ids[k]] != split.piece(first[k]).encode()]
+        ids[wrong] = -1
         rest = np.flatnonzero(ids < 0)
-        hashes = keys[rest].tolist()
-        if len(self.memo.row) + len(rest) > MEMO:
-            self.memo.clear()
-        new = [k for k, h in enumerate(hashes) if h not in self.memo.row]
-        if new:
-            self.memo.add([hashes[k] for k in new], [self.merge(split.piece(first[rest[k]]).encode()) for k in new])
-        # one table: the memo's lists, then single ids
         row = np.zeros(len(keys), np.int64)
-        held = len(self.memo.row)
-        row[rest] = np.fromiter(map(self.memo.row.__getitem__, hashes), np.int64, len(hashes))
+        row[rest] = self.memo.find(keys[rest])
+        new = rest[row[rest] < 0]
+        if len(new):
+            lists = [self.merge(split.piece(k).encode()) for k in first[new].tolist()]
+            lens = np.fromiter(map(len, lists), np.int64, len(lists))
+            row[new] = self.memo.put(keys[new], lens, np.fromiter((x for some in lists for x in some), np.uint32, int(lens.sum())))
+        # one table: the memo's lists, then single ids
         hit = np.flatnonzero(ids >= 0)
-        row[hit] = held + np.arange(len(hit))
-        used = int(self.memo.offsets[held])
-        offsets = np.concatenate([self.memo.offsets[: held + 1], used + 1 + np.arange(len(hit))])
-        flat = np.concatenate([self.memo.flat[:used], ids[hit].astype(np.uint32)])
-        at, ends = ragged(offsets, row[which])
+        held = self.memo.ids
+        begin, lens = held.offsets[row], held.offsets[row + 1] - held.offsets[row]
+        used = int(held.offsets[held.n])
+        begin[hit], lens[hit] = used + np.arange(len(hit)), 1
+        flat = np.concatenate([held.flat[:used], ids[hit].astype(np.uint32)])
+        at, ends = ragged(begin[which], lens[which])
         out = flat[at]
         cuts = np.concatenate([[0], ends])[split.bounds]
         return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return self.flat[ragged(self.offsets, ids.astype(np.int64))[0]].tobytes()
+        return self.flat[picked(self.offsets, ids.astype(np.int64))[0]].tobytes()
 
 
 @cache

@@ -12,6 +12,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import regex
 
 from gondola.llm.words import runs_hash
@@ -69,22 +70,94 @@ class Split:
                     start[i + n] = True
         self.starts = np.flatnonzero(start)
         self.ends = np.concatenate([self.starts[1:], [total]]) if len(self.starts) else self.starts
+        self.cp, self.runs, self.held = cp, self.starts, np.ones(len(self.starts), bool)
         if mode == "clip":
-            keep = ~white[self.starts]
-            self.starts, self.ends = self.starts[keep], self.ends[keep]
+            self.held = ~white[self.starts]
+            self.starts, self.ends = self.starts[self.held], self.ends[self.held]
         self.hashes = runs_hash(cp, self.starts, self.ends)
         self.bounds = np.searchsorted(self.starts, edges)
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes that occur, a pre-token that has each, for each pre-token the number of its hash)."""
+        which, keys = pd.factorize(self.hashes)
+        first = np.empty(len(keys), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        return keys, first, which
+
+    def confirmed(self, first: np.ndarray, which: np.ndarray) -> bool:
+        """Are all pre-tokens equal, code point by code point, to those that stand for their hashes?"""
+        lens = self.ends - self.starts
+        if (lens != lens[first][which]).any():
+            return False
+        away = np.zeros(len(self.runs), np.int64)
+        away[self.held] = self.starts[first][which] - self.starts
+        at = np.repeat(away, np.diff(np.append(self.runs, len(self.cp))))
+        at += np.arange(len(self.cp))
+        return bool((self.cp[at] == self.cp).all())
+
     def piece(self, i: int) -> str:
         return self.text[self.starts[i] : self.ends[i]]
 
 
-def ragged(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices that read the slices offsets[r]:offsets[r+1] of all rows one after the other, and the slices' ends."""
-    lens = (offsets[1:] - offsets[:-1])[rows]
+def ragged(begin: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices that read the slices of these begins and lengths one after the other, and the slices' ends."""
     ends = np.cumsum(lens)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(offsets[rows] - (ends - lens), lens), ends
+    at = np.repeat(begin - (ends - lens), lens)
+    at += np.arange(len(at))
+    return at, ends
+
+
+def picked(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the slices offsets[r]:offsets[r+1] of all rows."""
+    return ragged(offsets[rows], (offsets[1:] - offsets[:-1])[rows])
+
+
+class Slots:
+    """Row numbers by 64-bit key: open addressing, probed for whole arrays of keys at a time."""
+
+    def __init__(self, most: int):
+        self.bits = max(int(2 * most).bit_length(), 4)
+        self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where it is unknown."""
+        out, left, at = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._start(keys)
+        while len(left):
+            rows = self.rows[at]
+            same = (self.keys[at] == keys[left]) & (rows >= 0)
+            out[left[same]] = rows[same]
+            on = (rows >= 0) & ~same
+            left, at = left[on], (at[on] + 1) & (len(self.rows) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Distinct keys that are unknown so far."""
+        left, at = np.arange(len(keys)), self._start(keys)
+        while len(left):
+            free = self.rows[at] < 0
+            self.rows[at[free]], self.keys[at[free]] = rows[left[free]], keys[left[free]]
+            lost = self.rows[at] != rows[left]  # held before, or by another key of this round
+            left, at = left[lost], (at[lost] + 1) & (len(self.rows) - 1)
+
+
+class Lists:
+    """Number lists one after the other, in an array that doubles."""
+
+    def __init__(self):
+        self.n, self.flat, self.offsets = 0, np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+
+    def add(self, lens: np.ndarray, flat: np.ndarray) -> None:
+        at, n = int(self.offsets[self.n]), self.n + len(lens)
+        while len(self.flat) < at + len(flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.offsets) < n + 1:
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        self.flat[at : at + len(flat)] = flat
+        self.offsets[self.n + 1 : n + 1] = at + np.cumsum(lens)
+        self.n = n
 
 
 class Memo:
@@ -95,20 +168,21 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
-        self.flat, self.offsets = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
-
-    def add(self, keys: list[int], lists: list[list[int]]) -> None:
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.put(keys, lens, np.fromiter((x for ids in lists for x in ids), np.uint32, int(lens.sum())))
-
-    def put(self, keys: list[int], lens: np.ndarray, ids: np.ndarray) -> None:
-        n, k = len(self.row), len(keys)
-        at = int(self.offsets[n])
-        while len(self.flat) < at + len(ids):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.offsets) < n + k + 1:
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.flat[at : at + len(ids)] = ids
-        self.offsets[n + 1 : n + k + 1] = at + np.cumsum(lens)
-        self.row.update(zip(keys, range(n, n + k)))
+        self.slots, self.ids, self.words = Slots(self.most), Lists(), Lists()
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each of the distinct keys, -1 where it is unknown; makes room for the unknown ones."""
+        rows = self.slots.find(keys)
+        if self.ids.n + int((rows < 0).sum()) > self.most:
+            self.clear()
+            if len(keys) > self.most:  # one very long text: room for all that it has
+                self.slots = Slots(len(keys))
+            rows[:] = -1
+        return rows
+
+    def put(self, keys: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Rows of new distinct keys with their lists."""
+        rows = np.arange(self.ids.n, self.ids.n + len(keys))
+        self.slots.put(keys, rows)
+        self.ids.add(lens, ids)
+        return rows

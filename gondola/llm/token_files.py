@@ -3,18 +3,19 @@
 Documents are range-partitioned in ascending id order (nulls last; ties by a hash
 of the text), encoded, closed with an end id and collected into shards of about
 `shard_ids` ids.  Within a shard, frequent pairs of neighbouring ids are replaced
-by nonterminals, the most frequent pairs first, until no pair has `least`; a pair never
+by nonterminals, in rounds from the most frequent pairs down, until no pair pays for
+its rule: a rule takes 12 bytes and each occurrence saves 4, so `least` is 4.  A pair never
 crosses the end of a document, so any document expands alone.
 
 A shard, little-endian, in this order:
-    magic ``GRP2``; uint32 documents, rules, symbols, first nonterminal, symbols of a
-    block, bytes of the deflated head; uint32 bytes of each deflated block of symbols
+    magic ``GRP3``; uint32 documents, rules, symbols, first nonterminal, symbols of a
+    block, bytes of the packed head; uint32 bytes of each packed block of symbols
     int64   id of each document      uint8  1 where that id is null
     uint32  ids of each document     uint32 symbols of each document
     uint32  left and right symbol of each rule; uint32 expansion length of each rule
     uint32  symbols
-All before the symbols is the head, deflated as one; symbols are deflated by blocks,
-so that a document is read without inflating the others'.  A file holds several
+All before the symbols is the head, packed (zstd) as one; symbols are packed by blocks,
+so that a document is read without unpacking the others'.  A file holds several
 shards, and the index says where each one is.  Expansion lengths let a reader skip to the n-th id
 of a document without expanding what lies before it.
 
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,9 +41,9 @@ from pyspark.sql import functions as F
 from gondola.llm import shared
 from gondola.llm.bpe import text_passes
 from gondola.llm.files import Appender, ranged_reads, read_tasks
-from gondola.llm.pretokens import Memo, Split, classes, ragged
+from gondola.llm.pretokens import Memo, Split, classes, picked, ragged
 
-MAGIC = b"GRP2"
+MAGIC = b"GRP3"
 INDEX = "part int, shard int, docs bigint, tokens bigint, file string, offset bigint, length bigint"
 READ = "doc_id bigint, part int, shard int, k int, n_tokens bigint, ids_crc32 bigint"
 
@@ -50,12 +52,11 @@ READ = "doc_id bigint, part int, shard int, k int, n_tokens bigint, ids_crc32 bi
 class TokenFileParams:
     end_id: int = 1
     shard_ids: int = 1 << 20  #: ids after which a shard ends (with a whole document)
-    least: int = 16  #: occurrences that a pair needs; replacement ends when no pair has them
+    least: int = 4  #: occurrences that a pair needs; replacement ends when no pair has them
     share: float = 0.02  #: part of the most frequent pair's occurrences that a pair of the same round needs
     file_bytes: int = 64 << 20
     task_bytes: int = 16 << 20  #: file bytes that one reading task takes
-    block: int = 1 << 14  #: symbols that are deflated together
-    level: int = 1
+    block: int = 1 << 14  #: symbols that are packed together
     memo: int = 600_000  #: pre-tokens that one worker remembers
 
 
@@ -67,14 +68,19 @@ class WordEncoder:
 
     Splits texts as the library's own pre-tokenizer does.  A text with code points
     that normalisation could join or split, or with an added token's content in any
-    case, goes to the library whole.
+    case, goes to the library whole.  A word is known again by its hash and then
+    compared in full; should two words ever share a hash, the library gets the texts.
     """
 
     def __init__(self, path: str, memo: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # the same model for words that are split and in lower case already
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocab = self.library.get_vocab()
         self.word_end = np.zeros(max(vocab.values()) + 1, bool)
@@ -93,9 +99,9 @@ class WordEncoder:
     def words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of lower-case pre-tokens: how many ids each has, and all ids."""
         lens, flat = [], []
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k : k + 4096]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+        for k in range(0, len(pieces), 256):
+            part = pieces[k : k + 256]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) != len(part):  # not split as expected: each alone
                 each = [x.ids for x in self.library.encode_batch(part, add_special_tokens=False)]
@@ -104,34 +110,48 @@ class WordEncoder:
             flat.append(ids)
         return np.concatenate(lens), np.concatenate(flat)
 
+    def alone(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def simple(self, text: str, low: str) -> bool:
+        if any(t in low for t in self.added):
+            return False
+        return text.isascii() or bool(self.plain[np.frombuffer(text.encode("utf-32-le"), np.uint32)].all())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        simple = []
-        for x in texts:
-            cp = np.frombuffer(x.encode("utf-32-le"), np.uint32)
-            low = x.lower()
-            simple.append((x.isascii() or bool(self.plain[cp].all())) and not any(t in low for t in self.added))
-        easy = [x.lower() for x, ok in zip(texts, simple) if ok]
+        lows = [x.lower() for x in texts]
+        simple = [self.simple(x, low) for x, low in zip(texts, lows)]
+        easy = [low for low, ok in zip(lows, simple) if ok]
         found = iter(self._split(easy) if easy else [])
-        return [next(found) if ok else np.array(self.library.encode(x, add_special_tokens=False).ids, np.uint32)
-                for x, ok in zip(texts, simple)]
+        return [next(found) if ok else self.alone(x) for x, ok in zip(texts, simple)]
 
     def _split(self, texts: list[str]) -> list[np.ndarray]:
         split = Split(texts, "clip")
         if not len(split.starts):
             return [np.zeros(0, np.uint32) for _ in texts]
-        keys, first, which = np.unique(split.hashes, return_index=True, return_inverse=True)
-        hashes = keys.tolist()
-        if len(self.memo.row) + len(keys) > self.memo.most:
-            self.memo.clear()
-        new = [k for k, h in enumerate(hashes) if h not in self.memo.row]
-        if new:
-            self.memo.put([hashes[k] for k in new], *self.words([split.piece(first[k]) for k in new]))
-        row = np.fromiter(map(self.memo.row.__getitem__, hashes), np.int64, len(hashes))
-        at, ends = ragged(self.memo.offsets[: len(self.memo.row) + 1], row[which])
-        out = self.memo.flat[at]
+        keys, first, which = split.distinct()
+        starts, lens = split.starts[first], (split.ends - split.starts)[first]
+        row = self.memo.find(keys)
+        new, old = np.flatnonzero(row < 0), np.flatnonzero(row >= 0)
+        if not split.confirmed(first, which) or not self._known(split.cp, starts[old], lens[old], row[old]):
+            return [self.alone(x) for x in texts]
+        if len(new):
+            row[new] = self.memo.put(keys[new], *self.words([split.piece(k) for k in first[new]]))
+            at, _ = ragged(starts[new], lens[new])
+            self.memo.words.add(lens[new], split.cp[at])
+        at, ends = picked(self.memo.ids.offsets[: self.memo.ids.n + 1], row[which])
+        out = self.memo.ids.flat[at]
         cuts = np.concatenate([[0], ends])[split.bounds]
         return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
+    def _known(self, cp: np.ndarray, starts: np.ndarray, lens: np.ndarray, row: np.ndarray) -> bool:
+        """Are these words, code point by code point, those that the memo holds in these rows?"""
+        held = self.memo.words
+        begin = held.offsets[row]
+        if (held.offsets[row + 1] - begin != lens).any():
+            return False
+        return bool((held.flat[ragged(begin, lens)[0]] == cp[ragged(starts, lens)[0]]).all())
+
 
 @cache
 def encoder(path: str, memo: int) -> WordEncoder:
@@ -141,45 +161,102 @@ def encoder(path: str, memo: int) -> WordEncoder:
 # --- grammar --------------------------------------------------------------------------------------
 
 
+#: A symbol, and two flags beside it: the end of a document, and the beginning of a pair that may be frequent.
+_SYMBOL, _LAST, _LIVE = np.uint32((1 << 30) - 1), np.uint32(1 << 31), np.uint32(1 << 30)
+
+
 def repair(ids: np.ndarray, last: np.ndarray, first_new: int, params: TokenFileParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, which of them end a document, rules as rows (left, right)).
 
-    Each round counts all pairs in a hashed table, takes exact counts of those that
-    may be frequent, and replaces the frequent ones from left to right.  The most frequent
-    pair is always among them, so rounds end when no pair has `least` occurrences.
+    Each round counts all pairs in a hashed table and takes exact counts of those that
+    may be frequent (at least `share` of the most frequent pair's).  Where two occurrences
+    overlap, the more frequent pair is replaced; what is not frequent any more waits for the
+    next round.  The most frequent pair is always replaced, so rounds end when
+    no pair has `least` occurrences apart from each other.
     """
-    symbols, rules, bits = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), 20
-    while len(symbols) > 1:
-        code = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        bins = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        counts = np.bincount(bins[~last[:-1]], minlength=1 << bits)
-        least = max(params.least, int(params.share * counts.max()))
-        at = np.flatnonzero((counts >= least)[bins] & ~last[:-1])
-        pairs, which, n = np.unique(code[at], return_inverse=True, return_counts=True)
-        at = at[(n >= least)[which]]
+    bits, made, share, rules = 18, 0, params.share, []
+    # a pair that is not frequent once never becomes so: live are the places where a frequent one may begin
+    s = ids.astype(np.uint32) | np.where(last, _LAST, _LIVE)
+    s[-1:] &= ~_LIVE
+    while True:
+        at = np.flatnonzero((s & _LIVE) != 0)
+        left, right = s[at] & _SYMBOL, s[at + 1] & _SYMBOL
+        bins = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - bits)
+        counts = np.bincount(bins, minlength=1 << bits)
+        least = max(params.least, int(share * counts.max()))
+        s[at[(counts < params.least)[bins]]] &= ~_LIVE
+        some = np.flatnonzero((counts >= least)[bins])
+        at = at[some]
+        which, pairs = pd.factorize(left[some].astype(np.uint64) << np.uint64(32) | right[some])
+        n = np.bincount(which, minlength=len(pairs))
+        s[at[(n < params.least)[which]]] &= ~_LIVE
+        ok = (n >= least)[which]
+        at, which = at[ok], which[ok]
+        # of a pair that overlaps itself, every second one from the left
+        at, which = _frequent(at, which, _every_second(at, which), len(pairs), params.least)
         if not len(at):
-            break
-        # of neighbours that overlap, every second one from the left
-        run = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1])
-        place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at = at[place % 2 == 0]
-        pairs, which = np.unique(code[at], return_inverse=True)
-        symbols = symbols.copy()
-        symbols[at] = first_new + len(rules) + which
-        rules = np.concatenate([rules, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
-        keep = np.ones(len(symbols), bool)
+            if least == params.least:
+                return s & _SYMBOL, (s & _LAST) != 0, np.concatenate([np.zeros((0, 2), np.uint32), *rules])
+            share = 0  # only chance meetings in the table reached the part of the most frequent
+            continue
+        share = params.share
+        at, which = _frequent(at, which, _winners(at, which), len(pairs), params.least)
+        used, which = np.unique(which, return_inverse=True)
+        rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        ends = s[at + 1] & _LAST
+        s[at] = (first_new + made + which).astype(np.uint32) | np.where(ends, _LAST, _LIVE)
+        made += len(used)
+        before = at[at > 0] - 1
+        s[before] |= np.where(s[before] & _LAST, np.uint32(0), _LIVE)
+        keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        last = last.copy()
-        last[at] = last[at + 1]
-        symbols, last = symbols[keep], last[keep]
-    return symbols, last, rules
+        s = s[keep]
+
+
+def _every_second(at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Of runs of places one after the other with the same pair: the first, the third and so on."""
+    run = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(which) != 0)])[: len(at)])
+    place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+    return place % 2 == 0
+
+
+def _winners(at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places that can be replaced together: of two that overlap, that of the more frequent pair."""
+    n = np.bincount(which)
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+    own, out, open_ = rank[which], np.zeros(len(at), bool), np.ones(len(at), bool)
+    touch = np.diff(at) == 1
+    for _ in range(3):  # what is still open then waits for the next round
+        value = np.where(open_, own, -1)
+        beats_next, beats_last = np.ones(len(at), bool), np.ones(len(at), bool)
+        beats_next[:-1] = ~touch | (value[:-1] > value[1:])
+        beats_last[1:] = ~touch | (value[1:] > value[:-1])
+        won = open_ & beats_next & beats_last
+        out |= won
+        open_ &= ~won
+        open_[1:] &= ~(touch & won[:-1])
+        open_[:-1] &= ~(touch & won[1:])
+    return out
+
+
+def _frequent(at: np.ndarray, which: np.ndarray, keep: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the kept places those whose pair has `least` of them."""
+    at, which = at[keep], which[keep]
+    ok = (np.bincount(which, minlength=pairs) >= least)[which]
+    return at[ok], which[ok]
 
 
 def expansion_lengths(rules: np.ndarray, first_new: int) -> np.ndarray:
     """The number of ids that each rule stands for; rules only name earlier rules."""
     out = np.ones(first_new + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[first_new + k] = out[a] + out[b]
+    out[first_new:] = 0  # unknown yet
+    open_ = np.arange(len(rules))
+    while len(open_):
+        left, right = out[rules[open_, 0]], out[rules[open_, 1]]
+        known = (left > 0) & (right > 0)
+        out[first_new + open_[known]] = (left + right)[known]
+        open_ = open_[~known]
     return out[first_new:]
 
 
@@ -197,17 +274,25 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_new: int) -> np.ndarray
         symbols = out
 
 
+def _packed(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, codec="zstd", asbytes=True)
+
+
 def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray], first_new: int, params: TokenFileParams) -> bytes:
     lens = np.fromiter(map(len, ids), np.int64, len(ids))
     last = np.zeros(int(lens.sum()), bool)
     last[np.cumsum(lens) - 1] = True
     symbols, last, rules = repair(np.concatenate(ids), last, first_new, params)
     per = np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
-    head = zlib.compress(b"".join([
+    head = _packed(b"".join([
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(),
         lens.astype("<u4").tobytes(), per.astype("<u4").tobytes(), rules[:, 0].astype("<u4").tobytes(), rules[:, 1].astype("<u4").tobytes(),
-        expansion_lengths(rules, first_new).astype("<u4").tobytes()]), params.level)
-    blocks = [zlib.compress(symbols[k : k + params.block].astype("<u4").tobytes(), params.level) for k in range(0, len(symbols), params.block)]
+        expansion_lengths(rules, first_new).astype("<u4").tobytes()]))
+    blocks = [_packed(symbols[k : k + params.block].astype("<u4").tobytes()) for k in range(0, len(symbols), params.block)]
     sizes = np.array([len(x) for x in blocks], "<u4").tobytes()
     return b"".join([MAGIC, struct.pack("<6I", len(ids), len(rules), len(symbols), first_new, params.block, len(head)), sizes, head, *blocks])
 
@@ -222,7 +307,7 @@ class Shard:
         start = 28 + 4 * blocks + size
         self.data = data
         self.places = start + np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", blocks, 28).astype(np.int64))])
-        body, at = zlib.decompress(data[start - size : start]), 0
+        body, at = _unpacked(data[start - size : start], 17 * n + 12 * r), 0
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -238,18 +323,27 @@ class Shard:
         self.ends = np.concatenate([[0], np.cumsum(self.per.astype(np.int64))])
 
     def symbols(self, a: int, b: int) -> np.ndarray:
-        """Symbols a:b; only the blocks that hold them are inflated."""
+        """Symbols a:b; only the blocks that hold them are unpacked."""
         if a == b:
             return np.zeros(0, np.uint32)
         first, stop = a // self.block, -(-b // self.block)
-        raw = b"".join(zlib.decompress(self.data[self.places[k] : self.places[k + 1]]) for k in range(first, stop))
+        raw = b"".join(_unpacked(self.data[self.places[k] : self.places[k + 1]], 4 * min(self.block, self.m - k * self.block)) for k in range(first, stop))
         return np.frombuffer(raw, "<u4")[a - first * self.block : b - first * self.block]
 
     def document(self, k: int) -> np.ndarray:
         return expand(self.symbols(self.ends[k], self.ends[k + 1]), self.rules, self.first_new)
 
     def all(self) -> list[np.ndarray]:
-        return np.split(expand(self.symbols(0, self.m), self.rules, self.first_new), np.cumsum(self.lens.astype(np.int64))[:-1])
+        """Every document: each rule that a symbol names is expanded once, and its ids are copied from there."""
+        symbols = self.symbols(0, self.m)
+        big = symbols >= self.first_new
+        used, which = np.unique(symbols[big], return_inverse=True)
+        flat = np.concatenate([expand(used, self.rules, self.first_new), symbols[~big]])
+        size, begin = np.ones(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
+        own = self.sizes[used - self.first_new].astype(np.int64)
+        size[big], begin[big] = own[which], (np.cumsum(own) - own)[which]
+        begin[~big] = int(own.sum()) + np.arange(int((~big).sum()))
+        return np.split(flat[ragged(begin, size)[0]], np.cumsum(self.lens.astype(np.int64))[:-1])
 
     def tokens(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start:stop of document k, expanding only the symbols that cover them."""
