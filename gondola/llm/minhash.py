@@ -8,7 +8,8 @@
 3. Candidates are compared by signature, a batch of hashes at a time.  After each
    batch the posterior of the similarity (uniform prior) is known in closed form;
    a pair is dropped once P(similarity >= threshold) is below the miss probability.
-4. Survivors are verified on their full shingle sets.
+4. Survivors are verified on their full shingle sets: a hub's set travels once for each block
+   of its partners, a partner's once.
 5. Links give components.  Within a bucket, classes of different components that
    were not yet compared are compared in blocks of bounded size by signature, in
    the first band that they share, and pruned in the same way.  Classes with a
@@ -23,7 +24,8 @@ chosen miss probability of the pruning.
 
 Defined results: null and empty texts and texts without words have empty sets and
 link with nothing.  Rows with null ids keep their class, but a null is never the
-smallest id unless the whole class has null ids.  Repeated rows share a class.
+smallest id unless the whole class has null ids.  Repeated rows share a class.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -154,16 +156,45 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, params: MinHashParams) -> Da
     return texts.join(wanted, "cid").select("cid", sets(params)("text").alias("set")).dropDuplicates(["cid"])
 
 
+def _similar(params: MinHashParams):
+    """mapInArrow function over rows of (hub, part), the hub's set first: links (a, b) of the hub to the partners behind it.
+
+    Holds one set of a hub and one batch, whatever a hub's number of partners.
+    """
+
+    def run(batches):
+        hub, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            sets_, out = batch["set"], []
+            for k, (side, lead, cid) in enumerate(zip(*(batch[c].to_pylist() for c in ("side", "lead", "cid")))):
+                each = sets_[k].values.to_numpy().view(np.uint64)
+                if side == 0:
+                    hub, own = lead, each.copy()
+                    continue
+                assert hub == lead, "a hub's set comes before its partners"
+                at = np.minimum(own.searchsorted(each), len(own) - 1)
+                common = int((own[at] == each).sum())
+                if 100 * common >= params.percent * (len(own) + len(each) - common):
+                    out.append((min(lead, cid), max(lead, cid)))
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, params: MinHashParams, name: str) -> DataFrame:
-    """The pairs (a, b) of class ids whose full shingle sets are similar enough."""
+    """Links (a, b) among the pairs (lead, cid) whose full shingle sets are similar enough.
+
+    A partner's set is shuffled once, a hub's once for each `block` partners.
+    """
     pairs = shared.stored(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    full = shared.stored(_full_sets(texts, wanted, params), f"{name}-sets")
-    both = pairs.join(full.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(
-        full.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return shared.stored(
-        both.where(100 * common >= params.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), f"{name}-links")
+    sizes = pairs.groupBy("lead").agg(F.ceil(F.count("*") / params.block).cast("int").alias("parts"))
+    dealt = pairs.join(sizes, "lead").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(9)), "parts").cast("int"))
+    hubs = dealt.select("lead", "part").distinct().select("lead", "part", F.lit(0).alias("side"), F.col("lead").alias("cid"))
+    rows = hubs.unionByName(dealt.select("lead", "part", F.lit(1).alias("side"), "cid"))
+    full = shared.stored(_full_sets(texts, rows.select("cid").distinct(), params), f"{name}-sets")
+    laid = rows.join(full, "cid").select("lead", "part", "side", "cid", "set").repartition("lead", "part").sortWithinPartitions("lead", "part", "side")
+    return shared.stored(laid.mapInArrow(_similar(params), "a bigint, b bigint"), f"{name}-links")
 
 
 def _by_block(work):
@@ -294,9 +325,11 @@ def near_duplicates(docs: DataFrame, params: MinHashParams, id_col: str = "doc_i
     sigs = picked.select("cid", "sig")
     texts = docs.select(key.alias("_k"), F.col(text_col).alias("text")).join(picked.select("cid", "_k"), "_k")
 
-    star = members.where("cid <> lead").select(F.least("lead", "cid").alias("a"), F.greatest("lead", "cid").alias("b")).distinct()
-    near = star.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(
-        sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b").where(possible(params)("sa", "sb")).select("a", "b")
+    # a pair that meets in several buckets, with either class as the hub, is one pair
+    star = members.where("cid <> lead").groupBy(F.least("lead", "cid").alias("a"), F.greatest("lead", "cid").alias("b")).agg(F.min("lead").alias("lead"))
+    star = star.select("lead", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("cid"))
+    near = star.join(sigs.select(F.col("cid").alias("lead"), F.col("sig").alias("sa")), "lead").join(
+        sigs.select("cid", F.col("sig").alias("sb")), "cid").where(possible(params)("sa", "sb")).select("lead", "cid")
     links = _verified(near, texts, params, "minhash-star")
     roots = shared.stored(shared.components(links, "minhash-roots"), "minhash-roots")
     dealt = shared.stored(_blocks(members, roots, params), "minhash-blocks")
