@@ -9,8 +9,9 @@ of their cells until all cells are empty.
 
 The fingerprint is a sketch of fixed size.  Where the difference is too large for
 it, peeling stops early; both versions are then sketched again, larger, in groups
-of bounded size, and once more with twice and four times the cells and another
-salt.  Should all fail (never seen), the sets themselves are compared.
+of bounded size, and on failure again and again with twice the cells and another salt
+(`tries`).  A try fails for a few documents in a hundred at most, and the tries are independent;
+should all fail (never seen), the job ends with an error rather than with a guess.
 
 Likeness of two documents with a and b paragraphs that differ in d is
 (a + b - d) / (a + b + d), the Jaccard similarity of the sets; of two documents
@@ -18,7 +19,8 @@ without paragraphs it is 1.
 
 Defined results: null and empty texts and texts of blank lines have no paragraphs.
 Repeated paragraphs count once.  Repeated ids: by text hash, descending; null ids
-come last.
+come last.  Of equal rows (id and text) each but the last has an equal one as its next document.
+An empty table gives no rows; the only document is its own next one.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ class SketchParams:
     cells: int = 8  #: per group of cells, three groups
     rounds: int = 12  #: of peeling; each takes all cells that are pure
     group: int = 48  #: hashes that one larger sketch takes, on average
-    block_bytes: int = 8 << 20  #: text of one block of neighbouring documents
+    task_bytes: int = 16 << 20  #: text that one task shuffles
+    sketch_bytes: int = 8 << 20  #: text whose sketches one task makes
+    tries: tuple[int, ...] = (1, 2, 4, 8, 16, 32)  #: sizes of the larger sketches, each with another salt
 
 
 CHECK = "xxhash64({0}, 77)"
@@ -102,7 +106,7 @@ def likeness(a: str, b: str, sa: str, sb: str, params: SketchParams) -> str:
     m = f"{params.cells}"
     # a difference of more hashes than cells cannot peel
     small = f"if(abs(size({a}) - size({b})) >= {3 * params.cells}, null, {peeled(sa, sb, m, 0, params.rounds)})"
-    tries = [small, *(larger(a, b, t, 1000 * t, params) for t in (1, 2, 4)), f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"]
+    tries = [small, *(larger(a, b, t, 1000 * t, params) for t in params.tries), "cast(raise_error('no sketch peels') as int)"]
     return _let(f"coalesce({', '.join(tries)})", lambda d: (
         f"if(size({a}) + size({b}) = 0, 1.0D, cast(size({a}) + size({b}) - {d} as double) / (size({a}) + size({b}) + {d}))"))
 
@@ -119,47 +123,45 @@ def written(cells: str, hashes: str) -> str:
     return f"concat(size({hashes}), '/', array_join(transform({cells}, {x} -> concat({x}.c, ':', lower(hex({x}.k)), ':', lower(hex({x}.h)))), ','))"
 
 
-def _block(bounds: list[int], key: str) -> str:
-    """SQL: how many of the sorted bounds are below key, by halving."""
-    if not bounds:
-        return "0"
-    s, z = next(_names), next(_names)
-    array = f"array({', '.join(f'{x}L' for x in bounds)})"
-    mid = f"cast(({s}.lo + {s}.hi) div 2 as int)"
-    steps = len(bounds).bit_length() + 1
-    return (
-        f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(bounds)}), ({s}, {z}) -> if({s}.lo >= {s}.hi, {s}, "
-        f"if(element_at({array}, {mid} + 1) < {key}, named_struct('lo', {mid} + 1, 'hi', {s}.hi), named_struct('lo', {s}.lo, 'hi', {mid}))), {s} -> {s}.lo)"
-    )
+#: A distinct (id, text), in descending order of ids: nulls last, ties by text hash.  Descending as ascending complements, which cannot overflow.
+KEY = ["z", "i", "x", "y"]
 
 
-def with_next(docs: DataFrame, params: SketchParams, id_col: str, text_col: str) -> DataFrame:
-    """(_id, text, next_text): the next document by descending id; after the last one the first.
+def _ordered(rows: DataFrame) -> DataFrame:
+    """(KEY, n, m, bytes, before): one row a distinct document with its code points, copies, and KEY and n of the document before it.
 
-    Documents are dealt to blocks of neighbouring ids of about block_bytes (bounds:
-    one number a block).  The first document of a block also goes, marked, to the
-    end of the block before it, so texts are shuffled once.
+    Before the first comes the last.  No text is moved: rows are range-partitioned by
+    KEY, and neighbours across partitions meet in a table of one row a partition.
+    """
+    slim = rows.groupBy(*KEY).agg(F.first("n").alias("n"), F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
+    laid = shared.stored(slim.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()), "sketch-order")
+    me = F.struct(*KEY, "n")
+    by_part = Window.orderBy("part")
+    ends = laid.groupBy("part").agg(F.max(me).alias("last"))
+    across = ends.select("part", F.coalesce(F.lag("last").over(by_part), F.max("last").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("across"))
+    inside = laid.withColumn("inside", F.lag(me).over(Window.partitionBy("part").orderBy(*KEY)))
+    # one row for each partition of the range shuffle: a bound that data cannot exceed
+    return inside.join(F.broadcast(across), "part").withColumn("before", F.coalesce("inside", "across")).drop("part", "inside", "across")
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(_id, n, m, text, start, b) and the bytes of all texts: start is what the next document gives to the edited text, b its paragraphs.
+
+    The next document is that by descending id; after the last one the first.  One row stands for m
+    equal rows (id and text); of these all but one have an equal row as the next one.
+    Texts are shuffled once; to its predecessor a document sends the start of its text that is wanted there, and its hashes.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = int(min(max(total // params.block_bytes + 1, 1), 20_000))
-    cuts = [k / n for k in range(1, n)]
-    found = rows.agg(F.percentile_approx("_id", cuts, 50 * n)).first()[0] if cuts else []
-    bounds = sorted(set(found or []))
-    rows = rows.withColumn("x", F.xxhash64("text")).withColumn("block", F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(F.expr(_block(bounds, "_id"))))
-    heads = rows.groupBy("block").agg(F.max(F.struct(F.coalesce("_id", F.lit(-(1 << 63))).alias("i"), "x")).alias("h")).select("block", "h.*")
-    # one row a block: its first document, and the block that precedes it
-    known = sorted(heads.collect(), key=lambda r: r["block"])
-    goes = [(r["block"], r["i"], r["x"], known[(k + 1) % len(known)]["block"]) for k, r in enumerate(known)]
-    where = spark.createDataFrame(goes, "b int, i long, hx long, target int")
-    at = rows.join(F.broadcast(where), (rows.block == where.b) & (rows.x == where.hx) & (F.coalesce("_id", F.lit(-(1 << 63))) == where.i), "left")
-    own = F.struct(F.col("block").alias("b"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("target").alias("b"), F.lit(True).alias("guest"))
-    dealt = at.select("_id", "text", "x", F.explode(F.when(F.col("target").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("to"))
-    dealt = dealt.select("_id", "text", "x", F.col("to.b").alias("block"), F.col("to.guest").alias("guest"))
-    order = Window.partitionBy("block").orderBy("guest", F.col("_id").desc_nulls_last(), F.col("x").desc())
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("not guest").select("_id", "text", "next_text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("text")).select(
+        F.col("_id").isNull().alias("z"), F.bitwise_not(F.coalesce("_id", F.lit(0))).alias("i"), F.bitwise_not(F.xxhash64("text")).alias("x"),
+        F.bitwise_not(F.crc32(F.col("text").cast("binary"))).alias("y"), "text")
+    sizes = rows.select(*KEY, F.char_length("text").alias("n"), F.octet_length("text").cast("long").alias("bytes"))
+    order = shared.stored(_ordered(sizes), "sketch-neighbours")
+    total = order.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    own = rows.groupBy(*KEY).agg(F.first("text").alias("text")).join(order, KEY)
+    sent = own.select(*[F.col(f"before.{k}").alias(k) for k in KEY], F.expr("left(text, cast(before.n div 2 as int))").alias("start"), F.expr(paragraphs("text")).alias("b"))
+    met = own.select(*KEY, "text", "n", "m").join(sent, KEY)
+    return met.select(F.when(~F.col("z"), F.bitwise_not("i")).alias("_id"), F.col("n").cast("long").alias("n"), "m", "text", "start", "b"), total
 
 
 def fingerprints(docs: DataFrame, params: SketchParams = SketchParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,15 +170,24 @@ def fingerprints(docs: DataFrame, params: SketchParams = SketchParams(), id_col:
     The edited text ends, in place of its last n_chars // 2 code points, with the
     first as many of the next document.
     """
-    found = with_next(docs, params, id_col, text_col).withColumn("n_chars", F.char_length("text").cast("long"))
-    edited = F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), left(next_text, cast(n_chars div 2 as int)))")
-    texts = found.withColumn("edited", edited)
-    hashed = shared.stored(texts.select(
-        "_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        F.expr(paragraphs("text")).alias("a"), F.expr(paragraphs("edited")).alias("e"), F.expr(paragraphs("next_text")).alias("b")), "sketch-paragraphs")
+    found, total = with_next(docs, id_col, text_col)
+    # the row whose next document is another one, and the equal rows before it
+    one = F.struct("start", "b", F.lit(1).cast("long").alias("times"))
+    equal = F.struct(F.expr("left(text, cast(n div 2 as int))").alias("start"), F.expr(paragraphs("text")).alias("b"), (F.col("m") - 1).alias("times"))
+    rows = found.withColumn("v", F.explode(F.when(F.col("m") > 1, F.array(one, equal)).otherwise(F.array(one))))
+    texts = rows.select("_id", F.col("n").alias("n_chars"), "text", "v.b", "v.times", F.expr("concat(left(text, cast(n - n div 2 as int)), v.start)").alias("edited"))
+    hashed = texts.select(
+        "_id", "n_chars", "times", F.sha2("edited", 256).alias("edited_sha256"), F.expr(paragraphs("text")).alias("a"), F.expr(paragraphs("edited")).alias("e"), "b")
+    with shared.shuffle_tasks(docs.sparkSession, total // params.task_bytes):
+        hashed = shared.stored(hashed, "sketch-paragraphs")
+    # sketching takes many times longer than reading its input: dealt anew, by the bytes of the texts
+    hashed = hashed.repartition(max(int(total // params.sketch_bytes), 1), "_id", "edited_sha256")
     m = f"{params.cells}"
     sketched = hashed.withColumns({f"s{x}": F.expr(sketch(x, m, 0)) for x in "aeb"})
-    return sketched.select(
+    out = sketched.select(
         F.col("_id").alias(id_col), "n_chars", "edited_sha256", F.expr(written("sa", "a")).alias("fingerprint"),
         F.expr(written("se", "e")).alias("edited_fingerprint"), F.expr(likeness("a", "e", "sa", "se", params)).alias("near_edited"),
-        F.expr(likeness("a", "b", "sa", "sb", params)).alias("near_next"))
+        F.expr(likeness("a", "b", "sa", "sb", params)).alias("near_next"), "times")
+    # equal rows again, in steps whose arrays stay small
+    steps = out.withColumn("step", F.explode(F.expr("sequence(0L, (times - 1) div 4096)")))
+    return steps.withColumn("copy", F.explode(F.expr("sequence(1L, least(4096L, times - step * 4096L))"))).drop("times", "step", "copy")

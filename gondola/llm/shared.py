@@ -1,8 +1,8 @@
 """What the training-data operators share: shared storage, prefix sums, components.
 
 Intermediate tables live below the folder named by ``spark.checkpoint.dir``,
-which every executor and the driver can reach; only where that is unset (tests,
-one machine) a temporary folder stands in.  A written table cuts lineage and
+which every executor and the driver can reach; only where that is unset and the
+master is local (tests, one machine) a temporary folder stands in.  A written table cuts lineage and
 survives lost executors, which cached blocks would not.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,15 +20,34 @@ from pyspark.sql import functions as F
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
 
+class NoSharedFolder(ValueError):
+    """``spark.checkpoint.dir`` is unset on a cluster: executors would write to folders that others cannot read."""
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one on a local master and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise NoSharedFolder(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="gondola-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found else f"file://{found}"
 
 
+@contextmanager
+def shuffle_tasks(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """At least so many shuffle partitions for the jobs that run inside; small ones are joined again at run time."""
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(was), int(tasks))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/gondola/{name}-{uuid.uuid4().hex}"
 
