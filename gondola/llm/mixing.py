@@ -5,7 +5,7 @@ together they take `share` times all words; a source gives at most `most` times
 its words, and what it cannot give goes to the others by weight (water filling:
 one pass over sources sorted by cap per weight).
 
-Words.  Within a source, documents stand in an order of hashes.  The source's
+Words.  Within a source, documents stand in the order of their ids' digests.  The source's
 target is cut from as many passes over that order as it needs: whole passes, and
 a last one that ends at the target, in the middle of a document where need be.
 
@@ -15,13 +15,14 @@ Its integral (1 + a)t - a*t*t is the part of the source's words that are demande
 by t; inverting it at a document's place gives its position.  Documents are
 range-sorted by position.
 
-Prefix sums run over range partitions of (source, hash), so one source may hold
-most of the rows.
+Prefix sums run over range partitions of (source, digest), so one source may hold
+most of the rows.  Targets are windows over a table of one row a source, sorted in one
+task: 24 bytes a source, so some ten million sources are its bound.
 
 Defined results: null texts have no words and are taken with 0 words; documents
 without words have a null position unless their source is taken.  A null source is
 a source.  Repeated rows are documents of their own.  Without any words all
-targets are 0.
+targets are 0.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,9 +76,9 @@ def plan(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(*docs.columns).alias("row_key"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_by"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
     laid = shared.stored(
-        shared.global_prefix(slim, [F.col("source").isNull(), F.col("source"), F.xxhash64("row_key", F.lit(5)), F.col("row_key")], "size", "mix-order"),
+        shared.global_prefix(slim, [F.col("source").isNull(), F.col("source"), F.col("_by"), F.col("row_key")], "size", "mix-order"),
         "mix-rows")
     sizes = laid.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = shared.stored(source_targets(sizes, params), "mix-targets").withColumnRenamed("source", "_s")

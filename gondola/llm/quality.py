@@ -2,20 +2,20 @@
 
 Features are indicators of n-grams, hashed to `dims` cells: words, and runs of one
 to three word shapes (case, digits, signs at the end, repetition of the word
-before), with white-space rows seen as shapes of their own.  Indicator j counts
+before).  Indicator j counts
 r_j, the log ratio of its smoothed rates in the two classes.  On the scaled
 indicators (each text's vector brought to unit length) dual coordinate descent
 fits the hinge loss; a logistic curve, fitted on rows that the descent did not
 see, turns margins into scores.
 
-The fit takes at most `fit_rows` labelled rows, those of smallest hash: a bound on
-what reaches the driver that does not grow with the data.  Scoring takes whole
-texts, all rows.
+The fit takes the labelled rows of smallest hash, at most `fit_rows` of them and at
+most `fit_cells` cells: bounds on what reaches the driver that do not grow with the
+data (4 bytes a cell).  Scoring takes whole texts, all rows.
 
 Defined results: null and empty texts have no features and score by the intercept
 alone.  Labels that are null do not take part; where labels hold one class only or
 none, every score is that class's share (0.5 without labels).  Rows of labels
-that repeat an id count once, with their smallest label.
+that repeat an id count once, with their smallest label.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.llm import shared
@@ -35,6 +35,7 @@ from gondola.llm.words import SPACE, Words, mix, passes
 class QualityParams:
     dims: int = 1 << 18
     fit_rows: int = 6000  #: bound on labelled rows that the fit takes
+    fit_cells: int = 1 << 25  #: bound on cells of those rows, all together
     smooth: float = 1.0
     cost: float = 1.0  #: C of the hinge loss
     epochs: int = 12
@@ -175,7 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityPar
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "_id")
     found = rows.groupBy("_id", "_h", "label").agg(F.min("text").alias("text")).select("_h", "_id", "label", cells("text").alias("cells"))
-    got = found.toArrow()
+    # at most fit_rows rows in this window
+    run = Window.orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    kept = shared.stored(found, "quality-cells").withColumn("_sum", F.sum(F.size("cells").cast("long")).over(run)).where(F.col("_sum") <= params.fit_cells)
+    got = kept.drop("_sum").toArrow()
     order = np.lexsort((got["_id"].to_numpy(), got["_h"].to_numpy())) if len(got) else []
     return fit([np.asarray(got["cells"][int(k)].values) for k in order], got["label"].to_numpy()[order] if len(got) else np.zeros(0, int), params)
 

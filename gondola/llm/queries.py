@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.llm import bpe, embed_dedup, iblt, minhash, mixing, quality, shared, sharding, token_files, url_filter, warc
 
-#: Folder of the public tokenizers' files; the environment may name another.
-TOKENIZERS = os.environ.get("GONDOLA_TOKENIZERS") or "/opt/tokenizers"
+#: Folder of the public tokenizers' files, where another than the installed package's is wanted.
+TOKENIZERS = os.environ.get("GONDOLA_TOKENIZERS")
 
 
 def tokenizer(name: str) -> str:
-    """A vocabulary file: of the installed package, or below TOKENIZERS."""
-    if importlib.util.find_spec("public_tokenizers"):
-        import public_tokenizers
-
-        return str(public_tokenizers.path(name))
-    return os.path.join(TOKENIZERS, name)
+    """A vocabulary file: below TOKENIZERS where that is set, else of the installed package."""
+    return os.path.join(TOKENIZERS, name) if TOKENIZERS else str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +105,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _RULES_SQL = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
 
+
+def _crc_table() -> list[int]:
+    """crc32 of each byte, from its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+#: SQL of the unsigned crc32 of a text's bytes, as 8 bits at a time.
+_CRC_SQL = f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT),
+  lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
+#: SQL of the words of a text, A-Z in lower case.
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 ORACLE: dict[str, str] = {
     "op1_warc": r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -131,6 +143,49 @@ m AS (
   SELECT page_id, arg_max(h || p, length(h || p) * 10000 + length(h)) AS rule, arg_max(v, length(h || p) * 10000 + length(h)) AS verdict
   FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)""",
+    "op2_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.98 ELSE false END),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x), c AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, low AS component_id, vec_id = low AS kept FROM v JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x""",
+    "op4_minhash": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS a, generate_subscripts(w, 1) AS k FROM w),
+g AS (SELECT doc_id, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o AS g FROM t WHERE n >= 3 WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+s AS (SELECT DISTINCT doc_id, g FROM g WHERE g IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 2),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN z zx ON x = zx.doc_id JOIN z zy ON y = zy.doc_id WHERE 100 * c >= 85 * (zx.n + zy.n - c)),
+u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, u.y FROM reach JOIN u ON reach.y = u.x),
+c AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, low AS component_id, d.doc_id = low AS kept FROM documents d JOIN c ON d.doc_id = c.x LEFT JOIN z ON d.doc_id = z.doc_id""",
+    "op5_sharding": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS (SELECT doc_id, octet_length(encode(t)) + 1 AS size, md5(t) AS h, {_CRC_SQL} AS crc FROM d),
+o AS (SELECT *, row_number() OVER w - 1 AS rank, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM r WINDOW w AS (ORDER BY h, doc_id)),
+e AS (SELECT *, min(a) OVER (PARTITION BY h) AS g0, max(a + size) OVER (PARTITION BY h) AS g1, sum(size) OVER ()::BIGINT AS total FROM o),
+c AS (SELECT CASE WHEN g1 - g0 <= total // 8 THEN CASE WHEN 2 * target < g0 + g1 THEN g0 ELSE g1 END WHEN 2 * target < 2 * a + size THEN a ELSE a + size END AS cut
+  FROM (SELECT *, total * k // 8 AS target FROM e, range(1, 8) x(k)) WHERE a <= target AND target < a + size),
+s AS (SELECT *, (SELECT count(*) FROM c WHERE cut <= a)::INT AS shard FROM e)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, (rank - min(rank) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM s""",
+    "op7_mixing": rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+z AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[k % 3 + 1] AS w, ([0.5, 0.0, -0.5]::DOUBLE[])[k % 3 + 1] AS tilt, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS wanted FROM z),
+b AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS cap0, coalesce(sum(w) OVER before, 0) AS w0, sum(w) OVER () AS w1 FROM w
+  WINDOW before AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, coalesce(cap <= (wanted - cap0) / nullif(w1 - w0, 0) * w, true) AS full_ FROM b),
+t AS (SELECT source, source_size, tilt AS a, CASE WHEN full_ THEN cap ELSE (wanted - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (), 0)) * w / sum(CASE WHEN NOT full_ THEN w END) OVER () END AS target FROM f),
+r AS (SELECT doc_id, d.source, size, source_size, target, a, floor(target)::BIGINT AS want,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS gone FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, coalesce(want // nullif(source_size, 0), 0) AS rounds FROM r),
+p AS (SELECT *, greatest(0, least(size, want - rounds * source_size - gone)) AS part, least(1.0::DOUBLE, gone::DOUBLE / want) AS u FROM q)
+SELECT doc_id, source, size, source_size, target, (rounds * size + part)::BIGINT AS taken,
+  CASE WHEN rounds > 0 OR part > 0 THEN CASE WHEN a = 0 THEN u ELSE ((1 + a) - sqrt(greatest(0.0::DOUBLE, (1 + a) * (1 + a) - 4 * a * u))) / (2 * a) + 0.0::DOUBLE END END AS position FROM p""",
 }
 
 

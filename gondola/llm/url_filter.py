@@ -120,16 +120,25 @@ def _mapped(name: str) -> RuleFile:
 
 
 def distribute(spark: SparkSession, rules: list[Rule]) -> str:
-    """Send the rules file to all executors; returns its name there, which its content decides."""
+    """Send the rules file to all executors; returns its name there, which its content decides.
+
+    The driver's copy lies in a folder of its own; executors get theirs from Spark, not from that folder.
+    """
     data = pack(rules)
     name = f"url-rules-{xxhash.xxh64_hexdigest(data)}.bin"
-    path = os.path.join(tempfile.gettempdir(), name)
-    with open(path, "wb") as f:
-        f.write(data)
-    spark.sparkContext.addFile(path)
+    if name not in _sent.setdefault(spark.sparkContext.applicationId, set()):
+        path = os.path.join(tempfile.mkdtemp(prefix="gondola-rules-"), name)
+        with open(path, "wb") as f:
+            f.write(data)
+        spark.sparkContext.addFile(path)
+        _sent[spark.sparkContext.applicationId].add(name)
     return name
 
 
+#: Rules files that each application has sent.
+_sent: dict[str, set[str]] = {}
+
+
 def verdicts(spark: SparkSession, url: Column, rules: list[Rule], default: str = "allow") -> Column:
     """struct(host, path, rule, verdict) of a url column."""
     name = distribute(spark, rules)

@@ -123,18 +123,33 @@ def test_minhash(spark, docs):
 
 
 def test_sharding(spark, docs):
+    """Shards are near equal, gapless, and keep each group of equal texts that is no larger than a shard's part."""
     got = run(spark, "op5_sharding")
-    by, last = defaultdict(list), -1
+    by, groups = defaultdict(list), defaultdict(list)
     for d in docs:
         raw, r = (d["text"] or "").encode(), got[d["doc_id"]]
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
-        assert r["shard"] >= last
-        last = r["shard"]
-        assert r["slot"] == len(by[r["shard"]])
-        by[r["shard"]].append(r["size"])
-    total, most = sum(map(sum, by.values())), max(max(x) for x in by.values())
+        by[r["shard"]].append(r)
+        groups[raw].append(r)
     assert sorted(by) == list(range(8))
-    assert all(abs(sum(x) - total / 8) <= most for x in by.values())
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values())
+    total, most = sum(r["size"] for x in by.values() for r in x), 0
+    for x in groups.values():
+        size = sum(r["size"] for r in x)
+        if size <= total // 8:
+            assert len({r["shard"] for r in x}) == 1
+            most = max(most, size)
+    assert sum(len(x) > 1 for x in groups.values()) > 20
+    assert all(abs(sum(r["size"] for r in x) - total / 8) <= most for x in by.values())
+    # by hand: in the order of digests, every target's cut at the nearer edge of its group
+    order = sorted(groups.items(), key=lambda g: hashlib.md5(g[0]).hexdigest())
+    ends = np.cumsum([0, *(sum(r["size"] for r in x) for _, x in order)])
+    cuts = []
+    for target in (total * k // 8 for k in range(1, 8)):
+        k = np.searchsorted(ends, target, "right") - 1
+        cuts.append(ends[k] if 2 * target < ends[k] + ends[k + 1] else ends[k + 1])
+    for (_, x), start in zip(order, ends):
+        assert all(r["shard"] == sum(c <= start for c in cuts) for r in x)
 
 
 def test_quality(spark, docs):
@@ -180,6 +195,18 @@ def test_mixing(spark, docs):
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[d["source"]] += r["taken"]
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    for s in want:
+        # by hand: passes over the source in the order of digests, whole ones and a last one up to the target
+        own = sorted((d for d in docs if d["source"] == s), key=lambda d: hashlib.md5(str(d["doc_id"]).encode()).hexdigest())
+        tilt = dict(zip(sorted(want, key=lambda x: (x is None, (x or "").encode())), (0.5, 0.0, -0.5) * len(want)))[s]
+        gone, left = 0, int(want[s] + 1e-9)
+        for d in own:
+            r = got[d["doc_id"]]
+            assert r["taken"] == (left // size[s]) * r["size"] + max(0, min(r["size"], left % size[s] - gone))
+            if r["position"] is not None:
+                t = r["position"]
+                assert (1 + tilt) * t - tilt * t * t == pytest.approx(min(1, gone / left), abs=1e-9)
+            gone += r["size"]
     at = [r["position"] for r in got.values() if r["position"] is not None]
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
     assert {k: r["taken"] for k, r in run(spark, "op7_mixing").items()} == {k: r["taken"] for k, r in got.items()}
