@@ -6,7 +6,7 @@ skip nulls; clamp() therefore checks first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -18,12 +18,22 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
 def half_up(x: Column, digits: int = 2) -> Column:
     """Rounding half away from zero by floor; within a millionth of a half counts as a half.
 
-    Sums in another order differ in their last bits; so they round alike all the same.
+    Sums in another order differ in their last bits; so they round alike all the same.  The price: a value
+    up to 1e-6 (in units of the last digit) below a half is rounded up.
     """
     p = F.lit(float(10**digits))
     return F.signum(x) * F.floor(F.abs(x) * p + F.lit(0.500001)) / p
 
 
+def whole(x: Column) -> Column:
+    """A rounded number as text, without decimals; null stays null."""
+    return half_up(x, 0).cast("long").cast("string")
+
+
+def pct_change(now: Column, before: Column) -> Column:
+    return F.try_divide(now - before, before) * 100
+
+
 def months_between_starts(later: Column, earlier: Column) -> Column:
     """Month boundaries between two dates."""
     return (F.year(later) * 12 + F.month(later)) - (F.year(earlier) * 12 + F.month(earlier))
@@ -37,32 +47,49 @@ def first_match(rules: list[tuple[Column, object]], otherwise: object) -> Column
     return out.otherwise(F.lit(otherwise))
 
 
-def group(text: Column, pattern: str, k: int) -> Column:
+def looked_up(key: Column, found: dict, default: object) -> Column:
+    """A small fixed table as a cascade: no join."""
+    return first_match([(key == k, v) for k, v in found.items()], default)
+
+
+def codes(rules: list[tuple[Column, str]]) -> Column:
+    """The labels of all rules that hold, in their order."""
+    return F.array_compact(F.array(*[F.when(p, F.lit(label)) for p, label in rules]))
+
+
+def group(text: Column, pattern: str, k: int = 1) -> Column:
     """A regex group, null without a match."""
     return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
 
 
-#: Text rules for numeric claims, as alternatives of one pattern.
-NUMERIC_CLAIM = r"(?i)\$\s?\d|\d+(\.\d+)?\s?%|\d{1,3}(,\d{3})+|\d+\.\d+|\d+\s(million|billion|thousand|percent)"
+#: What counts as a numeric claim, in any case of letters.
+NUMERIC_CLAIM = r"(?i)\$\s?\d|\d+(\.\d+)?\s?%|\b\d{1,3}(,\d{3})+(\.\d+)?\b|\b\d+\.\d+\b|\b\d+\s?(million|billion|basis points|bps)\b"
 
 
 def numeric_claim(text: Column) -> Column:
     return text.rlike(NUMERIC_CLAIM)
 
 
-def html_text(html: Column) -> Column:
-    """Visible text: no script, style, nav, header, footer or tags; runs of white space become one space."""
-    out = html
-    for tag in ("script", "style", "nav", "header", "footer"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"\s+", " "))
+def price_text(text: Column) -> Column:
+    """A price out of text such as "$1,234.50"; null where what remains is no number."""
+    return F.regexp_replace(text, r"[$,\s]", "").try_cast("double")
 
 
-def kept(df: DataFrame, predicate: Column) -> DataFrame:
-    """df.where(predicate) for predicates on deep cascades: rows pass a generator instead of a filter.
+#: Entities that are written out; the ampersand comes last, so that nothing is replaced twice.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
-    A filter would be pushed below the projections and repeat their expressions, whose
-    size then grows with each level until code generation fails.
+
+def html_text(html: Column, least: int = 0) -> Column:
+    """Visible text in lines that are not blank: no script, style, nav, header, footer, comments or tags.
+
+    Null where fewer than `least` characters remain.
     """
-    row = F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    return df.select(F.explode(F.when(predicate, row)).alias("_row")).select("_row.*")
+    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    for tag in ("script", "style", "nav", "header", "footer"):
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "\n")
+    out = F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
+    for entity, char in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " "))), lambda x: x != "")
+    text = F.array_join(lines, "\n")
+    return F.when(F.char_length(text) >= least, text) if least else text

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,27 +12,63 @@ def asof(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: lis
     """left with the latest right row whose time is not after left's; nulls where there is none.
 
     One union and one window that carries the last right row forward: no range
-    join, so cost is a sort of both sides whatever their sizes.  Adds right_at.
+    join, so cost is a sort of both sides whatever their sizes.  Without keys the time
+    axis is cut into years, each sorted on its own, and the last right row of each year is carried on in a
+    table of one row a year.  Adds right_at.
     """
     carried = [right_at, *values]
     l = left.withColumns({"_at": F.col(left_at), "_side": F.lit(1)}).withColumn("_r", F.lit(None).cast(right.select(F.struct(*carried)).schema[0].dataType))
     r = right.select(*by, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.struct(*carried).alias("_r"))
-    keys = by or [F.lit(0)]
+    both = l.unionByName(r, allowMissingColumns=True)
+    keys = by
+    if not by:
+        both, keys = both.withColumn("_slice", F.year("_at")), ["_slice"]
     w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("_r", F.last("_r", ignorenulls=True).over(w))
-    return both.where("_side = 1").select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in carried])
+    out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    if not by:
+        ends = both.groupBy("_slice").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_at"))).alias("_end"))
+        earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a year
+        ends = ends.select(F.col("_slice").alias("_year"), F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+        out = out.join(F.broadcast(ends), F.col("_slice").eqNullSafe(F.col("_year"))).withColumn("_r", F.coalesce("_r", "_before"))
+    return out.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in carried])
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def distance_to(query: list[float]):
+    """UDF: cosine distance of vectors to one vector, in double; null for null, empty and zero vectors and other lengths."""
+    q = np.asarray(query, np.float64)
+    size = np.sqrt(q @ q)
 
+    @F.arrow_udf("double")
+    def distance(v: pa.Array) -> pa.Array:
+        flat, offsets = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64), v.offsets.to_numpy()
+        lens, out = np.diff(offsets), np.full(len(v), np.nan)
+        lens[np.asarray(v.is_null())] = 0
+        rows = np.flatnonzero(lens == len(q))
+        if len(rows):
+            m = flat[(offsets[rows] - offsets[0])[:, None] + np.arange(len(q))]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[rows] = 1 - (m @ q) / (np.sqrt(np.einsum("ij,ij->i", m, m)) * size)
+        return pa.array(out, mask=~np.isfinite(out))
+
+    return distance
 
-def cosine(a: Column, b: Column) -> Column:
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
+def top_k_cosine(base: DataFrame, query: DataFrame, k: int, id_col: str, vector: str, digits: int = 6) -> DataFrame:
+    """The k rows of base nearest to the one row of query, by cosine distance (rounded), ties by id.
+
+    The query is one vector, so it is sent with the function; each batch of base is one matrix product,
+    and every task keeps k rows.
+    """
+    from gondola.functions.exprs import half_up
 
-def top_k_cosine(base: DataFrame, query: DataFrame, k: int, id_col: str, vector: str) -> DataFrame:
-    """The k rows of base nearest to the one row of query, by cosine distance, ties by id."""
-    q = query.select(F.col(vector).alias("_q")).limit(1)
-    near = base.crossJoin(F.broadcast(q)).withColumn("distance", 1 - cosine(F.col(vector), F.col("_q")))
-    return near.orderBy("distance", id_col).limit(k).drop("_q")
+    q = query.select(F.col(vector).cast("array<double>").alias("q")).first()
+    if q is None or not q["q"]:
+        return base.withColumn("distance", F.lit(None).cast("double")).limit(0)
+    near = base.withColumn("distance", half_up(distance_to(q["q"])(vector), digits)).where("distance is not null")
+    return near.orderBy("distance", id_col).limit(k)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vector columns, for pairs of rows."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

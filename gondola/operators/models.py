@@ -8,6 +8,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gondola.sources.workspace import stored
+
 
 def candidates(seed: int) -> dict:
     return {
@@ -25,7 +27,8 @@ def direction_scores(rows: DataFrame, features: list[str], keys: list[str], seed
     spark = rows.sparkSession
     coin = (F.pmod(F.xxhash64(*keys), F.lit(2)) == 0).cast("double")
     ready = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(rows.withColumn("coin", coin)).select("train", "label", "coin", "raw")
-    train, test = ready.where("train").persist(), ready.where("not train").persist()
+    held = stored(ready, "models")
+    train, test = held.where("train"), held.where("not train")
     scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
     train_x, test_x = scaler.transform(train), scaler.transform(test)
     found = []
@@ -35,6 +38,4 @@ def direction_scores(rows: DataFrame, features: list[str], keys: list[str], seed
         auc = BinaryClassificationEvaluator(labelCol="label").evaluate(judged)
         f1 = MulticlassClassificationEvaluator(labelCol="label", metricName="f1").evaluate(judged)
         found.append((name, round(auc, 4), round(f1, 4), round(BinaryClassificationEvaluator(labelCol="coin").evaluate(by_coin), 4)))
-    train.unpersist()
-    test.unpersist()
     return spark.createDataFrame(found, "model string, auc double, f1 double, shuffled_auc double")

@@ -1,10 +1,12 @@
-"""Islands of equal labels and rank slices."""
+"""Islands of equal labels, ranks of all rows, ranks with ties."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gondola.sources.workspace import stored
+
 
 def islands(df: DataFrame, by: list[str], at: str, label: str, unknown: str = "Unknown") -> DataFrame:
     """Adds change (1 at the first row, at a new label and next to an unknown one), island and run_length."""
@@ -13,3 +15,29 @@ def islands(df: DataFrame, by: list[str], at: str, label: str, unknown: str = "U
     change = F.when(before.isNull() | (before == unknown) | (F.col(label) == unknown) | (before != F.col(label)), 1).otherwise(0)
     out = df.withColumn("change", change).withColumn("island", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return out.withColumn("run_length", F.row_number().over(Window.partitionBy(*by, "island").orderBy(at)).cast("long"))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row (from 1) in an order of all rows; the order must not leave ties.
+
+    Rows are range-partitioned by the order and written down; each partition is
+    numbered on its own, and only their sizes, one row a partition, meet in one task.
+    """
+    keys = [f"_o{k}" for k in range(len(order))]
+    laid = stored(df.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = laid.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    # one row for each partition of the range shuffle: a bound that data cannot exceed
+    out = laid.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_first") + F.row_number().over(Window.partitionBy("_part").orderBy(*keys))).cast("long"))
+    return out.drop("_part", "_first", *keys)
+
+
+def average_rank(df: DataFrame, column: str, name: str, descending: bool = True) -> DataFrame:
+    """df with the rank of a column, ties sharing their mean rank; nulls have none.
+
+    Values are counted first, so what is sorted in one task are the distinct values (of a score with two digits, ten thousand).
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    order = Window.orderBy(F.desc("_v") if descending else F.asc("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.select("_v", (F.coalesce(F.sum("_n").over(order), F.lit(0)) + (F.col("_n") + 1) / 2).cast("double").alias(name))
+    return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")

@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gondola.functions.exprs import kept
 from gondola.operators.chunks import ChunkParams, WordTokenizer, chunks, cut, sections
 from gondola.operators.grounding import INJECTION, Breaker, Claim, ToolCall, drifted, injections, verified
 from gondola.plans.serving import UnknownId, price_history, store_category
@@ -94,9 +93,3 @@ def test_lookups(spark):
             store_category(df, *bad)
     with pytest.raises(ValueError):
         price_history(df, 1, "a", 0)
-
-
-def test_kept(spark):
-    df = spark.range(6).select("id", F.when(F.col("id") > 3, "x").alias("a.b"), F.when(F.col("id") < 2, "y").otherwise(None).alias("c"))
-    assert [r["id"] for r in kept(df, F.col("c") == "y").collect()] == [0, 1]
-    assert kept(df, F.col("c") == "z").columns == df.columns
