@@ -1,485 +1,18 @@
-"""The analytics DAG over the conformed inputs, and the single operators it is made of.
-
-Each query is a pair: a DataFrame plan and the SQL that must give the same rows.
-Floating results are rounded late, by floor, so that the order of additions
-cannot show.
-"""
+"""All queries of the analytics DAG, by name, with their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from gondola.config import T
-from gondola.functions.exprs import clamp, first_match, group, half_up, html_text, months_between_starts, numeric_claim
-from gondola.operators.chunks import chunks
-from gondola.operators.grounding import injections
-from gondola.operators.joins import asof, cosine, top_k_cosine
-from gondola.operators.windows import islands
-from gondola.sources.tables import interest, producer_index, retail, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-#: The conformed inputs in SQL.
-INPUTS = """retail AS (SELECT l_suppkey % 20 AS store_id, p_type AS category, l_partkey AS product_id, p_name AS description,
-  CAST(l_shipdate AS DATE) AS day, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_extendedprice / l_quantity AS price,
-  CASE WHEN l_discount >= 0.05 THEN l_extendedprice / l_quantity * (1 - l_discount) END AS promo, p_retailprice AS list_price, l_returnflag AS flag
-  FROM lineitem JOIN part ON l_partkey = p_partkey),
-ppi AS (SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS value FROM orders GROUP BY ALL),
-interest AS (SELECT event_type AS category, CAST(ts AS DATE) AS day, avg(value) AS interest FROM events GROUP BY ALL)"""
-
-
-def r(x: str, digits: int = 2) -> str:
-    """SQL of half_up."""
-    return f"(sign({x}) * floor(abs({x}) * {10**digits}.0::DOUBLE + 0.500001) / {10**digits}.0::DOUBLE)"
-
-
-def cl(x: str) -> str:
-    """SQL of clamp."""
-    return f"(CASE WHEN ({x}) IS NOT NULL THEN least(100.0::DOUBLE, greatest(0.0::DOUBLE, {x})) END)"
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = f"WITH {INPUTS} {sql}" if sql.lstrip().startswith((",", "SELECT")) else sql
-        return f
-
-    return add
-
-
-# --- relational core ------------------------------------------------------------------------------
-
-
-@query("SELECT month, category, count(*) AS n, count(DISTINCT product_id) AS products FROM retail WHERE price BETWEEN 500 AND 1500 AND category IS NOT NULL GROUP BY ALL")
-def scan_filter_project(spark, sf):
-    x = retail(spark, sf).where(F.col("price").between(500, 1500) & F.col("category").isNotNull())
-    return x.groupBy("month", "category").agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("products"))
-
-
-@query("SELECT series_id, month, doc FROM (SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderkey AS doc, row_number() OVER (PARTITION BY o_orderpriority, date_trunc('month', o_orderdate) ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
-def dedup_latest(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("series_id"), F.trunc(F.to_date("o_orderdate"), "MONTH").alias("month"), "o_orderdate", F.col("o_orderkey").alias("doc"))
-    # the latest of a group by one aggregate: no sort of the rows
-    return o.groupBy("series_id", "month").agg(F.max(F.struct("o_orderdate", "doc")).alias("m")).select("series_id", "month", F.col("m.doc").alias("doc"))
-
-
-@query("SELECT DISTINCT md5(CAST(month AS VARCHAR) || '||' || CAST(store_id AS VARCHAR) || '||' || category) AS signal_id, month, store_id, category FROM retail")
-def surrogate_keys(spark, sf):
-    x = retail(spark, sf).select("month", "store_id", "category").distinct()
-    return x.withColumn("signal_id", F.md5(F.concat_ws("||", F.col("month").cast("string"), F.col("store_id").cast("string"), "category")))
-
-
-@query("""SELECT d AS date_day, year(d) AS year, quarter(d) AS quarter, month(d) AS month, weekofyear(d) AS iso_week, dayofweek(d) + 1 AS day_of_week, last_day(d) = d AS is_month_end
-FROM (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS d FROM retail)""")
-def dim_date_spine(spark, sf):
-    ends = retail(spark, sf).agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    d = ends.select(F.explode(F.sequence("a", "b")).alias("date_day"))
-    c = F.col("date_day")
-    return d.select(c, F.year(c).cast("long").alias("year"), F.quarter(c).cast("long").alias("quarter"), F.month(c).cast("long").alias("month"), F.weekofyear(c).cast("long").alias("iso_week"), F.dayofweek(c).cast("long").alias("day_of_week"), (F.last_day(c) == c).alias("is_month_end"))
-
-
-@query(""", m AS (SELECT DISTINCT month FROM retail), s AS (SELECT DISTINCT store_id, category FROM retail)
-SELECT m.month, s.store_id, s.category, count(retail.price) AS n, r0(avg(retail.price)) AS avg_price FROM m CROSS JOIN s LEFT JOIN retail USING (month, store_id, category) GROUP BY ALL""".replace("r0(avg(retail.price))", r("avg(retail.price)")))
-def cross_spine(spark, sf):
-    x = retail(spark, sf).groupBy("month", "store_id", "category").agg(F.count("price").alias("n"), F.avg("price").alias("p"))
-    # months x segments: both sides are keys of an aggregate, and months are few
-    spine = F.broadcast(x.select("month").distinct()).crossJoin(x.select("store_id", "category").distinct())
-    return spine.join(x, ["month", "store_id", "category"], "left").select("month", "store_id", "category", F.coalesce("n", F.lit(0)).alias("n"), half_up(F.col("p")).alias("avg_price"))
-
-
-@query("SELECT store_id, count(*) AS n FROM retail WHERE day IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY store_id")
-def semi_join_dates(spark, sf):
-    days = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("day"))
-    return retail(spark, sf).join(days, "day", "left_semi").groupBy("store_id").agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT category, month, {r('stddev_samp(price) / nullif(avg(price), 0) * 100', 1)} AS cv, count(DISTINCT CASE WHEN promo IS NOT NULL THEN product_id END) AS promoted, {r('count_if(promo IS NOT NULL) / nullif(count(*), 0)::DOUBLE * 100')} AS promo_share, {r('avg((price - coalesce(promo, price)) / nullif(price, 0)) * 100', 6)} AS promo_depth FROM retail GROUP BY ALL")
-def category_cv(spark, sf):
-    depth = F.try_divide(F.col("price") - F.coalesce("promo", "price"), F.col("price"))
-    return retail(spark, sf).groupBy("category", "month").agg(
-        half_up(F.try_divide(F.stddev_samp("price"), F.avg("price")) * 100, 1).alias("cv"),
-        F.count_distinct(F.when(F.col("promo").isNotNull(), F.col("product_id"))).alias("promoted"),
-        half_up(F.try_divide(F.count_if(F.col("promo").isNotNull()).cast("double"), F.count("*").cast("double")) * 100).alias("promo_share"),
-        half_up(F.avg(depth) * 100, 6).alias("promo_depth"))
-
-
-@query(f"SELECT category, month, {r('avg(n)')} AS products_per_store FROM (SELECT category, month, store_id, count(DISTINCT product_id) AS n FROM retail GROUP BY ALL) GROUP BY ALL")
-def two_level_count(spark, sf):
-    per = retail(spark, sf).groupBy("category", "month", "store_id").agg(F.count_distinct("product_id").alias("n"))
-    return per.groupBy("category", "month").agg(half_up(F.avg("n")).alias("products_per_store"))
-
-
-@query("SELECT store_id, category AS top_category, n FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY n DESC, category) AS k FROM (SELECT store_id, category, count(*) AS n FROM retail GROUP BY ALL)) WHERE k = 1")
-def approx_mode(spark, sf):
-    n = retail(spark, sf).groupBy("store_id", "category").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("store_id").orderBy(F.desc("n"), "category")
-    return n.withColumn("k", F.row_number().over(w)).where("k = 1").select("store_id", F.col("category").alias("top_category"), "n")
-
-
-@query("SELECT CAST(max(CASE WHEN s = 'orders' THEN d END) AS DATE) AS orders, CAST(max(CASE WHEN s = 'lineitem' THEN d END) AS DATE) AS lineitem, CAST(max(CASE WHEN s = 'events' THEN d END) AS DATE) AS events FROM (SELECT 'orders' AS s, max(o_orderdate) AS d FROM orders UNION ALL SELECT 'lineitem', max(l_shipdate) FROM lineitem UNION ALL SELECT 'events', max(ts) FROM events)")
-def cond_pivot_freshness(spark, sf):
-    latest = lambda t, c: table(spark, sf, t).agg(F.max(c).alias("d")).select(F.lit(t).alias("s"), "d")
-    x = latest("orders", "o_orderdate").unionByName(latest("lineitem", "l_shipdate")).unionByName(latest("events", "ts"))
-    return x.agg(*[F.to_date(F.max(F.when(F.col("s") == t, F.col("d")))).alias(t) for t in ("orders", "lineitem", "events")])
-
-
-@query("SELECT c AS column_name, n AS nulls, total FROM (SELECT count(*) AS total, count_if(promo IS NULL) AS promo, count_if(price IS NULL) AS price, count_if(category IS NULL) AS category FROM retail) UNPIVOT (n FOR c IN (promo, price, category))")
-def null_audit(spark, sf):
-    cols = ["promo", "price", "category"]
-    x = retail(spark, sf).agg(F.count("*").alias("total"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    return x.unpivot("total", cols, "column_name", "nulls").select("column_name", "nulls", "total")
-
-
-@query(f"SELECT {r('corr(l_quantity, l_extendedprice)', 6)} AS qty_price, {r('corr(l_discount, l_tax)', 6)} AS discount_tax FROM lineitem".replace("SELECT", "WITH z AS (SELECT 1) SELECT", 1))
-def corr_matrix(spark, sf):
-    x = table(spark, sf, "lineitem")
-    return x.agg(half_up(F.corr("l_quantity", "l_extendedprice"), 6).alias("qty_price"), half_up(F.corr("l_discount", "l_tax"), 6).alias("discount_tax"))
-
-
-# --- windows --------------------------------------------------------------------------------------
-
-
-@query(f""", k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY day DESC) AS k, row_number() OVER (PARTITION BY category ORDER BY day) AS x FROM interest),
-f AS (SELECT category, avg(CASE WHEN k <= 4 THEN interest END) AS recent, avg(CASE WHEN k BETWEEN 5 AND 8 THEN interest END) AS prior, avg(CASE WHEN k BETWEEN 9 AND 12 THEN interest END) AS earlier,
-  min(interest) AS low, max(interest) AS high, count(DISTINCT day) AS weeks, stddev_samp(interest) AS noise, regr_slope(interest, x) AS slope FROM k GROUP BY category)
-SELECT category, {r('recent')} AS recent, {r('prior')} AS prior, weeks, {r(cl('50 + 2 * (recent - prior)'))} AS momentum,
-  CASE WHEN prior IS NULL THEN 'Insufficient' WHEN recent - prior > 5 THEN 'Rising' WHEN recent - prior < -5 THEN 'Falling' ELSE 'Stable' END AS direction,
-  {r('(recent - low) / nullif(high - low, 0) * 100')} AS level, {r('(recent - prior) - (prior - earlier)')} AS velocity,
-  CASE WHEN noise IS NULL OR noise = 0 THEN 'Insufficient' WHEN slope / noise > 0.3 THEN 'Up' WHEN slope / noise < -0.3 THEN 'Down' ELSE 'Flat' END AS state FROM f""")
-def demand_features(spark, sf):
-    i = interest(spark, sf)
-    w = Window.partitionBy("category")
-    k = i.withColumns({"k": F.row_number().over(w.orderBy(F.desc("day"))), "x": F.row_number().over(w.orderBy("day"))})
-    part = lambda a, b: F.avg(F.when(F.col("k").between(a, b), F.col("interest")))
-    f = k.groupBy("category").agg(part(1, 4).alias("re"), part(5, 8).alias("pr"), part(9, 12).alias("ea"), F.min("interest").alias("low"), F.max("interest").alias("high"),
-                                  F.count_distinct("day").alias("weeks"), F.stddev_samp("interest").alias("noise"), F.regr_slope("interest", "x").alias("slope"))
-    d = F.col("re") - F.col("pr")
-    ratio = F.col("slope") / F.col("noise")
-    return f.select("category", half_up(F.col("re")).alias("recent"), half_up(F.col("pr")).alias("prior"), "weeks", half_up(clamp(50 + 2 * d)).alias("momentum"),
-                    first_match([(F.col("pr").isNull(), "Insufficient"), (d > 5, "Rising"), (d < -5, "Falling")], "Stable").alias("direction"),
-                    half_up(F.try_divide(F.col("re") - F.col("low"), F.col("high") - F.col("low")) * 100).alias("level"),
-                    half_up(d - (F.col("pr") - F.col("ea"))).alias("velocity"),
-                    first_match([(F.col("noise").isNull() | (F.col("noise") == 0), "Insufficient"), (ratio > 0.3, "Up"), (ratio < -0.3, "Down")], "Flat").alias("state"))
-
-
-@query(f""", w AS (SELECT series_id, month, value, avg(value) OVER a AS now3, avg(value) OVER b AS old3, lag(value, 12) OVER (PARTITION BY series_id ORDER BY month) AS y, lag(value) OVER (PARTITION BY series_id ORDER BY month) AS p FROM ppi
-  WINDOW a AS (PARTITION BY series_id ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), b AS (PARTITION BY series_id ORDER BY month ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING))
-SELECT series_id, month, {r('now3')} AS avg3, {r('old3')} AS prior3, {r('(value - y) / nullif(y, 0) * 100')} AS yoy_pct, {r('(value - coalesce(p, value)) / nullif(coalesce(p, value), 0) * 100')} AS mom_pct,
-  {r(cl('50 + 10 * (now3 - old3) / nullif(old3, 0)'))} AS score, CASE WHEN now3 - old3 > 0.5 THEN 'Rising' WHEN now3 - old3 < -0.5 THEN 'Falling' WHEN old3 IS NULL THEN NULL ELSE 'Stable' END AS trend FROM w""")
-def macro_features(spark, sf):
-    w = Window.partitionBy("series_id").orderBy("month")
-    v = F.col("value")
-    x = producer_index(spark, sf).withColumns({"n": F.avg("value").over(w.rowsBetween(-2, 0)), "o": F.avg("value").over(w.rowsBetween(-5, -3)), "y": F.lag("value", 12).over(w), "p": F.coalesce(F.lag("value").over(w), v)})
-    d = F.col("n") - F.col("o")
-    return x.select("series_id", "month", half_up(F.col("n")).alias("avg3"), half_up(F.col("o")).alias("prior3"), half_up(F.try_divide(v - F.col("y"), F.col("y")) * 100).alias("yoy_pct"),
-                    half_up(F.try_divide(v - F.col("p"), F.col("p")) * 100).alias("mom_pct"), half_up(clamp(50 + F.try_divide(10 * d, F.col("o")))).alias("score"),
-                    F.when(d > 0.5, "Rising").when(d < -0.5, "Falling").when(F.col("o").isNull(), None).otherwise("Stable").alias("trend"))
-
-
-@query(f""", c AS (SELECT category, month, avg(price) AS p FROM retail GROUP BY ALL), l AS (SELECT *, lag(p) OVER w AS a, lag(p, 2) OVER w AS b, lag(p, 3) OVER w AS c3 FROM c WINDOW w AS (PARTITION BY category ORDER BY month))
-SELECT category, month, {r('p')} AS price, CAST(CASE WHEN p < a AND a < b AND b < c3 THEN 85 WHEN p < a AND a < b THEN 60 WHEN p < a THEN 35 ELSE 0 END AS BIGINT) AS decay FROM l""")
-def monotone_decline(spark, sf):
-    w = Window.partitionBy("category").orderBy("month")
-    x = retail(spark, sf).groupBy("category", "month").agg(F.avg("price").alias("p"))
-    x = x.withColumns({"a": F.lag("p").over(w), "b": F.lag("p", 2).over(w), "c": F.lag("p", 3).over(w)})
-    one, two, three = F.col("p") < F.col("a"), F.col("a") < F.col("b"), F.col("b") < F.col("c")
-    return x.select("category", "month", half_up(F.col("p")).alias("price"), first_match([(one & two & three, 85), (one & two, 60), (one, 35)], 0).cast("long").alias("decay"))
-
-
-@query(f""", c AS (SELECT month, store_id, category, avg(price) AS p FROM retail GROUP BY ALL)
-SELECT month, store_id, category, CAST(ntile(3) OVER (PARTITION BY category, month ORDER BY {r('p')} NULLS LAST, store_id) AS BIGINT) AS tier, CAST(row_number() OVER (PARTITION BY month ORDER BY {r('p')} DESC, store_id, category) AS BIGINT) AS month_rank FROM c""")
-def ntile_peers(spark, sf):
-    x = retail(spark, sf).groupBy("month", "store_id", "category").agg(half_up(F.avg("price")).alias("p"))
-    return x.select("month", "store_id", "category",
-                    F.ntile(3).over(Window.partitionBy("category", "month").orderBy(F.col("p").asc_nulls_last(), "store_id")).cast("long").alias("tier"),
-                    F.row_number().over(Window.partitionBy("month").orderBy(F.desc("p"), "store_id", "category")).cast("long").alias("month_rank"))
-
-
-@query(f", s AS (SELECT *, avg(interest) OVER (PARTITION BY category) AS m, stddev_samp(interest) OVER (PARTITION BY category) AS d FROM interest) SELECT category, day, {r('interest')} AS interest, interest > m + d AS spike FROM s")
-def spike_flag(spark, sf):
-    w = Window.partitionBy("category")
-    return interest(spark, sf).select("category", "day", half_up(F.col("interest")).alias("interest"), (F.col("interest") > F.avg("interest").over(w) + F.stddev_samp("interest").over(w)).alias("spike"))
-
-
-# --- as-of joins ----------------------------------------------------------------------------------
-
-
-def competitor_pulls(x: DataFrame) -> DataFrame:
-    """All rows of the competitor feed; pulled is their month of collection."""
-    return x.where(F.col("flag") == "R").withColumn("pulled", F.col("month"))
-
-
-_ASOF = ", s AS (SELECT DISTINCT CAST(month + INTERVAL 20 DAY AS DATE) AS on_day FROM retail WHERE month(month) % 3 = 0), i AS (SELECT month AS m, value FROM ppi WHERE series_id = '1-URGENT' AND month(month) % 5 <> 1)"
-
-
-def _asof_inputs(spark, sf):
-    s = retail(spark, sf).select("month").distinct().select(F.date_add("month", 20).alias("on_day"))
-    i = producer_index(spark, sf).where(F.col("series_id") == "1-URGENT").select(F.col("month").alias("m"), "value")
-    return s, i
-
-
-@query(_ASOF + f" SELECT on_day, m AS index_month, {r('value')} AS value FROM s ASOF LEFT JOIN i ON on_day >= m")
-def asof_month(spark, sf):
-    s, i = _asof_inputs(spark, sf)
-    return asof(s, i, "on_day", "m", [], ["value"]).select("on_day", F.col("m").alias("index_month"), half_up(F.col("value")).alias("value"))
-
-
-@query(_ASOF + f", j AS (SELECT on_day, m, value, (year(on_day) * 12 + month(on_day)) - (year(m) * 12 + month(m)) AS d FROM s ASOF LEFT JOIN (SELECT * FROM i WHERE year(m) <> 1997) i ON on_day >= m) SELECT on_day, CASE WHEN d <= {T.stale_months} THEN m END AS index_month, CASE WHEN d <= {T.stale_months} THEN {r('value')} END AS value, coalesce(d > {T.stale_months}, true) AS stale FROM j")
-def asof_tolerance(spark, sf):
-    s, i = _asof_inputs(spark, sf)
-    j = asof(s, i, "on_day", "m", [], ["value"])
-    d = months_between_starts(F.col("on_day"), F.col("m"))
-    fresh = d <= T.stale_months
-    return j.select("on_day", F.when(fresh, F.col("m")).alias("index_month"), F.when(fresh, half_up(F.col("value"))).alias("value"), F.coalesce(d > T.stale_months, F.lit(True)).alias("stale"))
-
-
-@query(f", s AS (SELECT DISTINCT category, month FROM retail), c AS (SELECT category, month AS pulled, avg(list_price) AS competitor FROM retail WHERE flag = 'R' AND month(month) % 4 = 1 GROUP BY ALL) SELECT s.category, s.month, pulled, {r('competitor')} AS competitor FROM s ASOF JOIN c ON s.category = c.category AND s.month >= c.pulled")
-def asof_carry_forward(spark, sf):
-    x = retail(spark, sf)
-    c = competitor_pulls(x).groupBy("category", "pulled").agg(F.avg("list_price").alias("competitor"))
-    return asof(x.select("category", "month").distinct(), c, "month", "pulled", ["category"], ["competitor"]).where("pulled is not null").select("category", "month", "pulled", half_up(F.col("competitor")).alias("competitor"))
-
-
-# --- facts and scores -----------------------------------------------------------------------------
-
-_WEEKLY = f""", med AS (SELECT category, month, quantile_disc(price, 0.5) AS m FROM retail GROUP BY ALL),
-kept AS (SELECT retail.* FROM retail JOIN med USING (category, month) WHERE price <= {T.outlier_multiple} * m),
-own AS (SELECT store_id, category, month, quantile_disc(price, 0.5) AS price, count(*) AS n FROM kept GROUP BY ALL),
-cv AS (SELECT category, month, {r('stddev_samp(price) / nullif(avg(price), 0) * 100', 1)} AS cv FROM kept GROUP BY ALL),
-comp AS (SELECT category, month AS pulled, quantile_disc(list_price, 0.5) AS competitor FROM retail WHERE flag = 'R' AND month(month) % 4 = 1 GROUP BY ALL),
-seg AS (SELECT DISTINCT category, month FROM own),
-carried AS (SELECT seg.category, seg.month, pulled, competitor FROM seg ASOF JOIN comp ON seg.category = comp.category AND seg.month >= comp.pulled),
-w AS (SELECT store_id, category, month, price, n, cv, pulled, competitor, {r('(price - competitor) / nullif(competitor, 0) * 100')} AS gap,
-  {r(f'greatest({T.band_min}::DOUBLE, least({T.band_max}::DOUBLE, coalesce(cv, 0) * {T.band_per_cv}::DOUBLE))')} AS band FROM own LEFT JOIN cv USING (category, month) LEFT JOIN carried USING (category, month)),
-fact AS (SELECT *, CASE WHEN gap IS NULL THEN 'Unknown' WHEN gap > band THEN 'Overpriced' WHEN gap < -band THEN 'Underpriced' ELSE 'Fair' END AS position,
-  CASE WHEN gap IS NULL THEN 'Unknown' WHEN n < {T.least_products} OR abs(gap) > {T.gap_low} THEN 'Low' WHEN abs(gap) > {T.gap_medium} THEN 'Medium' ELSE 'High' END AS reliability FROM w)"""
-
-
-#: Stand-ins for the brands of a retailer: how descriptions start.
-OWN_BRANDS = ("red", "blue")
-
-
-def weekly(spark, sf) -> DataFrame:
-    """Store x category x month: median price, carried competitor price, gap, band, position, reliability."""
-    x = retail(spark, sf)
-    med = x.groupBy("category", "month").agg(F.percentile_approx("price", 0.5, 10000).alias("m"))
-    kept = x.join(med, ["category", "month"]).where(F.col("price") <= T.outlier_multiple * F.col("m"))
-    share = lambda p: half_up((F.count_if(p) / F.count("*")).cast("double"), 3)
-    branded = F.col("description").startswith(OWN_BRANDS[0]) | F.col("description").startswith(OWN_BRANDS[1])
-    # the last three are pruned where nobody reads them
-    own = kept.groupBy("store_id", "category", "month").agg(
-        F.percentile_approx("price", 0.5, 10000).alias("price"), F.count("*").alias("n"), share(branded).alias("own_brand"),
-        share(F.col("promo") < F.col("price")).alias("promo_share"), F.percentile_approx(F.coalesce("promo", "price"), 0.5, 10000).alias("paid"))
-    cv = kept.groupBy("category", "month").agg(half_up(F.try_divide(F.stddev_samp("price"), F.avg("price")) * 100, 1).alias("cv"))
-    comp = competitor_pulls(x).groupBy("category", "pulled").agg(F.percentile_approx("list_price", 0.5, 10000).alias("competitor"))
-    carried = asof(cv.select("category", "month"), comp, "month", "pulled", ["category"], ["competitor"]).where("pulled is not null")
-    gap = half_up(F.try_divide(F.col("price") - F.col("competitor"), F.col("competitor")) * 100)
-    w = own.join(cv, ["category", "month"], "left").join(carried, ["category", "month"], "left").withColumns({
-        "gap": gap, "band": half_up(F.greatest(F.lit(T.band_min), F.least(F.lit(T.band_max), F.coalesce("cv", F.lit(0.0)) * T.band_per_cv)))})
-    g = F.col("gap")
-    return w.withColumns({
-        "position": first_match([(g.isNull(), "Unknown"), (g > F.col("band"), "Overpriced"), (g < -F.col("band"), "Underpriced")], "Fair"),
-        "reliability": first_match([(g.isNull(), "Unknown"), ((F.col("n") < T.least_products) | (F.abs(g) > T.gap_low), "Low"), (F.abs(g) > T.gap_medium, "Medium")], "High")})
-
-
-@query(_WEEKLY + f" SELECT store_id, category, month, {r('price')} AS price, n, cv, pulled, {r('competitor')} AS competitor, gap, band, position, reliability FROM fact")
-def weekly_price_fact(spark, sf):
-    return weekly(spark, sf).select("store_id", "category", "month", half_up(F.col("price")).alias("price"), "n", "cv", "pulled", half_up(F.col("competitor")).alias("competitor"), "gap", "band", "position", "reliability")
-
-
-_RUNS = f""", l AS (SELECT *, lag(position) OVER w AS prev, lag(gap) OVER w AS prev_gap, count(*) OVER (PARTITION BY store_id, category) AS seen FROM fact WINDOW w AS (PARTITION BY store_id, category ORDER BY month)),
-ch AS (SELECT *, CASE WHEN prev IS NULL OR prev = 'Unknown' OR position = 'Unknown' OR prev <> position THEN 1 ELSE 0 END AS change FROM l),
-isl AS (SELECT *, sum(change) OVER (PARTITION BY store_id, category ORDER BY month ROWS UNBOUNDED PRECEDING) AS island FROM ch),
-run AS (SELECT *, row_number() OVER (PARTITION BY store_id, category, island ORDER BY month) AS run_length FROM isl)"""
-_ISLANDS = _WEEKLY + _RUNS
-
-
-def temporal(spark, sf) -> DataFrame:
-    w = Window.partitionBy("store_id", "category")
-    x = weekly(spark, sf).withColumns({"prev": F.lag("position").over(w.orderBy("month")), "prev_gap": F.lag("gap").over(w.orderBy("month")), "seen": F.count("*").over(w)})
-    return islands(x, ["store_id", "category"], "month", "position")
-
-
-@query(_ISLANDS + f" SELECT store_id, category, month, position, change::BIGINT AS change, island::BIGINT AS island, run_length::BIGINT AS run_length, coalesce(run_length >= {T.stable_run} AND position <> 'Unknown', false) AS stable, run_length >= {T.stable_run} AND position <> 'Unknown' AND seen >= {T.least_history} AS eligible FROM run")
-def gaps_islands(spark, sf):
-    stable = (F.col("run_length") >= T.stable_run) & (F.col("position") != "Unknown")
-    return temporal(spark, sf).select("store_id", "category", "month", "position", F.col("change").cast("long").alias("change"), F.col("island").cast("long").alias("island"), "run_length", stable.alias("stable"), (stable & (F.col("seen") >= T.least_history)).alias("eligible"))
-
-
-@query(_ISLANDS + f""", ev AS (SELECT *, gap - prev_gap AS move FROM run WHERE month = (SELECT max(month) FROM run WHERE month < DATE '2000-01-01'))
-SELECT 'Gap Flip' AS event_type, store_id, category, month, {r('move')} AS move FROM ev WHERE prev IN ('Overpriced', 'Underpriced', 'Fair') AND position IN ('Overpriced', 'Underpriced', 'Fair') AND prev <> position AND abs(move) <= {T.move_limit}
-UNION ALL SELECT 'Big Move', store_id, category, month, {r('move')} FROM ev WHERE abs(move) BETWEEN {T.big_move} AND {T.move_limit}
-UNION ALL SELECT '3-Collection Streak', store_id, category, month, {r('move')} FROM ev WHERE run_length = {T.streak}""")
-def weekly_events(spark, sf):
-    x = temporal(spark, sf).withColumn("raw", F.col("gap") - F.col("prev_gap"))
-    last = x.where(F.col("month") < F.lit("2000-01-01").cast("date")).agg(F.max("month").alias("month"))
-    at = x.join(F.broadcast(last), "month", "left_semi")
-    known = ("Overpriced", "Underpriced", "Fair")
-    small = F.abs("raw") <= T.move_limit
-    kinds = F.array_compact(F.array(
-        F.when(F.col("prev").isin(*known) & F.col("position").isin(*known) & (F.col("prev") != F.col("position")) & small, "Gap Flip"),
-        F.when((F.abs("raw") >= T.big_move) & small, "Big Move"), F.when(F.col("run_length") == T.streak, "3-Collection Streak")))
-    return at.select(F.explode(kinds).alias("event_type"), "store_id", "category", "month", half_up(F.col("raw")).alias("move"))
-
-
-_SCORES = f""", d AS (SELECT month, store_id, category, count(DISTINCT product_id) AS products, avg((price - coalesce(promo, price)) / nullif(price, 0)) * 100 AS depth, avg(price) AS p, count_if(promo IS NOT NULL) / count(*)::DOUBLE AS frac FROM retail GROUP BY ALL),
-ip AS (SELECT month, value AS idx, lag(value, 3) OVER (ORDER BY month) AS idx3, lag(value) OVER (ORDER BY month) AS idx1 FROM ppi WHERE series_id = '1-URGENT' AND month(month) <> 7),
-ci AS (SELECT month, value AS cpi, lag(value) OVER (ORDER BY month) AS cpi1 FROM ppi WHERE series_id = '2-HIGH' AND month(month) <> 5),
-b AS (SELECT d.*, idx, idx1, idx3, cpi, (month(d.month) * 7 + store_id * 3) % 101 * 1.0::DOUBLE AS interest, (idx - idx1) / nullif(idx1, 0) * 100 AS rise, (cpi - cpi1) / nullif(cpi1, 0) * 100 AS cpi_rise FROM d LEFT JOIN ip ON d.month = ip.month LEFT JOIN ci ON d.month = ci.month),
-h AS (SELECT *, lag(p) OVER v AS p1, lag(p, 3) OVER v AS p3, lag(interest) OVER v AS i1, lag(interest, 2) OVER v AS i2, lag(interest, 3) OVER v AS i3, count(*) OVER u AS seen, max(interest) OVER u - min(interest) OVER u AS spread
-  FROM b WINDOW v AS (PARTITION BY store_id, category ORDER BY month), u AS (PARTITION BY store_id, category)),
-k AS (SELECT *, {cl('50 + 2 * (interest - i1)')} AS drive, {cl('50 + rise')} AS ppi_score, {cl('50 + cpi_rise')} AS cpi_score FROM h),
-g AS (SELECT *, {cl('interest * (50.0 / nullif(products, 0))')} AS shelf_gap, {cl('interest * greatest(0.0, 1 - products / 50.0)')} AS phantom, {cl('seen / 52.0 * 60 + (1 - spread / 100.0) * 40')} AS intent,
-  CASE WHEN idx IS NULL OR cpi IS NULL THEN {cl('coalesce(drive, 50)')} ELSE {cl('coalesce(drive, 50) * 0.8 + (coalesce(cpi_score, 50) + coalesce(ppi_score, 50)) / 2 * 0.2')} END AS momentum, {cl('p * 100 / nullif(cpi / 2.6, 0)')} AS place,
-  CASE WHEN idx IS NULL THEN NULL ELSE {cl('(idx - coalesce(idx3, idx)) / nullif(coalesce(idx3, 100), 0) * 500')} END AS cost_shock, {cl('coalesce(frac, 0) * 80 + coalesce(depth, 0)')} AS promo_risk,
-  coalesce((coalesce(p, 0) - coalesce(p3, p, 0)) / nullif(abs(coalesce(idx, 0) - coalesce(idx3, idx, 0)), 0) * 100, 0) AS passthrough,
-  CASE WHEN p IS NULL THEN 30 WHEN idx IS NULL THEN NULL WHEN p1 IS NULL THEN 50 WHEN p < p1 AND coalesce(rise, 0) > 0.1 THEN 80 WHEN p < p1 THEN 55
-    WHEN coalesce(rise, 0) > 0.1 THEN 40 ELSE greatest(0.0, 30 - (p - p1) / nullif(p1, 0) * 100 * 7.5) END::DOUBLE AS margin FROM k),
-sc AS (SELECT *, {r(cl('0.25 * momentum + 0.40 * shelf_gap + 0.15 * coalesce(phantom, 0) + 0.20 * intent'))} AS demand, {r(cl('0.40 * margin + 0.25 * cost_shock + 0.20 * promo_risk + 0.15 * (100 - place)'))} AS risk FROM g)"""
-
-
-def scores(spark, sf) -> DataFrame:
-    """Signal grain: demand and margin scores; an absent index keeps the margin side unknown."""
-    x, c = retail(spark, sf), F.col
-    d = x.groupBy("month", "store_id", "category").agg(
-        F.count_distinct("product_id").alias("products"), (F.avg(F.try_divide(c("price") - F.coalesce("promo", "price"), c("price"))) * 100).alias("depth"),
-        F.avg("price").alias("p"), (F.count_if(c("promo").isNotNull()) / F.count("*")).cast("double").alias("frac"))
-    m = Window.orderBy("month")  # one row a month
-    index = producer_index(spark, sf)
-    ip = index.where((c("series_id") == "1-URGENT") & (F.month("month") != 7)).select("month", c("value").alias("idx"), F.lag("value", 3).over(m).alias("idx3"), F.lag("value").over(m).alias("idx1"))
-    ci = index.where((c("series_id") == "2-HIGH") & (F.month("month") != 5)).select("month", c("value").alias("cpi"), F.lag("value").over(m).alias("cpi1"))
-    group = Window.partitionBy("store_id", "category")
-    v = group.orderBy("month")
-    change = lambda a, b: F.try_divide(c(a) - c(b), c(b)) * 100
-    b = d.join(F.broadcast(ip), "month", "left").join(F.broadcast(ci), "month", "left").withColumns({
-        "interest": ((F.month("month") * 7 + c("store_id") * 3) % 101).cast("double"), "rise": change("idx", "idx1"), "cpi_rise": change("cpi", "cpi1")})
-    h = b.withColumns({f"i{k}": F.lag("interest", k).over(v) for k in (1, 2, 3)} | {
-        "p1": F.lag("p").over(v), "p3": F.lag("p", 3).over(v), "seen": F.count("*").over(group), "spread": F.max("interest").over(group) - F.min("interest").over(group)})
-    i, zero, half = c("interest"), F.lit(0.0), F.lit(50.0)
-    up = F.coalesce("rise", zero) > 0.1
-    margin = (
-        F.when(c("p").isNull(), 30.0).when(c("idx").isNull(), None).when(c("p1").isNull(), 50.0).when((c("p") < c("p1")) & up, 80.0)
-        .when(c("p") < c("p1"), 55.0).when(up, 40.0).otherwise(F.greatest(zero, 30 - change("p", "p1") * 7.5)))
-    drive = F.coalesce(clamp(50 + 2 * (i - c("i1"))), half)
-    macro = (F.coalesce(clamp(50 + c("cpi_rise")), half) + F.coalesce(clamp(50 + c("rise")), half)) / 2
-    moved = F.abs(F.coalesce("idx", zero) - F.coalesce("idx3", "idx", zero))
-    g = h.withColumns({
-        "shelf_gap": clamp(i * F.try_divide(half, c("products").cast("double"))), "phantom": clamp(i * F.greatest(zero, 1 - c("products") / 50.0)),
-        "intent": clamp(c("seen") / 52 * 60 + (1 - c("spread") / 100) * 40), "momentum": F.when(c("idx").isNull() | c("cpi").isNull(), clamp(drive)).otherwise(clamp(drive * 0.8 + macro * 0.2)),
-        "place": clamp(F.try_divide(c("p") * 100, c("cpi") / 2.6)), "cost_shock": clamp(F.try_divide(c("idx") - F.coalesce("idx3", "idx"), F.coalesce("idx3", F.lit(100.0))) * 500),
-        "promo_risk": clamp(F.coalesce("frac", zero) * 80 + F.coalesce("depth", zero)), "margin": margin,
-        "passthrough": F.coalesce(F.try_divide(F.coalesce("p", zero) - F.coalesce("p3", "p", zero), moved) * 100, zero)})
-    return g.withColumns({
-        "demand": half_up(clamp(0.25 * c("momentum") + 0.40 * c("shelf_gap") + 0.15 * F.coalesce("phantom", zero) + 0.20 * c("intent"))),
-        "risk": half_up(clamp(0.40 * c("margin") + 0.25 * c("cost_shock") + 0.20 * c("promo_risk") + 0.15 * (100 - c("place"))))})
-
-
-@query(_SCORES + f" SELECT month, store_id, category, products, {r('depth', 6)} AS promo_depth, {r('shelf_gap')} AS shelf_gap, {r('phantom')} AS phantom, {r('momentum')} AS momentum, {r('intent')} AS intent, demand FROM sc")
-def demand_gap(spark, sf):
-    return scores(spark, sf).select("month", "store_id", "category", "products", half_up(F.col("depth"), 6).alias("promo_depth"), half_up(F.col("shelf_gap")).alias("shelf_gap"), *[half_up(F.col(k)).alias(k) for k in ("phantom", "momentum", "intent")], "demand")
-
-
-@query(_SCORES + f" SELECT month, store_id, category, {r('cost_shock')} AS cost_shock, {r('promo_risk')} AS promo_risk, {r('margin')} AS margin_pressure, {r('place')} AS price_position, {r('passthrough')} AS passthrough, risk FROM sc")
-def price_margin(spark, sf):
-    return scores(spark, sf).select("month", "store_id", "category", half_up(F.col("cost_shock")).alias("cost_shock"), half_up(F.col("promo_risk")).alias("promo_risk"), half_up(F.col("margin")).alias("margin_pressure"), half_up(F.col("place")).alias("price_position"), half_up(F.col("passthrough")).alias("passthrough"), "risk")
-
-
-# --- text, documents, vectors ---------------------------------------------------------------------
-
-_SIZE = """SELECT p_partkey AS part, CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN p_size || ' fl oz' WHEN 1 THEN '24 bottles / ' || p_size || ' oz' WHEN 2 THEN p_size || ' L' WHEN 3 THEN '8 oz / ' || p_size || ' oz' WHEN 4 THEN p_size || 'ct' WHEN 5 THEN '' ELSE p_size || ' dozen' END AS raw FROM part"""
-
-
-@query(f"""WITH s AS ({_SIZE}), t AS (SELECT part, lower(trim(raw)) AS x FROM s),
-u AS (SELECT part, x, nullif(regexp_extract(x, '^(\\d+) ([a-z ]+?) / ([0-9.]+) ([a-z ]+)$', 2), '') AS what, regexp_extract(x, '^(\\d+) [a-z ]+? / ([0-9.]+) ([a-z ]+)$', 1) AS pack, regexp_extract(x, '([0-9.]+) ([a-z ]+)$', 1) AS qty, regexp_extract(x, '([0-9.]+) ([a-z ]+)$', 2) AS unit FROM t)
-SELECT part, CASE WHEN x = '' THEN 'missing_item_size' WHEN what IN ('oz', 'fl oz', 'l', 'lb', 'pk', 'ct') THEN 'ambiguous_multi_unit' WHEN qty = '' THEN 'unknown_size_format' WHEN unit NOT IN ('oz', 'fl oz', 'l', 'lb', 'ct') THEN 'unsupported_unit' ELSE 'parsed_ok' END AS reason,
-  TRY_CAST(nullif(qty, '') AS DOUBLE) AS qty, CAST(coalesce(TRY_CAST(nullif(pack, '') AS INT), 1) AS BIGINT) AS pack FROM u""")
-def unit_size_parse(spark, sf):
-    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 7
-    raw = F.when(k == 0, F.concat(size, F.lit(" fl oz"))).when(k == 1, F.concat(F.lit("24 bottles / "), size, F.lit(" oz"))).when(k == 2, F.concat(size, F.lit(" L"))).when(k == 3, F.concat(F.lit("8 oz / "), size, F.lit(" oz"))).when(k == 4, F.concat(size, F.lit("ct"))).when(k == 5, "").otherwise(F.concat(size, F.lit(" dozen")))
-    x = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.lower(F.trim(raw)).alias("x"))
-    multi, single = r"^(\d+) ([a-z ]+?) / ([0-9.]+) ([a-z ]+)$", r"([0-9.]+) ([a-z ]+)$"
-    x = x.withColumns({"what": group(F.col("x"), multi, 2), "packs": group(F.col("x"), multi, 1), "q": group(F.col("x"), single, 1), "unit": group(F.col("x"), single, 2)})
-    reason = first_match([(F.col("x") == "", "missing_item_size"), (F.col("what").isin("oz", "fl oz", "l", "lb", "pk", "ct"), "ambiguous_multi_unit"), (F.col("q").isNull(), "unknown_size_format"), (~F.col("unit").isin("oz", "fl oz", "l", "lb", "ct"), "unsupported_unit")], "parsed_ok")
-    return x.select("part", reason.alias("reason"), F.expr("try_cast(q AS double)").alias("qty"), F.coalesce(F.expr("try_cast(packs AS bigint)"), F.lit(1)).alias("pack"))
-
-
-@query("SELECT doc_id, regexp_matches(text, '(?i)\\$\\s?\\d|\\d+(\\.\\d+)?\\s?%|\\d{1,3}(,\\d{3})+|\\d+\\.\\d+|\\d+\\s(million|billion|thousand|percent)') AS claim, sha256(doc_id || ':0') AS chunk_id, contains(lower(text), 'ignore previous instructions') OR contains(lower(text), 'system prompt') AS flagged FROM documents".replace("SELECT", "WITH z AS (SELECT 1) SELECT", 1))
-def document_flags(spark, sf):
-    """Claim and injection phrases of whole documents, and the id of their first chunk; `chunk_docs` has all chunks."""
-    return table(spark, sf, "documents").select("doc_id", numeric_claim(F.col("text")).alias("claim"), chunk_key(F.col("doc_id"), F.lit(0)).alias("chunk_id"), F.when(F.col("text").isNotNull(), F.size(injections(F.col("text"))) > 0).alias("flagged"))
-
-
-def chunk_key(doc_id: Column, chunk_no: Column) -> Column:
-    return F.sha2(F.concat_ws(":", doc_id.cast("string"), chunk_no.cast("string")), 256)
-
-
-@query(None)
-def chunk_docs(spark, sf):
-    """All chunks of all documents, each with its own id, claim and injection phrases."""
-    text = F.col("chunk")
-    return chunks(table(spark, sf, "documents"), "doc_id", "text").select(
-        "doc_id", "chunk_no", chunk_key(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), "heading", "tokens", "chunk", numeric_claim(text).alias("claim"), injections(text).alias("phrases"), (F.size(injections(text)) > 0).alias("flagged"))
-
-
-@query(None)
-def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html_text(F.col("html")).alias("text"))
-
-
-@query(f"WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7), x AS (SELECT vec_id, {r('1 - list_cosine_similarity(embedding::DOUBLE[], e)', 6)} AS distance FROM embeddings, q WHERE vec_id <> 7) SELECT vec_id, distance FROM x ORDER BY distance, vec_id LIMIT 5")
-def cosine_topk(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = F.broadcast(e.where("vec_id = 7").select(F.col("embedding").alias("q")))
-    near = e.where("vec_id <> 7").crossJoin(q).select("vec_id", half_up(1 - cosine(F.col("embedding"), F.col("q")), 6).alias("distance"))
-    return near.orderBy("distance", "vec_id").limit(5)
-
-
-# --- analysis -------------------------------------------------------------------------------------
-
-
-@query(_WEEKLY + f", t AS (SELECT category, position, lead(position) OVER (PARTITION BY store_id, category ORDER BY month) AS nxt FROM fact WHERE position <> 'Unknown') SELECT category, count(*) AS n, {r('avg(CASE WHEN position = nxt THEN 1.0::DOUBLE ELSE 0.0 END) * 100')} AS persistence FROM t WHERE nxt IS NOT NULL GROUP BY category")
-def transition_persistence(spark, sf):
-    x = weekly(spark, sf).where("position <> 'Unknown'")
-    t = x.withColumn("nxt", F.lead("position").over(Window.partitionBy("store_id", "category").orderBy("month"))).where("nxt is not null")
-    return t.groupBy("category").agg(F.count("*").alias("n"), half_up(F.avg((F.col("position") == F.col("nxt")).cast("double")) * 100).alias("persistence"))
-
-
-@query(_SCORES + f", f AS (SELECT unnest([0.9, 1.0, 1.1])::DOUBLE AS f), t AS (SELECT f, demand, {r(cl('0.55 * f * shelf_gap + 0.15 * coalesce(phantom, 0) + 0.30 * interest'))} AS moved FROM sc, f) SELECT f AS factor, count(*) AS n, count_if((demand >= 65) <> (moved >= 65) OR (demand >= 35) <> (moved >= 35)) AS changed FROM t GROUP BY f")
-def sensitivity_tiers(spark, sf):
-    """Signals that change tier when one weight of the opportunity score is 10 % lower or higher: 6 weights x 2 factors."""
-    from gondola.plans.readiness import acted  # readiness is built on this module
-
-    return tier_changes(acted(spark, sf))
-
-
-#: Weights of the opportunity score; pricing power is the constant 50 of `readiness.acted`.
-OPPORTUNITY = {"demand": 0.25, "ready": 0.20, "shelf_risk_inv": 0.20, "confidence": 0.15, "pricing_power": 0.10, "margin_risk_inv": 0.10}
-
-
-def tier_changes(x: DataFrame) -> DataFrame:
-    """weight, factor, n, unknown (signals without a score, which have no tier) and changed."""
-    c = F.col
-    parts = {"demand": c("demand"), "ready": c("ready"), "shelf_risk_inv": 100 - c("shelf_risk"), "confidence": c("confidence"), "pricing_power": F.lit(50.0), "margin_risk_inv": 100 - c("margin_risk")}
-    # rounded far below any step of a score, so that the order of additions cannot move a tier
-    base = sum(w * parts[k] for k, w in OPPORTUNITY.items())
-    tier = lambda s: first_match([(s.isNull(), None), (s >= 75, 3), (s >= 55, 2), (s >= 35, 1)], 0)
-    runs = F.array(*[F.struct(F.lit(k).alias("weight"), F.lit(f).alias("factor"), ((f - 1) * w * parts[k]).alias("step")) for k, w in OPPORTUNITY.items() for f in (0.9, 1.1)])
-    t = x.select(base.alias("base"), F.explode(runs).alias("run")).select("base", "run.*").withColumns({"was": half_up(clamp(c("base")), 6), "is": half_up(clamp(c("base") + c("step")), 6)})
-    return t.groupBy("weight", "factor").agg(F.count("*").alias("n"), F.count_if(c("was").isNull()).alias("unknown"), F.count_if(tier(c("was")) != tier(c("is"))).alias("changed"))
-
+from pyspark.sql import DataFrame, SparkSession
 
-@query(f", k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY day DESC) AS k, row_number() OVER (PARTITION BY category ORDER BY day) AS x FROM interest), b AS (SELECT category, arg_max(interest, day) FILTER (k > 4) AS naive, avg(interest) FILTER (k BETWEEN 5 AND 8) AS mov, regr_slope(interest, x) FILTER (k > 4) AS s, regr_intercept(interest, x) FILTER (k > 4) AS i FROM k GROUP BY category) SELECT category, {r('avg(abs(interest - naive) / nullif(abs(interest), 0)) * 100')} AS mape_naive, {r('avg(abs(interest - mov) / nullif(abs(interest), 0)) * 100')} AS mape_moving, {r('avg(abs(interest - (s * x + i)) / nullif(abs(interest), 0)) * 100')} AS mape_linear FROM k JOIN b USING (category) WHERE k <= 4 GROUP BY category")
-def forecast_baselines(spark, sf):
-    w = Window.partitionBy("category")
-    k = interest(spark, sf).withColumns({"k": F.row_number().over(w.orderBy(F.desc("day"))), "x": F.row_number().over(w.orderBy("day"))})
-    old = k.where("k > 4").groupBy("category").agg(F.max_by("interest", "day").alias("naive"), F.avg(F.when(F.col("k").between(5, 8), F.col("interest"))).alias("mov"), F.regr_slope("interest", "x").alias("s"), F.regr_intercept("interest", "x").alias("i"))
-    mape = lambda f: half_up(F.avg(F.try_divide(F.abs(F.col("interest") - f), F.abs("interest"))) * 100)
-    return k.where("k <= 4").join(F.broadcast(old), "category").groupBy("category").agg(mape(F.col("naive")).alias("mape_naive"), mape(F.col("mov")).alias("mape_moving"), mape(F.col("s") * F.col("x") + F.col("i")).alias("mape_linear"))
+from gondola.plans import checks, core, corpus, facts, pricing, scores, serving, validation  # noqa: F401  each registers its queries
+from gondola.plans.core import asof_carry_forward, asof_month, asof_tolerance, competitor_pulls  # noqa: F401
+from gondola.plans.corpus import chunk_docs, document_flags  # noqa: F401
+from gondola.plans.facts import weekly_price_fact  # noqa: F401
+from gondola.plans.registry import ORACLE, QUERIES
+from gondola.plans.validation import tier_changes  # noqa: F401
+from gondola.sources.tables import retail  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

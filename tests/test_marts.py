@@ -8,7 +8,7 @@ import pytest
 from gondola.plans import marts, validation  # noqa: F401  validation imports all other plans
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
