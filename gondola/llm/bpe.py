@@ -12,7 +12,7 @@ bytes; should two pre-tokens ever share a 64-bit hash, the text is encoded again
 piece by piece.
 
 Defined results: a null text is empty and has no ids.  Special tokens' strings are
-ordinary text.
+ordinary text.  Repeated rows are rows of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations

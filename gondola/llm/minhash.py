@@ -309,7 +309,9 @@ def near_duplicates(docs: DataFrame, params: MinHashParams, id_col: str = "doc_i
         "minhash-profiles")
     classes = slim.where("cid is not null")
     # rows of a class have equal sets, hence equal bands: those of any row will do
-    one = classes.groupBy("cid").agg(F.min("_id").alias("rep"), F.min("_k").alias("_k"), F.min_by("bands", "_k").alias("bands"))
+    # aggregated before any join: a class of many copies is one row from here on
+    one = shared.stored(classes.groupBy("cid").agg(
+        F.min("_id").alias("rep"), F.min("_k").alias("_k"), F.min_by("bands", "_k").alias("bands"), F.min("sig").alias("sig")), "minhash-each")
     banded = shared.stored(one.select("cid", F.posexplode("bands").alias("band", "h")), "minhash-bands")
     buckets = banded.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     met = shared.stored(banded.join(buckets, "h"), "minhash-buckets")
@@ -319,9 +321,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams, id_col: str = "doc_i
     members = shared.stored(met.drop("size").join(hub, "h"), "minhash-members")
     shared.drop_path(docs.sparkSession, met.gondola_path)
     busy = members.select("cid").distinct()
-    picked = shared.stored(
-        classes.select("cid", "_k", "sig").join(busy, "cid").groupBy("cid").agg(F.min("_k").alias("_k"), F.min("sig").alias("sig")),
-        "minhash-signatures")
+    picked = shared.stored(one.select("cid", "_k", "sig").join(busy, "cid"), "minhash-signatures")
     sigs = picked.select("cid", "sig")
     texts = docs.select(key.alias("_k"), F.col(text_col).alias("text")).join(picked.select("cid", "_k"), "_k")
 
@@ -341,8 +341,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams, id_col: str = "doc_i
         found = shared.stored(exact.mapInArrow(_linked(params), "a bigint, b bigint").distinct(), "minhash-links")
         roots = shared.stored(shared.components(links.unionByName(found), "minhash-roots"), "minhash-roots")
 
-    reps = classes.groupBy("cid").agg(F.min("_id").alias("rep"))
-    labelled = reps.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    labelled = one.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = labelled.groupBy("root").agg(F.min("rep").alias("component"))
     named = shared.stored(labelled.select("cid", "root").join(lowest, "root"), "minhash-classes")
     rows = slim.select("_id", "_k", "n", "cid").join(named, "cid", "left")

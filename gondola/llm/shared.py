@@ -8,7 +8,6 @@ survives lost executors, which cached blocks would not.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,26 +15,12 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gondola.sources.workspace import NoSharedFolder, shared_root  # noqa: F401
+
 #: Bytes and rows of one Arrow batch that crosses into Python.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
 
-class NoSharedFolder(ValueError):
-    """``spark.checkpoint.dir`` is unset on a cluster: executors would write to folders that others cannot read."""
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one on a local master and an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if master.split("[")[0] != "local":
-            raise NoSharedFolder(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        found = "file://" + tempfile.mkdtemp(prefix="gondola-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found else f"file://{found}"
-
-
 @contextmanager
 def shuffle_tasks(spark: SparkSession, tasks: int) -> Iterator[None]:
     """At least so many shuffle partitions for the jobs that run inside; small ones are joined again at run time."""

@@ -20,7 +20,7 @@ shards, and the index says where each one is.  Expansion lengths let a reader sk
 of a document without expanding what lies before it.
 
 Defined results: null and empty texts hold the end id alone.  Repeated ids and
-rows are documents of their own.
+rows are documents of their own.  An empty table gives no rows and no file.
 """
 
 from __future__ import annotations

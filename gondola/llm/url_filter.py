@@ -10,7 +10,7 @@ its full string, so collisions do no harm.
 
 Defined results: a null url, and one without ``://``, has an empty host and path and
 no rule.  A url without a rule gets the default verdict.  A rule given twice: the
-last one holds.
+last one holds.  Repeated rows are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations

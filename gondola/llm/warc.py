@@ -13,7 +13,7 @@ Defined results: a null payload is empty; a null url leaves out WARC-Target-URI,
 and control characters in a url are percent-encoded in the header (the index keeps
 the url as it is).  Rows with the response's page id and payload are all responses;
 rows with a null page id are revisits where another row has the payload and an id,
-else responses.
+else responses.  An empty table gives no rows and no archive.
 """
 
 from __future__ import annotations
