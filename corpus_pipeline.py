@@ -45,7 +45,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer; tests/llm compare run() with a brute-force version.
+#: SQL can express neither the classifier nor the tokenizer; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
