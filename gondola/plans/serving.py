@@ -16,7 +16,7 @@ from gondola.config import T
 from gondola.functions.exprs import clamp, first_match, half_up, looked_up, whole
 from gondola.operators.windows import numbered
 from gondola.plans.core import dim_location
-from gondola.plans.facts import KEYS, prices
+from gondola.plans.facts import KEYS, events, prices
 from gondola.plans.pricing import pricing
 from gondola.plans.registry import cl, query, r, view
 from gondola.plans.scores import ready
@@ -147,14 +147,19 @@ def top_actions_per_store(spark, sf):
     return queue(spark, sf).select(*KEYS, "priority", "action").withColumn("k", F.row_number().over(per)).where("k <= 5").drop("k")
 
 
-@query(f"""SELECT store_id, any_value(store_name) AS store_name, {r('avg(demand)', 1)} AS demand, {r('avg(confidence)', 1)} AS confidence, {r('avg(ready)', 1)} AS ready, {r('avg(100 - shelf_risk)', 1)} AS safety, {r('(avg(demand) + avg(confidence) + avg(ready)) / 3', 1)} AS health, count_if(action = 'AVOID') AS avoid
-FROM v_queue GROUP BY store_id ORDER BY health DESC NULLS LAST, store_id""")
+@query(f"""SELECT *, CAST(row_number() OVER (ORDER BY health DESC NULLS LAST, store_id) AS BIGINT) AS place, {r('health - avg(health) OVER ()', 1)} AS delta FROM (SELECT store_id, any_value(store_name) AS store_name, {r('avg(demand)', 1)} AS demand, {r('avg(confidence)', 1)} AS confidence, {r('avg(ready)', 1)} AS ready, {r('avg(100 - shelf_risk)', 1)} AS safety, {r('(avg(demand) + avg(confidence) + avg(ready)) / 3', 1)} AS health, count_if(action = 'AVOID') AS avoid
+FROM v_queue GROUP BY store_id) ORDER BY place""")
 def store_health(spark, sf):
+    """Stores by the mean of three scores, with their place and their distance from the mean store."""
     c = F.col
     mean = {k: F.avg(k) for k in ("demand", "confidence", "ready")}
-    return queue(spark, sf).groupBy("store_id").agg(
+    x = queue(spark, sf).groupBy("store_id").agg(
         F.any_value("store_name", True).alias("store_name"), *[half_up(m, 1).alias(k) for k, m in mean.items()], half_up(F.avg(100 - c("shelf_risk")), 1).alias("safety"),
-        half_up(sum(mean.values()) / 3, 1).alias("health"), F.count_if(c("action") == "AVOID").alias("avoid")).orderBy(c("health").desc_nulls_last(), "store_id")
+        half_up(sum(mean.values()) / 3, 1).alias("health"), F.count_if(c("action") == "AVOID").alias("avoid"))
+    # one row a store
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.row_number().over(Window.orderBy(c("health").desc_nulls_last(), "store_id")).cast("long")
+    return x.withColumns({"place": place, "delta": half_up(c("health") - F.avg("health").over(every), 1)}).orderBy("place")
 
 
 @query(f"""SELECT (SELECT category FROM v_queue GROUP BY category ORDER BY {r('avg(opportunity)', 6)} DESC NULLS LAST, category LIMIT 1) AS top_category, count(DISTINCT CASE WHEN season = 'Possible Seasonal Spike' THEN category END) AS spiking,
@@ -217,6 +222,41 @@ def demand_scores(spark, sf):
         F.when(c("n_products").isNull(), "MISSING").otherwise("MEASURED").alias("phantom_signal"), "ready", "search_direction", "ppi_direction", "cpi_direction", "velocity_direction", "season").orderBy(F.desc("demand"))
 
 
+_KPIS = ["URGENT", "HIGH", "MEDIUM", "LOW"]
+
+
+@query("SELECT count(*) AS signals, " + ", ".join(f"count_if(urgency = '{u}') AS {u.lower()}" for u in _KPIS) + ", count_if(strength = 'Strong') AS strong, count(DISTINCT CASE WHEN action = 'DEFEND' THEN store_id END) AS defended_stores, count_if(tier = 'Prime') AS prime FROM v_queue WHERE month = (SELECT max(month) FROM v_queue)")
+def latest_kpis(spark, sf):
+    """The counts of the latest month: a filter on the stored month, then one pass."""
+    c = F.col
+    x = queue(spark, sf)
+    at = x.join(F.broadcast(x.agg(F.max("month").alias("month"))), "month", "left_semi")  # one row
+    return at.agg(
+        F.count("*").alias("signals"), *[F.count_if(c("urgency") == u).alias(u.lower()) for u in _KPIS], F.count_if(c("strength") == "Strong").alias("strong"),
+        F.count_distinct(F.when(c("action") == "DEFEND", c("store_id"))).alias("defended_stores"), F.count_if(c("tier") == "Prime").alias("prime"))
+
+
+@query("SELECT event_type, e.store_id, e.category, detail, event_rank, q.action, q.reason_code FROM v_event e LEFT JOIN (SELECT month, store_id, category, action, reason_code FROM v_queue) q ON e.month = q.month AND e.store_id = q.store_id AND e.category = q.category WHERE event_rank <= 5")
+def events_with_reasons(spark, sf):
+    """The five first events of each kind, with what the queue says about the signal."""
+    top = events(prices(spark, sf)).where("event_rank <= 5").select("event_type", *KEYS, "detail", "event_rank")
+    return top.join(queue(spark, sf).select(*KEYS, "action", "reason_code"), KEYS, "left").drop("month")
+
+
+@query(f"SELECT store_id, category, count(*) AS months, {r('avg(demand)', 1)} AS demand FROM v_queue WHERE month > (SELECT max(month) FROM v_queue) - INTERVAL 12 MONTH GROUP BY ALL")
+def trailing_year(spark, sf):
+    """The last twelve months of each pair."""
+    x = queue(spark, sf).select(*KEYS, "demand")
+    last = F.broadcast(x.agg(F.max("month").alias("last")))  # one row
+    return x.join(last).where(F.col("month") > F.add_months("last", -12)).groupBy("store_id", "category").agg(F.count("*").alias("months"), half_up(F.avg("demand"), 1).alias("demand"))
+
+
+@query("SELECT q.month, q.store_id, q.category, q.demand, p.gap, p.adjusted FROM v_queue q JOIN v_pricing p ON q.month = p.month AND q.store_id = p.store_id AND q.category = p.category WHERE q.demand IS NOT NULL AND p.gap IS NOT NULL AND p.adjusted IS NOT NULL")
+def aligned_scores(spark, sf):
+    """Two marts side by side, rows with unknown values left out: an inner join, not an alignment by place."""
+    return queue(spark, sf).select(*KEYS, "demand").join(pricing(spark, sf).select(*KEYS, "gap", "adjusted"), KEYS).dropna()
+
+
 @query("SELECT store_id, store_name AS display_name FROM v_location ORDER BY display_name")
 def store_list(spark, sf):
     """Stores and their names, from the stored queue: two columns of one file set."""

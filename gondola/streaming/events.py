@@ -1,17 +1,35 @@
-"""Event stream: windowed counts with a watermark, deduplicated by id."""
+"""Event streams: windowed counts with a watermark, sessions, the latest row of a key, and landing as partitions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from gondola.sources.sinks import replace_partitions
 
 
 def read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def windowed(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
+def windowed(events: DataFrame, size: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts and sums of each kind by tumbling or, with slide, sliding windows; an event counts once."""
     return (
         events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-        .groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        .groupBy(F.window("ts", size, slide or size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     )
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of each user: events no more than gap apart."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+
+
+def land(events: DataFrame, path: str, by: str, state: str) -> StreamingQuery:
+    """Each batch replaces the partitions that it brings; a batch that is run again leaves one copy."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        replace_partitions(batch, path, by)
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
