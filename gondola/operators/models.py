@@ -39,3 +39,23 @@ def direction_scores(rows: DataFrame, features: list[str], keys: list[str], seed
         f1 = MulticlassClassificationEvaluator(labelCol="label", metricName="f1").evaluate(judged)
         found.append((name, round(auc, 4), round(f1, 4), round(BinaryClassificationEvaluator(labelCol="coin").evaluate(by_coin), 4)))
     return spark.createDataFrame(found, "model string, auc double, f1 double, shuffled_auc double")
+
+
+def fold_scores(rows: DataFrame, features: list[str], keys: list[str], folds: int = 3, seed: int = 7) -> DataFrame:
+    """(fold, rows, auc) of the logistic model: each fold, dealt by the digest of a row's keys, is judged by a model of the others."""
+    ready = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(rows).select("label", "raw", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(folds)).alias("fold"))
+    held, found = stored(ready, "model-folds"), []
+    for fold in range(folds):
+        train, test = held.where(F.col("fold") != fold), held.where(F.col("fold") == fold)
+        scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
+        model = candidates(seed)["logistic"].setLabelCol("label").fit(scaler.transform(train))
+        found.append((fold, test.count(), round(BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(scaler.transform(test))), 4)))
+    return rows.sparkSession.createDataFrame(found, "fold int, rows long, auc double")
+
+
+def importance(rows: DataFrame, features: list[str], seed: int = 7) -> DataFrame:
+    """(feature, importance) of the forest over all rows, the most important first."""
+    ready = VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip").transform(rows).select("label", "x")
+    weights = candidates(seed)["forest"].setLabelCol("label").fit(ready).featureImportances
+    ranked = sorted(zip(features, (round(float(w), 4) for w in weights.toArray())), key=lambda p: (-p[1], p[0]))
+    return rows.sparkSession.createDataFrame(ranked, "feature string, importance double")

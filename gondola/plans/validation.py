@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gondola.config import T
 from gondola.functions.exprs import clamp, first_match, half_up
-from gondola.operators.models import direction_scores
+from gondola.operators.models import direction_scores, fold_scores, importance
 from gondola.plans.facts import KEYS, prices
 from gondola.plans.pricing import pricing
 from gondola.plans.registry import cl, query, r, view
@@ -312,11 +312,29 @@ def forecast_selection(spark, sf):
         F.row_number().over(Window.orderBy(half_up(score, 6).desc(), "model")).cast("long").alias("place"))
 
 
-@query(None)
-def direction_models(spark, sf):
-    """Will the gap widen?  Models learn from the first months and are judged on the last, beside a shuffled target."""
+_FEATURES = ["gap", "moved", "amount", "run", "band"]
+
+
+def widening(spark, sf) -> DataFrame:
+    """Price facts with what their gap did next (label: it rose) and what was known before."""
     c = F.col
     v = Window.partitionBy("store_id", "category").orderBy("month")
     x = split(prices(spark, sf)).withColumns({
         "label": (F.lead("gap").over(v) > c("gap")).cast("double"), "moved": F.coalesce(c("gap") - c("prev_gap"), F.lit(0.0)), "amount": c("products").cast("double"), "run": c("run_length").cast("double")})
-    return direction_scores(x.where("label is not null and gap is not null").select(*KEYS, "train", "label", "gap", "moved", "amount", "run", "band"), ["gap", "moved", "amount", "run", "band"], KEYS)
+    return x.where("label is not null and gap is not null").select(*KEYS, "train", "label", *_FEATURES)
+
+
+@query(None)
+def direction_models(spark, sf):
+    """Will the gap widen?  Models learn from the first months and are judged on the last, beside a shuffled target."""
+    return direction_scores(widening(spark, sf), _FEATURES, KEYS)
+
+
+@query(None)
+def direction_folds(spark, sf):
+    return fold_scores(widening(spark, sf), _FEATURES, KEYS)
+
+
+@query(None)
+def direction_importance(spark, sf):
+    return importance(widening(spark, sf), _FEATURES)
