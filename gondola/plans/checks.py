@@ -211,7 +211,7 @@ def freshness_status(spark, sf):
     return x.select("source", "last_day", days.alias("days"), first_match([(c("last_day").isNull(), "NO DATA"), (days > c("most"), "STALE")], "FRESH").alias("status"))
 
 
-@query(f"""SELECT critical, warnings, suspicious, stale, redundant, greatest(0, least(100, 100 - 10 * critical - 3 * warnings - 5 * suspicious - 8 * stale - 2 * redundant)) AS quality FROM
+@query(f"""SELECT critical::BIGINT AS critical, warnings::BIGINT AS warnings, suspicious::BIGINT AS suspicious, stale::BIGINT AS stale, redundant::BIGINT AS redundant, greatest(0, least(100, 100 - 10 * critical - 3 * warnings - 5 * suspicious - 8 * stale - 2 * redundant))::BIGINT AS quality FROM
   (SELECT count_if(status = 'critical') AS critical, count_if(status = 'warning') AS warnings FROM (SELECT {_STATUS} AS status FROM (SELECT n AS nulls, total FROM (SELECT count(*) AS total, {', '.join(f'count_if({k} IS NULL) AS {k}' for k in _AUDITED)} FROM v_queue) UNPIVOT (n FOR c IN ({', '.join(_AUDITED)}))))),
   (SELECT {' + '.join(f'CASE WHEN stddev_samp({k}) < 5 THEN 1 ELSE 0 END' for k in _SCORES)} AS suspicious, {' + '.join(f'CASE WHEN abs(corr({a}, {b})) > 0.85 THEN 1 ELSE 0 END' for a, b in _PAIRS)} AS redundant FROM v_queue),
   (SELECT {' + '.join(f"CASE WHEN {k} IS NULL OR date_diff('day', CAST({k} AS DATE), CAST(as_of AS DATE)) > {d} THEN 1 ELSE 0 END" for k, d in MOST_DAYS.items())} AS stale FROM v_collected)""")
