@@ -124,13 +124,19 @@ def risk_flag(producer: Column, consumer: Column) -> Column:
 
 
 @mart("month", "store_id", "category")
-def signals(spark, sf) -> DataFrame:
-    """Months x segments with what the shelf, the indices and the search terms say; absent parts are null."""
+def shelves(spark, sf) -> DataFrame:
+    """Monthly shelves: mean price, products, promotions."""
     c = F.col
-    x = conformed(spark, sf)
-    shelf = x.groupBy(*KEYS).agg(
+    return conformed(spark, sf).groupBy(*KEYS).agg(
         F.avg("price").alias("retail"), F.count_distinct("product_id").alias("n_products"), (F.avg(F.try_divide(c("price") - F.coalesce("promo", "price"), c("price"))) * 100).alias("promo_depth"),
         F.count("*").alias("n_items"), F.count_if(c("promo").isNotNull()).alias("n_promo"), F.avg(F.coalesce("promo", "price")).alias("paid_mean"))
+
+
+@mart("month", "store_id", "category")
+def signals(spark, sf) -> DataFrame:
+    """Months x segments with what the shelf, the indices and the search terms say; absent parts are null."""
+    c = F.col
+    shelf = shelves(spark, sf)
     months = shelf.select("month").distinct()
     # one row a month and one a search term
     known, terms = F.broadcast(monthly_macro(spark, sf, months)), F.broadcast(demand_trends(spark, sf).select(
@@ -174,8 +180,8 @@ view("v_price", f"""SELECT *, row_number() OVER (PARTITION BY store_id, category
       FROM v_fact WINDOW w AS (PARTITION BY store_id, category ORDER BY month), p AS (PARTITION BY store_id, category)))))""")
 
 
-def price_facts(x: DataFrame) -> DataFrame:
-    """Store x category x month of retail rows: medians without outliers, carried competitor price, gap, band, position, reliability."""
+def own_cells(x: DataFrame) -> DataFrame:
+    """Store x category x month of retail rows without outliers: medians, counts, shares, and sums for what is worked out of many cells."""
     c = F.col
     priced = x.where("price is not null")
     # one row a category and month; joined by its size at run time
@@ -187,21 +193,43 @@ def price_facts(x: DataFrame) -> DataFrame:
     share = lambda p: half_up(F.try_divide(F.count_if(p).cast("double"), F.count_if(inside).cast("double")), 3)
     median = lambda e: half_up(F.percentile_approx(F.when(inside, e), 0.5, 10000), 4)
     kept = F.when(inside, c("price"))
-    own = priced.join(med, ["category", "month"]).groupBy(*KEYS).agg(
+    return priced.join(med, ["category", "month"]).groupBy(*KEYS).agg(
         median(c("price")).alias("price"), F.count_distinct(F.when(inside, c("product_id"))).alias("products"), F.count_if(~inside).alias("outliers"), share(inside & brand).alias("own_brand"),
-        median(F.coalesce("promo", "price")).alias("paid"), share(inside & (c("promo") < c("price"))).alias("promo_share"),
+        median(F.coalesce("promo", "price")).alias("paid"), share(inside & (c("promo") < c("price"))).alias("promo_share"), F.max("m").alias("m"),
         F.count(kept).alias("n"), F.sum(kept).alias("s1"), F.sum(kept * kept).alias("s2"))
-    # the deviation of a category out of the sums of its stores: rows are not read again
+
+
+def rival_cells(x: DataFrame) -> DataFrame:
+    """Category x collection of the competitor's feed: median and mean price, stores, and products a store on average."""
+    c = F.col
+    pulls = competitor_pulls(x).where("list_price > 0")
+    counts = pulls.groupBy("category", "pulled", (c("store_id") % RIVAL_STORES).alias("rival")).agg(F.count("*").alias("k"))
+    sizes = counts.groupBy("category", "pulled").agg(half_up(F.avg("k")).alias("rivals"), F.count("*").alias("rival_stores"))
+    return pulls.groupBy("category", "pulled").agg(half_up(F.percentile_approx("list_price", 0.5, 10000), 4).alias("competitor"), F.avg("list_price").alias("rival_mean"), F.count("*").alias("rival_n")).join(sizes, ["category", "pulled"])
+
+
+@mart("month", "store_id", "category")
+def own_prices(spark, sf) -> DataFrame:
+    return own_cells(conformed(spark, sf))
+
+
+@mart("pulled", "category")
+def rival_prices(spark, sf) -> DataFrame:
+    return rival_cells(conformed(spark, sf))
+
+
+def price_facts(own: DataFrame, comp: DataFrame) -> DataFrame:
+    """Own cells beside the competitor's carried ones: gap, band, position, reliability.  Retail rows are not read again."""
+    c = F.col
+    # the deviation of a category out of the sums of its stores
     total = own.groupBy("category", "month").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(c("s2") - F.try_divide(c("s1") * c("s1"), c("n")), c("n") - 1)))
     cv = total.select("category", "month", F.when(c("n") > 1, half_up(F.try_divide(spread, F.try_divide("s1", "n")) * 100, 1)).alias("cv"))
-    pulls = competitor_pulls(x).where("list_price > 0")
-    comp = pulls.groupBy("category", "pulled", c("store_id") % RIVAL_STORES).agg(F.count("*").alias("k")).groupBy("category", "pulled").agg(half_up(F.avg("k")).alias("rivals")).join(
-        pulls.groupBy("category", "pulled").agg(half_up(F.percentile_approx("list_price", 0.5, 10000), 4).alias("competitor")), ["category", "pulled"])
     # the latest collection of the competitor as of each month, whatever its categories
-    carried = asof(cv.select("month").distinct(), comp.select("pulled").distinct(), "month", "pulled", [], [])
+    carried = asof(own.select("month").distinct(), comp.select("pulled").distinct(), "month", "pulled", [], [])
     gap = half_up(F.try_divide(c("price") - c("competitor"), c("competitor")) * 100)
-    w = own.drop("n", "s1", "s2").join(cv, ["category", "month"], "left").join(carried, "month", "left").join(comp, ["category", "pulled"], "left").withColumns({
+    found = comp.select("category", "pulled", "competitor", "rivals")
+    w = own.drop("m", "n", "s1", "s2").join(cv, ["category", "month"], "left").join(carried, "month", "left").join(found, ["category", "pulled"], "left").withColumns({
         "rivals": F.coalesce("rivals", F.lit(0.0)), "stale": F.date_diff("month", "pulled").cast("long"), "gap": gap,
         "band": F.greatest(F.lit(T.band_min), F.least(F.lit(T.band_max), F.coalesce("cv", F.lit(T.cv_unknown)) * T.band_per_cv))})
     g = c("gap")
@@ -227,7 +255,7 @@ def with_history(facts: DataFrame) -> DataFrame:
 @mart("month", "store_id", "category")
 def prices(spark, sf) -> DataFrame:
     """The price fact of all months with its history."""
-    return with_history(price_facts(conformed(spark, sf)))
+    return with_history(price_facts(own_prices(spark, sf), rival_prices(spark, sf)))
 
 
 _FACT_OUT = ["price", "products", "outliers", "own_brand", "paid", "promo_share", "cv", "pulled", "stale", "competitor", "rivals", "gap", "gap_direction", "position", "mismatch", "reliability"]

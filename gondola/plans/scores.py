@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from gondola.config import T
 from gondola.functions.exprs import clamp, codes, first_match, half_up, months_between_starts, pct_change
 from gondola.operators.joins import asof
-from gondola.plans.core import competitor_pulls
-from gondola.plans.facts import KEYS, signals
+from gondola.plans.facts import KEYS, rival_prices, signals
 from gondola.plans.registry import cl, query, r, view
-from gondola.sources.tables import CONSUMER, PRODUCER, RIVAL_STORES, collected, conformed, index
+from gondola.sources.tables import CONSUMER, PRODUCER, RIVAL_STORES, collected, index
 from gondola.sources.workspace import mart
 
 # --- demand gap -----------------------------------------------------------------------------------
@@ -101,10 +100,13 @@ def index_lags(spark, sf, months: DataFrame) -> DataFrame:
     return j.select("month", *[F.when(d <= T.stale_months, F.col(k)).alias(k) for k in ("ppi1", "ppi3", "ppi6")], F.coalesce(d > T.stale_months, F.lit(True)).alias("ppi_stale"))
 
 
-def rival_means(x: DataFrame, per_category: bool = True) -> DataFrame:
+def rival_means(cells: DataFrame, per_category: bool = True) -> DataFrame:
     """The competitor's mean price by month and category, or by month alone."""
-    keys = ["month", "category"] if per_category else ["month"]
-    return competitor_pulls(x).where("list_price > 0").groupBy(*keys).agg(F.avg("list_price").alias("rival_mean"), F.count_distinct(F.col("store_id") % RIVAL_STORES).alias("rival_stores"))
+    x = cells.withColumnRenamed("pulled", "month")
+    if per_category:
+        return x.select("month", "category", "rival_mean", "rival_stores")
+    mean = F.try_divide(F.sum(F.col("rival_mean") * F.col("rival_n")), F.sum("rival_n"))
+    return x.groupBy("month").agg(mean.alias("rival_mean"), F.max("rival_stores").alias("rival_stores"))
 
 
 def based(d: DataFrame, lags: DataFrame, rivals: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def risks(x: DataFrame) -> DataFrame:
 @mart("month", "store_id", "category")
 def risk(spark, sf) -> DataFrame:
     d = demand(spark, sf)
-    return risks(based(d, index_lags(spark, sf, d.select("month").distinct()), rival_means(conformed(spark, sf))))
+    return risks(based(d, index_lags(spark, sf, d.select("month").distinct()), rival_means(rival_prices(spark, sf))))
 
 
 @query(f"SELECT month, store_id, category, missed, decay, thin, threat, trap, shelf_risk, CASE WHEN shelf_risk >= 65 THEN 'HIGH' WHEN shelf_risk >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, {r('(retail - coalesce(rival_mean, retail)) / nullif(coalesce(rival_mean, retail), 0) * 100')} AS rival_advantage, CASE WHEN rival_mean IS NOT NULL THEN 'MEASURED' ELSE 'PROXY' END AS signal_type FROM v_risk")

@@ -153,6 +153,14 @@ def test_shelf_risk_branches(spark):
         assert got[k][column] == pytest.approx(want) if want is not None else got[k][column] is None, (case, column)
 
 
+def test_rival_means(spark):
+    x = spark.createDataFrame([(date(2026, 1, 1), c, s, p, "R") for c, s, p in (("a", 1, 2.0), ("a", 1, 4.0), ("a", 2, 6.0), ("b", 1, 10.0), ("b", 1, 0.0), ("b", 1, None))], "month date, category string, store_id long, list_price double, flag string")
+    cells = facts.rival_cells(x)
+    assert {r["category"]: (r["competitor"], r["rival_mean"], r["rivals"]) for r in cells.collect()} == {"a": (4.0, 4.0, 3.0), "b": (10.0, 10.0, 1.0)}
+    assert {r["category"]: r["rival_mean"] for r in scores.rival_means(cells).collect()} == {"a": 4.0, "b": 10.0}
+    assert [r["rival_mean"] for r in scores.rival_means(cells, per_category=False).collect()] == [5.5]
+
+
 def test_sensitivity_without_change(spark):
     x = spark.createDataFrame([(float(a), float(b), 50.0, 60.0, 40.0) for a in range(0, 101, 5) for b in range(0, 101, 5)], "demand double, ready double, shelf_risk double, confidence double, margin_risk double")
     assert {r["changed"] for r in validation.tier_changes(x, (1.0,)).collect()} == {0}
