@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from gondola.config import T
 from gondola.functions.exprs import clamp, first_match, half_up, looked_up, whole
 from gondola.operators.windows import numbered
-from gondola.plans.core import dim_location
-from gondola.plans.facts import KEYS, events, prices
+from gondola.plans.core import dim_category, dim_date_spine, dim_location
+from gondola.plans.facts import KEYS, events, prices, signals
 from gondola.plans.pricing import pricing
 from gondola.plans.registry import cl, query, r, view
 from gondola.plans.scores import ready
-from gondola.sources.tables import collected
+from gondola.sources.tables import SHELF, collected
 from gondola.sources.workspace import mart
 
 #: The actions in the order of their priority, with urgency, driving score, mart and reason.
@@ -257,6 +257,26 @@ def aligned_scores(spark, sf):
     return queue(spark, sf).select(*KEYS, "demand").join(pricing(spark, sf).select(*KEYS, "gap", "adjusted"), KEYS).dropna()
 
 
+@query("SELECT store_id, " + ", ".join(f"coalesce({r(f'avg(demand) FILTER (category = {chr(39)}{k}{chr(39)})', 1)}, 0) AS {k.lower()}" for k in SHELF) + " FROM v_queue GROUP BY store_id")
+def demand_heatmap(spark, sf):
+    """Stores x categories by mean demand, 0 where there is none; the columns are fixed, so no pass looks for them first."""
+    x = queue(spark, sf).groupBy("store_id").pivot("category", list(SHELF)).agg(F.avg("demand"))
+    return x.select("store_id", *[F.coalesce(half_up(F.col(k), 1), F.lit(0.0)).alias(k.lower()) for k in SHELF])
+
+
+@query("SELECT signal_id, d.month AS date_day, c.category, c.parent, l.store_name, l.city, l.state, l.region FROM (SELECT signal_id, md5(month::VARCHAR) AS date_key, md5(category) AS category_key, md5(store_id::VARCHAR) AS location_key FROM v_signal) s LEFT JOIN (SELECT month, md5(month::VARCHAR) AS date_key FROM v_months) d USING (date_key) LEFT JOIN v_category c USING (category_key) LEFT JOIN v_location l USING (location_key)")
+def star_lookup(spark, sf):
+    """Signals by their surrogate keys alone, looked up in the dimensions: days, categories and stores, each broadcast if it is small enough."""
+    md5 = lambda k: F.md5(F.col(k).cast("string").cast("binary"))
+    s = signals(spark, sf).select("signal_id", md5("month").alias("date_key"), md5("category").alias("category_key"), md5("store_id").alias("location_key"))
+    days = dim_date_spine(spark, sf).select("date_key", "date_day")
+    # the first of the first month may lie before the first day
+    first = days.agg(F.trunc(F.min("date_day"), "MONTH").alias("date_day")).select(md5("date_day").alias("date_key"), "date_day")
+    days = days.unionByName(first).distinct()
+    return s.join(days, "date_key", "left").join(dim_category(spark, sf), "category_key", "left").join(dim_location(spark, sf).drop("store_id"), "location_key", "left").select(
+        "signal_id", "date_day", "category", "parent", "store_name", "city", "state", "region")
+
+
 @query("SELECT store_id, store_name AS display_name FROM v_location ORDER BY display_name")
 def store_list(spark, sf):
     """Stores and their names, from the stored queue: two columns of one file set."""
