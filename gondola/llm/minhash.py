@@ -190,7 +190,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: MinHashParams, name: s
     pairs = shared.stored(pairs, f"{name}-pairs")
     sizes = pairs.groupBy("lead").agg(F.ceil(F.count("*") / params.block).cast("int").alias("parts"))
     dealt = pairs.join(sizes, "lead").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(9)), "parts").cast("int"))
-    hubs = dealt.select("lead", "part").distinct().select("lead", "part", F.lit(0).alias("side"), F.col("lead").alias("cid"))
+    # an exchange of its own, so that a hub's pairs need not lie in one task before it
+    hubs = dealt.select("lead", "part").repartition("lead", "part").distinct().select("lead", "part", F.lit(0).alias("side"), F.col("lead").alias("cid"))
     rows = hubs.unionByName(dealt.select("lead", "part", F.lit(1).alias("side"), "cid"))
     full = shared.stored(_full_sets(texts, rows.select("cid").distinct(), params), f"{name}-sets")
     laid = rows.join(full, "cid").select("lead", "part", "side", "cid", "set").repartition("lead", "part").sortWithinPartitions("lead", "part", "side")
@@ -311,7 +312,8 @@ def near_duplicates(docs: DataFrame, params: MinHashParams, id_col: str = "doc_i
     # rows of a class have equal sets, hence equal bands: those of any row will do
     # aggregated before any join: a class of many copies is one row from here on
     one = shared.stored(classes.groupBy("cid").agg(
-        F.min("_id").alias("rep"), F.min("_k").alias("_k"), F.min_by("bands", "_k").alias("bands"), F.min("sig").alias("sig")), "minhash-each")
+        F.min("_id").alias("rep"), F.min("_k").alias("_k"), F.min_by("bands", "_k").alias("bands"), F.min("sig").alias("sig"),
+        F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_k")).alias("first")), "minhash-each")
     banded = shared.stored(one.select("cid", F.posexplode("bands").alias("band", "h")), "minhash-bands")
     buckets = banded.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     met = shared.stored(banded.join(buckets, "h"), "minhash-buckets")
@@ -344,13 +346,13 @@ def near_duplicates(docs: DataFrame, params: MinHashParams, id_col: str = "doc_i
     labelled = one.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = labelled.groupBy("root").agg(F.min("rep").alias("component"))
     named = shared.stored(labelled.select("cid", "root").join(lowest, "root"), "minhash-classes")
-    rows = slim.select("_id", "_k", "n", "cid").join(named, "cid", "left")
-    firsts = rows.where("root is not null").groupBy("root").agg(
-        F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_k")).alias("f")).select("root", F.col("f._k").alias("first_k"))
-    return rows.join(firsts, "root", "left").select(
+    # the first of a component out of the firsts of its classes; rows meet it by their own key, not by their component's
+    firsts = one.select("cid", "first").join(named.select("cid", "root"), "cid").groupBy("root").agg(F.min("first").alias("f"))
+    rows = slim.select("_id", "_k", "n", "cid").join(named.select("cid", "component"), "cid", "left")
+    return rows.join(firsts.select(F.col("f._k").alias("_k"), F.lit(True).alias("hit")), "_k", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("cid").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component"),
-        F.col("_k").alias("row_key"), F.coalesce(F.col("_k") == F.col("first_k"), F.lit(True)).alias("first"))
+        F.col("_k").alias("row_key"), (F.col("hit").isNotNull() | F.col("cid").isNull()).alias("first"))
 
 
 def keep_firsts(docs: DataFrame, params: MinHashParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
