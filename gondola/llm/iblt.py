@@ -38,7 +38,7 @@ class SketchParams:
     cells: int = 8  #: per group of cells, three groups
     rounds: int = 12  #: of peeling; each takes all cells that are pure
     group: int = 48  #: hashes that one larger sketch takes, on average
-    task_bytes: int = 16 << 20  #: text that one task shuffles
+    task_bytes: int = 8 << 20  #: text that one task shuffles
     sketch_bytes: int = 8 << 20  #: text whose sketches one task makes
     tries: tuple[int, ...] = (1, 2, 4, 8, 16, 32)  #: sizes of the larger sketches, each with another salt
 
