@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import bpe, embed_dedup, iblt, minhash, mixing, quality, shared, sharding, token_files, url_filter, warc
+from gondola.llm import align, bpe, embed_dedup, fim, iblt, lines, minhash, mixing, quality, shared, sharding, token_files, url_filter, warc
 
 #: Folder of the public tokenizers' files, where another than the installed package's is wanted.
 TOKENIZERS = os.environ.get("GONDOLA_TOKENIZERS")
@@ -91,6 +91,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", url_filter.verdicts(spark, F.col("url"), URL_RULES).alias("x")).select("page_id", "x.*")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = fim.FimParams(unit="line", rate=100, spm_rate=50, seed=7)
+    found = fim.transformed(table(spark, sf_dir, "documents"), params)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(fim.restored(F.col("output"), F.col("form"), params), 256).alias("restored_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduped(table(spark, sf_dir, "documents"), lines.LineParams(least_chars=20, least_docs=3))
+    return found.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("doc.text", 256).alias("kept_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = align.aligned(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    counts = align.pair_counts(rows, shared.work_path(spark, "pair-counts"))
+    return align.with_counts(rows, counts).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_warc, op2_embedding_dedup, op3_token_files, op4_minhash, op5_sharding, op6_quality, op7_mixing,
-           op8_fingerprints, op9_byte_bpe, op10_url_filter, pipeline)
+           op8_fingerprints, op9_byte_bpe, op10_url_filter, op11_fill_in_middle, op12_line_dedup, op13_alignment, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -186,6 +204,23 @@ q AS (SELECT *, coalesce(want // nullif(source_size, 0), 0) AS rounds FROM r),
 p AS (SELECT *, greatest(0, least(size, want - rounds * source_size - gone)) AS part, least(1.0::DOUBLE, gone::DOUBLE / want) AS u FROM q)
 SELECT doc_id, source, size, source_size, target, (rounds * size + part)::BIGINT AS taken,
   CASE WHEN rounds > 0 OR part > 0 THEN CASE WHEN a = 0 THEN u ELSE ((1 + a) - sqrt(greatest(0.0::DOUBLE, (1 + a) * (1 + a) - 4 * a * u))) / (2 * a) + 0.0::DOUBLE END END AS position FROM p""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id::VARCHAR) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, list_transform(range(4), lambda k: ('0x' || substr(h, 1 + 8 * k::INT, 8))::BIGINT) AS h FROM d),
+n AS (SELECT *, len(l) AS n, h[1] % (len(l) + 1) AS a, h[2] % (len(l) + 1) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, array_to_string(l[1:least(a, b)], '') AS p, array_to_string(l[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(l[greatest(a, b) + 1:], '') AS s FROM n)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM c""",
+    "op12_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, len(l) AS n, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM d),
+y AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+f AS (SELECT key, max(doc_id) AS last FROM y WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+z AS (SELECT y.*, coalesce(doc_id <> last, false) AS gone FROM y LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256 FROM z GROUP BY doc_id""",
 }
 
 

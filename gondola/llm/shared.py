@@ -44,10 +44,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df written once as Parquet in the shared folder, and read from there."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.gondola_path = path
     return kept
