@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from gondola.plans import facts, marts, pricing, scores, serving
 from gondola.sources import tables, workspace
 
-BUILDS = {"conformed": tables.conformed, "shelves": facts.shelves, "signals": facts.signals, "own_prices": facts.own_prices, "rival_prices": facts.rival_prices, "prices": facts.prices, "demand": scores.demand, "risk": scores.risk, "ready": scores.ready, "pricing": pricing.pricing, "queue": serving.queue}
+BUILDS = {"conformed": tables.conformed, "shelves": facts.shelves, "signals": facts.signals, "own_prices": facts.own_prices, "rival_prices": facts.rival_prices, "prices": facts.prices, "demand": scores.demand, "risk": scores.risk, "ready": scores.ready, "pricing": pricing.pricing, "actions": serving.actions, "queue": serving.queue}
 HEADLINE = ["weekly_price_fact", "gaps_islands", "weekly_events", "market_signals", "demand_gap", "price_margin", "pricing_intelligence", "action_queue", "topk_actions", "store_list", "macro_features", "demand_features",
             "asof_carry_forward", "category_cv", "two_level_count", "transition_persistence", "store_health", "cosine_topk", "unit_size_parse", "expectations"]
 

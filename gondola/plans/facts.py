@@ -123,7 +123,7 @@ def risk_flag(producer: Column, consumer: Column) -> Column:
         ((producer == "Rising") & (consumer == "Rising"), "High Inflation Risk"), (producer == "Rising", "Cost Pressure"), (producer == "Falling", "Cost Relief")], "Stable Macro"))
 
 
-@mart("month", "store_id", "category")
+@mart("month", "store_id", "category", grows="month")
 def shelves(spark, sf) -> DataFrame:
     """Monthly shelves: mean price, products, promotions."""
     c = F.col
@@ -208,12 +208,12 @@ def rival_cells(x: DataFrame) -> DataFrame:
     return pulls.groupBy("category", "pulled").agg(half_up(F.percentile_approx("list_price", 0.5, 10000), 4).alias("competitor"), F.avg("list_price").alias("rival_mean"), F.count("*").alias("rival_n")).join(sizes, ["category", "pulled"])
 
 
-@mart("month", "store_id", "category")
+@mart("month", "store_id", "category", grows="month")
 def own_prices(spark, sf) -> DataFrame:
     return own_cells(conformed(spark, sf))
 
 
-@mart("pulled", "category")
+@mart("pulled", "category", grows="pulled")
 def rival_prices(spark, sf) -> DataFrame:
     return rival_cells(conformed(spark, sf))
 

@@ -107,12 +107,17 @@ def acted(x: DataFrame) -> DataFrame:
 
 
 @mart("month", "store_id", "category")
-def queue(spark, sf) -> DataFrame:
-    """One action a signal, with its place among all actions."""
-    c = F.col
+def actions(spark, sf) -> DataFrame:
+    """One action a signal."""
     intel = pricing(spark, sf).select(*KEYS, "support", "safety", "intensity")
     names = dim_location(spark, sf).select("store_id", "store_name")  # one row a store
-    x = acted(ready(spark, sf).join(intel, KEYS, "left").join(F.broadcast(names), "store_id", "left"))
+    return acted(ready(spark, sf).join(intel, KEYS, "left").join(F.broadcast(names), "store_id", "left"))
+
+
+@mart("month", "store_id", "category", below=actions)
+def queue(spark, sf) -> DataFrame:
+    """actions() with the place of each among all."""
+    c, x = F.col, actions(spark, sf)
     rank = looked_up(c("action"), {a: k for k, a in enumerate(ACTIONS, 1)}, None)
     # descending as ascending negatives; unknown scores last
     return numbered(x, [rank, -F.unix_date("month"), c("demand").isNull(), -F.coalesce("demand", F.lit(0.0)), c("store_id"), c("category")], "priority")

@@ -1,8 +1,11 @@
 """Writers and probes: full replace, append, idempotent partition replace with a row floor, delete-insert by key.
 
+These write plain Parquet folders, which any reader opens by path; tables that change in one step are in `snapshots`.
+
 A partition replace is written to a folder that readers skip, counted there, and then
 moved into place partition by partition: the input is evaluated once, and nothing
-changes where there are too few rows or a column has another type than before.
+changes where there are too few rows or a column has another type than before.  What is replaced is moved aside before and
+deleted last, so a writer that dies loses nothing: read() and the next writer put back what has nothing in its place.
 Columns may be added; readers see them with mergeSchema.
 """
 
@@ -14,13 +17,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-class TooFewRows(ValueError):
-    """A batch is smaller than its floor; nothing was written."""
-
-
-class SchemaConflict(ValueError):
-    """A column has another type than what is stored; nothing was written."""
+from gondola.sources import snapshots
+from gondola.sources.snapshots import SchemaConflict, TooFewRows  # noqa: F401
 
 
 def _files(spark: SparkSession, path: str):
@@ -42,8 +40,42 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+ASIDE = "_aside"
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Finish what a writer left: old data aside go back where nothing took their place, else they go."""
+    files, place, at = _files(spark, path)
+    old = at(f"{path}.{ASIDE}")
+    if files.exists(old):
+        if not files.exists(place):
+            files.rename(old, place)
+        else:
+            files.delete(old, True)
+    aside = at(f"{path}/{ASIDE}")
+    if files.exists(aside):
+        for s in files.listStatus(aside):
+            target = at(f"{path}/{s.getPath().getName()}")
+            if not files.exists(target):
+                files.rename(s.getPath(), target)
+        files.delete(aside, True)
+
+
+def _swap(spark: SparkSession, fresh: str, target: str, aside: str) -> None:
+    """A folder in another's place, which is moved aside; settle() undoes half a swap."""
+    files, new, at = _files(spark, fresh)
+    if files.exists(at(target)):
+        files.mkdirs(at(aside).getParent())
+        files.rename(at(target), at(aside))
+    files.rename(new, at(target))
+    files.delete(at(aside), True)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A table whose partitions may differ in added columns."""
+    if exists(spark, f"{path}/manifests"):
+        return snapshots.read(spark, path)
+    settle(spark, path)
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
@@ -51,6 +83,7 @@ def replace_partitions(df: DataFrame, path: str, by: str, least_rows: int = 0) -
     """Replace only the partitions that df has; running it twice leaves one copy."""
     spark, staged = df.sparkSession, f"{path}/_staged-{uuid.uuid4().hex}"
     files, place, at = _files(spark, path)
+    settle(spark, path)
     if files.exists(place) and any(not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(place)):
         held = dict(read(spark, path).dtypes)
         odd = [c for c, kind in df.dtypes if c != by and held.get(c, kind) != kind]
@@ -63,10 +96,9 @@ def replace_partitions(df: DataFrame, path: str, by: str, least_rows: int = 0) -
         for s in files.listStatus(at(staged)):
             name = s.getPath().getName()
             if name.startswith(f"{by}="):
-                target = at(f"{path}/{name}")
-                files.delete(target, True)
-                files.rename(s.getPath(), target)
+                _swap(spark, s.getPath().toString(), f"{path}/{name}", f"{path}/{ASIDE}/{name}")
     finally:
+        settle(spark, path)
         files.delete(at(staged), True)
 
 
@@ -87,14 +119,13 @@ def delete_insert(existing: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
 def replace_keys(fresh: DataFrame, path: str, key: str) -> None:
     """Write delete_insert() in place of what is stored: a new folder first, which then takes the old one's name."""
     spark = fresh.sparkSession
+    settle(spark, path)
     if not exists(spark, path):
         replace(fresh, path)
         return
-    files, place, at = _files(spark, path)
-    staged = at(f"{path}.{uuid.uuid4().hex}")
-    delete_insert(read(spark, path), fresh, key).write.parquet(staged.toString())
-    files.delete(place, True)
-    files.rename(staged, place)
+    staged = f"{path}.{uuid.uuid4().hex}"
+    delete_insert(read(spark, path), fresh, key).write.parquet(staged)
+    _swap(spark, staged, path, f"{path}.{ASIDE}")
 
 
 def export(df: DataFrame, most: int = 1_000_000):

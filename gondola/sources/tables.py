@@ -6,6 +6,8 @@ are what a competitor's feed brings, two order priorities are the producer and t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +40,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def retail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def within(day: Column, months: list[str | None]) -> Column:
+    """Is a time in one of these months (first days as text; None: no time)?  Ranges, which reach the scan."""
+    start = lambda m: F.lit(m).cast("timestamp")
+    held = [(day >= start(m)) & (day < F.add_months(F.lit(m).cast("date"), 1).cast("timestamp")) if m else day.isNull() for m in months]
+    return reduce(lambda a, b: a | b, held, F.lit(False))
+
+
+def retail(spark: SparkSession, sf_dir: str, months: list[str | None] | None = None) -> DataFrame:
     """Shelf prices: product x store x category x day."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    if months is not None:
+        line = line.where(within(F.col("l_shipdate"), months))
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return line.join(part, line.l_partkey == part.p_partkey).select(
         (F.col("l_suppkey") % STORES).alias("store_id"), F.col("p_type").alias("category"), F.col("l_partkey").alias("product_id"),
@@ -50,10 +61,10 @@ def retail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").alias("list_price"), F.col("l_returnflag").alias("flag"))
 
 
-@mart("month", "category")
-def conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """retail(), joined once and stored: what the price facts and monthly shelves are made of."""
-    return retail(spark, sf_dir)
+@mart("month", "category", grows="month", places={"lineitem": "trunc(to_date(l_shipdate), 'MONTH')"})
+def conformed(spark: SparkSession, sf_dir: str, months: list[str | None] | None = None) -> DataFrame:
+    """retail(), joined once and stored: what the price facts and monthly shelves are made of.  months: of these alone, pruned by statistics of l_shipdate."""
+    return retail(spark, sf_dir, months)
 
 
 def producer_index(spark: SparkSession, sf_dir: str) -> DataFrame:

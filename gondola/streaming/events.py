@@ -1,4 +1,4 @@
-"""Event streams: windowed counts with a watermark, sessions, the latest row of a key, and landing as partitions."""
+"""Event streams: windowed counts with a watermark, sessions, the latest row of a key, and landing in partitions."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gondola.sources.sinks import replace_partitions
+from gondola.sources import snapshots
 
 
 def read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -27,9 +27,23 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def land(events: DataFrame, path: str, by: str, state: str) -> StreamingQuery:
-    """Each batch replaces the partitions that it brings; a batch that is run again leaves one copy."""
+    """Every batch is added, once, to the table at path (a snapshot, partitioned by `by`).
 
-    def write(batch: DataFrame, _: int) -> None:
-        replace_partitions(batch, path, by)
+    The table notes the state and number of the last batch with the rows themselves, in one step, so a batch that is
+    run again after a failure is known.  Another state begins the source anew: its first batch
+    takes the place of all that was landed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = snapshots.manifest(batch.sparkSession, path)
+        landed = held.marks.get("landed") if held else None
+        same = landed is not None and landed["state"] == state
+        if not same or number > landed["batch"]:
+            snapshots.commit(batch, path, lambda f, _: same or landed is None, by=by, tag=str(number), marks={"landed": {"state": state, "batch": number}})
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """What land() has written so far."""
+    return snapshots.read(spark, path)
