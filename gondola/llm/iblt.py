@@ -37,7 +37,7 @@ from gondola.llm import shared
 class SketchParams:
     cells: int = 8  #: per group of cells, three groups
     rounds: int = 12  #: of peeling; each takes all cells that are pure
-    group: int = 48  #: hashes that one larger sketch takes, on average
+    group: int = 48  #: hashes that one larger sketch takes, on average at most
     task_bytes: int = 8 << 20  #: text that one task shuffles
     sketch_bytes: int = 8 << 20  #: text whose sketches one task makes
     tries: tuple[int, ...] = (1, 2, 4, 8, 16, 32)  #: sizes of the larger sketches, each with another salt
@@ -86,19 +86,22 @@ def peeled(a: str, b: str, m: str, salt: int, rounds: int) -> str:
     )
 
 
+def dealt(hashes: str, levels: str) -> str:
+    """SQL: an array of hashes as 2**levels arrays, by the bits of the hashes: each level halves all parts, so a hash is looked at twice a level."""
+    acc, bit, part, x = (next(_names) for _ in range(4))
+    half = lambda side: f"filter({part}, {x} -> (shiftright({x}, 17 + {bit}) & 1) = {side})"
+    return f"aggregate(slice(sequence(0, 40), 1, {levels}), array({hashes}), ({acc}, {bit}) -> flatten(transform({acc}, {part} -> array({half(0)}, {half(1)}))))"
+
+
 def larger(a: str, b: str, times: int, salt: int, params: SketchParams) -> str:
-    """SQL: how many hashes two arrays differ in, by sketches large enough for all of both; null on failure."""
-    g, x, y = next(_names), next(_names), next(_names)
-
-    def groups(n: str) -> str:
-        own = lambda arr: f"filter({arr}, {x} -> pmod(shiftright({x}, 17), {n}) = {g})"
-        both = lambda p, q: _let(
-            f"cast({times} * (5 + (size({p}) + size({q})) * 11 div 20) as int)",
-            lambda m: peeled(sketch(p, m, salt), sketch(q, m, salt), m, salt, params.rounds + 4 * times))
-        one = _let(own(a), lambda p: _let(own(b), lambda q: both(p, q)))
-        return f"aggregate(transform(sequence(0, {n} - 1), {g} -> {one}), 0, ({x}, {y}) -> {x} + {y})"
-
-    return _let(f"cast((size({a}) + size({b})) div {params.group} + 1 as int)", groups)
+    """SQL: how many hashes two arrays differ in, by sketches large enough for all of both, group by group; null on failure."""
+    p, q, x, y = (next(_names) for _ in range(4))
+    both = _let(
+        f"cast({times} * (5 + (size({p}) + size({q})) * 11 div 20) as int)",
+        lambda m: peeled(sketch(p, m, salt), sketch(q, m, salt), m, salt, params.rounds + 4 * times))
+    each = lambda levels: f"zip_with({dealt(a, levels)}, {dealt(b, levels)}, ({p}, {q}) -> {both})"
+    levels = f"cast(ceil(log2(greatest(1, (size({a}) + size({b})) / {params.group}))) as int)"
+    return f"aggregate({_let(levels, each)}, 0, ({x}, {y}) -> {x} + {y})"
 
 
 def likeness(a: str, b: str, sa: str, sb: str, params: SketchParams) -> str:

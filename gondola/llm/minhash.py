@@ -358,10 +358,14 @@ def near_duplicates(docs: DataFrame, params: MinHashParams, id_col: str = "doc_i
 def keep_firsts(docs: DataFrame, params: MinHashParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates: one row of each component stays, and every row without shingles.
 
-    Repeated rows (equal id and text) with shingles count as copies: one stays.
+    Repeated rows (equal id and text) with shingles count as copies: one stays, where other columns
+    differ that with the lowest hash of all columns.  A row is known by two hashes of id and text, so that two
+    texts which share the first one both stay.
     """
     found = near_duplicates(docs, params, id_col, text_col)
     stay = found.where("first").select(F.col("row_key").alias("_k"), F.col("n_shingles").alias("_n")).distinct()
-    kept = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k")).join(stay, "_k")
-    once = kept.where("_n > 0").dropDuplicates(["_k"])
-    return once.unionByName(kept.where("_n = 0")).select("_doc.*")
+    own = (F.col(id_col), F.col(text_col))
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(*own).alias("_k"), F.xxhash64(F.lit(2), *own).alias("_k2"), F.xxhash64(F.lit(3), *docs.columns).alias("_o"))
+    kept = keyed.join(stay, "_k")
+    once = kept.where("_n > 0").groupBy("_k", "_k2").agg(F.min_by("_doc", "_o").alias("_doc"))
+    return once.select("_doc").unionByName(kept.where("_n = 0").select("_doc")).select("_doc.*")

@@ -7,7 +7,9 @@ one pass over sources sorted by cap per weight).
 
 Words.  Within a source, documents stand in the order of their ids' digests.  The source's
 target is cut from as many passes over that order as it needs: whole passes, and
-a last one that ends at the target, in the middle of a document where need be.
+a last one that ends at the target, in the middle of a document where need be (`taken` counts its words).
+Rows of the mix are whole documents: that last one is taken if at least half of it is wanted, else left out, so a
+source's words are within half of a document of its target.
 
 Positions.  While the mix is consumed, at time t from 0 to 1, a source's weight
 follows a schedule 1 + a*(1 - 2t); `tilts` gives a (above 0: early; below: late).
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.llm import shared
@@ -68,14 +70,19 @@ def source_targets(sizes: DataFrame, params: MixParams) -> DataFrame:
         "source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.try_divide(rest * F.col("w"), weight)).alias("target"), "tilt", "base")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Two hashes of all columns, with seeds of their own: rows of one key are equal, but for a chance of 2**-128 a pair."""
+    return F.struct(*[F.xxhash64(F.lit(seed), *docs.columns).alias(f"h{seed}") for seed in (1, 2)])
+
+
 def plan(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of docs: id, source, row_key, size, source_size, target, taken, passes.
 
-    row_key: hash of all columns.  passes: array of (position, words), in time order.
+    row_key: two hashes of all columns.  passes: array of (position, words), in time order.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(*docs.columns).alias("row_key"),
+        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), row_key(docs).alias("row_key"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_by"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
     laid = shared.stored(
         shared.global_prefix(slim, [F.col("source").isNull(), F.col("source"), F.col("_by"), F.col("row_key")], "size", "mix-order"),
@@ -110,19 +117,13 @@ def mixed_report(docs: DataFrame, params: MixParams = MixParams(), **names: str)
 
 
 def mixed_rows(docs: DataFrame, params: MixParams = MixParams(), text_col: str = "text", **names: str) -> DataFrame:
-    """docs as the mix takes them: a row for each pass, in position order; a pass that is cut ends with its last word.
+    """docs as the mix takes them: a row, whole, for each pass, in position order.
 
+    The document in which a source's last pass ends is taken if at least half of its words are wanted, else left out.
     Equal rows share a key; their passes are joined to one of them.  Documents
     without words are in every whole pass of their source.
     """
-    passes = plan(docs, params, text_col=text_col, **names).select("row_key", "size", F.explode("passes").alias("p"))
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(*docs.columns).alias("row_key"))
+    passes = plan(docs, params, text_col=text_col, **names).select("row_key", "size", F.explode("passes").alias("p")).where("2 * p.words >= size")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), row_key(docs).alias("row_key"))
     rows = whole.dropDuplicates(["row_key"]).join(passes, "row_key")
-    text, short = F.col(f"doc.{text_col}"), F.col("p.words") < F.col("size")
-    words = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    cut = F.array_join(F.slice(words, 1, F.col("p.words").cast("int")), "")
-    own = {c: F.col(f"doc.{c}") for c in docs.columns} | {text_col: F.when(short, cut).otherwise(text)}
-    if "n_chars" in own:
-        own["n_chars"] = F.when(short, F.char_length(own[text_col]).cast(dict(docs.dtypes)["n_chars"])).otherwise(own["n_chars"])
-    laid = rows.orderBy(F.col("p.position").asc_nulls_last(), "row_key")
-    return laid.select(*[x.alias(c) for c, x in own.items()])
+    return rows.orderBy(F.col("p.position").asc_nulls_last(), "row_key").select("doc.*")

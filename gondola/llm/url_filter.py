@@ -4,9 +4,9 @@ A rule has a host and a path and fits that host and its subdomains where the url
 path starts with the rule's path; the longest rule (host and path together, then
 the longer host) wins.  The rules file, sent to every executor with addFile and
 memory-mapped there, holds sorted xxhash64 digests of ``host + path``, offsets and
-the strings.  A url's candidates are the suffixes of its host joined with the
+the strings.  A url's candidates are the suffixes of its host, no longer than the longest host of a rule, joined with the
 prefixes of its path of lengths that rules have; a digest found is confirmed by
-its full string, so collisions do no harm.
+its full string, so collisions do no harm.  What a url costs is bounded by the rules, not by its length.
 
 Defined results: a null url, and one without ``://``, has an empty host and path and
 no rule.  A url without a rule gets the default verdict.  A rule given twice: the
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -27,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-MAGIC = b"URLRULE1"
+MAGIC = b"URLRULE2"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -39,13 +40,13 @@ class Rule:
 
 
 def pack(rules: list[Rule]) -> bytes:
-    """The rules file: magic, counts, path lengths, digests, offsets, strings."""
+    """The rules file: magic, counts, greatest host length, path lengths, digests, offsets, strings."""
     last = {(r.host + r.path): r for r in rules}
     rows = sorted((xxhash.xxh64_intdigest(k), k, r) for k, r in last.items())
     lengths = sorted({len(r.path) for r in last.values()})
     blobs = [f"{r.verdict[0]}{k}".encode() for _, k, r in rows]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype("<u8")
-    head = np.array([len(rows), len(lengths)], "<u8")
+    head = np.array([len(rows), len(lengths), max((len(r.host) for r in last.values()), default=0)], "<u8")
     return MAGIC + head.tobytes() + np.array(lengths, "<u8").tobytes() + np.array([d for d, _, _ in rows], "<u8").tobytes() + offsets.tobytes() + b"".join(blobs)
 
 
@@ -55,8 +56,8 @@ class RuleFile:
     def __init__(self, path: str):
         whole = np.memmap(path, np.uint8, "r")
         assert bytes(whole[:8]) == MAGIC, "not a rules file"
-        n, k = (int(x) for x in whole[8:24].view("<u8"))
-        at = 24
+        n, k, self.longest = (int(x) for x in whole[8:32].view("<u8"))
+        at = 32
         self.lengths = whole[at : at + 8 * k].view("<u8").astype(int).tolist()
         at += 8 * k
         self.digests = whole[at : at + 8 * n].view("<u8")
@@ -95,18 +96,26 @@ def parts(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), tail[: min([k for k in map(tail.find, "?#") if k >= 0], default=len(tail))]
 
 
+def suffixes(host: str, longest: int) -> Iterator[str]:
+    """A host and its parent domains that have at most `longest` characters."""
+    if 0 < len(host) <= longest:
+        yield host
+    at = max(len(host) - longest - 1, 0)
+    while (at := host.find(".", at) + 1) and at < len(host):
+        yield host[at:]
+
+
 def judged(urls: list[str | None], rules: RuleFile, default: str) -> list[tuple[str, str, str | None, str]]:
     """(host, path, rule, verdict) of each url."""
     split = [parts(u) for u in urls]
     keys, owner, ranks = [], [], []
     for i, (host, path) in enumerate(split):
-        while host:
+        for domain in suffixes(host, rules.longest):
             for n in rules.lengths:
                 if n <= len(path):
-                    keys.append(host + path[:n])
+                    keys.append(domain + path[:n])
                     owner.append(i)
-                    ranks.append((len(host) + n, len(host)))
-            host = host.partition(".")[2]
+                    ranks.append((len(domain) + n, len(domain)))
     best: dict[int, tuple] = {}
     for key, i, rank, verdict in zip(keys, owner, ranks, rules.find(keys)):
         if verdict and (i not in best or rank > best[i][0]):

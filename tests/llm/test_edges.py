@@ -243,8 +243,11 @@ def test_mixing(docs, empty):
         assert abs(sum(r["taken"] for r in report if r["source"] == s) - target[s]) <= 1
     rows = mixing.mixed_rows(docs)
     assert rows.columns == docs.columns
-    words = sum(len((r["text"] or "").split()) for r in rows.collect())
-    assert abs(words - sum(r["taken"] for r in report)) <= 2
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for s in target:
+        words = sum(len((r["text"] or "").split()) for r in rows.collect() if r["source"] == s)
+        assert abs(words - sum(r["taken"] for r in report if r["source"] == s)) <= max(r["size"] for r in report if r["source"] == s) / 2
+    assert all(r["text"] == texts[r["doc_id"]] for r in rows.collect())
     assert mixing.mixed_report(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
 
 
@@ -271,6 +274,38 @@ def test_fingerprints_of_copies(spark):
     assert alone["near_next"] == 1.0 and alone["n_chars"] == 7
 
 
+def test_fingerprints_of_many_lines(spark):
+    """A text of 50,000 lines, edited to the next one's: the work grows with the lines, not with their square."""
+    text = lambda tag, n: "\n".join(f"{tag} line {k}" for k in range(n))
+    took = {}
+    for n in (8_000, 16_000, 50_000):
+        docs = spark.createDataFrame([(1, text("a", n)), (2, text("a", n // 2) + "\n" + text("b", n // 2))], "doc_id long, text string")
+        for again in range(2 if n < 50_000 else 1):
+            start = time.time()
+            got = {r["doc_id"]: r for r in iblt.fingerprints(docs).collect()}
+            took[n] = time.time() - start
+        assert got[1]["near_next"] == got[2]["near_next"] == pytest.approx((n // 2) / (n + n // 2))
+    assert took[16_000] < 2.5 * took[8_000] and took[50_000] < 9 * took[8_000]
+
+
+def test_url_filter_of_long_hosts(tmp_path):
+    """A host of a million labels costs no more than its own characters; suffixes no longer than a rule's host are tried."""
+    rules = [url_filter.Rule("block", "example.org", "/x"), url_filter.Rule("allow", "a.a.example.org", "/x/y"), url_filter.Rule("block", "org", "")]
+    (tmp_path / "rules").write_bytes(url_filter.pack(rules))
+    held = url_filter.RuleFile(str(tmp_path / "rules"))
+    tracemalloc.start()
+    found = url_filter.judged(["http://" + "a." * 1_000_000 + "example.org/x/y", "http://" + "b." * 1_000_000 + "org", "http://" + "c" * 2_000_000 + "/x"], held, "allow")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[2:] for x in found] == [("a.a.example.org/x/y", "allow"), ("org", "block"), (None, "allow")] and peak < 200 << 20
+    for host in ("", ".", "a..b.", "x.example.org", "example.org", ".org"):
+        parents, rest = [], host
+        while rest:
+            parents.append(rest)
+            rest = rest.partition(".")[2]
+        assert list(url_filter.suffixes(host, 11)) == [p for p in parents if len(p) <= 11]
+
+
 def _hash(data: bytes, seed: int = 42) -> int:
     h = xxhash.xxh64_intdigest(data, seed)
     return h - (1 << 64) if h >= 1 << 63 else h
