@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def asof(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: list[str], values: list[str]) -> DataFrame:
-    """left with the latest right row whose time is not after left's; nulls where there is none.
+    """left with the latest right row whose time is not after left's; nulls where there is none; of right rows with one time that with the greatest values.
 
     One union and one window that carries the last right row forward: no range
     join, so cost is a sort of both sides whatever their sizes.  Without keys the time
@@ -23,10 +23,10 @@ def asof(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: lis
     keys = by
     if not by:
         both, keys = both.withColumn("_slice", F.year("_at")), ["_slice"]
-    w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
     if not by:
-        ends = both.groupBy("_slice").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_at"))).alias("_end"))
+        ends = both.groupBy("_slice").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct("_at", "_r"))).alias("_end"))
         earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a year
         ends = ends.select(F.col("_slice").alias("_year"), F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
         out = out.join(F.broadcast(ends), F.col("_slice").eqNullSafe(F.col("_year"))).withColumn("_r", F.coalesce("_r", "_before"))
@@ -34,7 +34,10 @@ def asof(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: lis
 
 
 def distance_to(query: list[float]):
-    """UDF: cosine distance of vectors to one vector, in double; null for null, empty and zero vectors and other lengths."""
+    """UDF: cosine distance of vectors to one vector, in double; null for null, empty and zero vectors and other lengths.
+
+    Marked as not deterministic, so that a filter on its result does not run it a second time.
+    """
     q = np.asarray(query, np.float64)
     size = np.sqrt(q @ q)
 
@@ -50,7 +53,7 @@ def distance_to(query: list[float]):
                 out[rows] = 1 - (m @ q) / (np.sqrt(np.einsum("ij,ij->i", m, m)) * size)
         return pa.array(out, mask=~np.isfinite(out))
 
-    return distance
+    return distance.asNondeterministic()
 
 
 def top_k_cosine(base: DataFrame, query: DataFrame, k: int, id_col: str, vector: str, digits: int = 6) -> DataFrame:

@@ -17,27 +17,55 @@ def islands(df: DataFrame, by: list[str], at: str, label: str, unknown: str = "U
     return out.withColumn("run_length", F.row_number().over(Window.partitionBy(*by, "island").orderBy(at)).cast("long"))
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with the place of each row (from 1) in an order of all rows; the order must not leave ties.
+def summed_before(df: DataFrame, order: list[Column], size: Column, name: str) -> DataFrame:
+    """df with the sum of `size` over all rows before each in an order of all rows; the order must not leave ties.
 
     Rows are range-partitioned by the order and written down; each partition is
-    numbered on its own, and only their sizes, one row a partition, meet in one task.
+    summed on its own, and only their totals, one row a partition, meet in one task.
     """
     keys = [f"_o{k}" for k in range(len(order))]
-    laid = stored(df.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "numbered")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = laid.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    laid = stored(df.withColumns(dict(zip(keys, order))).withColumn("_size", size).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "numbered")
+    unbounded = Window.unboundedPreceding
+    before = Window.orderBy("_part").rowsBetween(unbounded, -1)
+    starts = laid.groupBy("_part").agg(F.sum("_size").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(unbounded, -1)
     # one row for each partition of the range shuffle: a bound that data cannot exceed
-    out = laid.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_first") + F.row_number().over(Window.partitionBy("_part").orderBy(*keys))).cast("long"))
-    return out.drop("_part", "_first", *keys)
+    out = laid.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_first") + F.coalesce(F.sum("_size").over(inside), F.lit(0))).cast("long"))
+    return out.drop("_part", "_first", "_size", *keys)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row (from 1) in an order of all rows; the order must not leave ties."""
+    return summed_before(df, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
+
+
+def numbered_within(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row (from 1) within its group, and `{name}_of`, the rows of the group.
+
+    All rows are numbered by group and order, and a group's first place is taken off: a large group is many tasks' work.
+    """
+    placed = numbered(df, [*map(F.col, by), *order], "_place")
+    same = [F.col(b).alias(f"_g{k}") for k, b in enumerate(by)]
+    firsts = placed.groupBy(*same).agg(F.min("_place").alias("_low"), F.count("*").alias(f"{name}_of"))
+    match = F.lit(True)
+    for k, b in enumerate(by):
+        match = match & F.col(b).eqNullSafe(F.col(f"_g{k}"))
+    return placed.join(firsts, match).withColumn(name, F.col("_place") - F.col("_low") + 1).drop("_place", "_low", *[f"_g{k}" for k in range(len(by))])
+
+
+def tile(place: Column, of: Column, tiles: int) -> Column:
+    """ntile() of a place among so many rows: the first tiles are the longer ones."""
+    short, longer = F.floor(of / tiles), of % tiles
+    cut = longer * (short + 1)
+    return F.when(place <= cut, F.floor((place - 1) / (short + 1)) + 1).otherwise(F.floor((place - 1 - cut) / F.greatest(short, F.lit(1))) + longer + 1).cast("long")
 
 
 def average_rank(df: DataFrame, column: str, name: str, descending: bool = True) -> DataFrame:
     """df with the rank of a column, ties sharing their mean rank; nulls have none.
 
-    Values are counted first, so what is sorted in one task are the distinct values (of a score with two digits, ten thousand).
+    Values are counted first, and ranks are sums of the counts before them, over range partitions of the values.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    order = Window.orderBy(F.desc("_v") if descending else F.asc("_v")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("_v", (F.coalesce(F.sum("_n").over(order), F.lit(0)) + (F.col("_n") + 1) / 2).cast("double").alias(name))
+    order = -F.col("_v") if descending else F.col("_v")
+    ranks = summed_before(counts, [order], F.col("_n"), "_before").select("_v", (F.col("_before") + (F.col("_n") + 1) / 2).cast("double").alias(name))
     return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")

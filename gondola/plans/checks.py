@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from gondola.config import T
 from gondola.functions.exprs import first_match, half_up
 from gondola.operators.windows import average_rank
-from gondola.plans.facts import prices, signals
+from gondola.plans.facts import signals
 from gondola.plans.pricing import markdown_safety, pricing
 from gondola.plans.registry import query, r, view
 from gondola.plans.scores import ready, risk
 from gondola.plans.serving import queue
-from gondola.sources.sinks import due
-from gondola.sources.tables import PRODUCER, collected, conformed, producer_index, retail, table
+from gondola.sources.sinks import due_status
+from gondola.sources.tables import PRODUCER, collected, conformed, producer_index, table
 
 # --- expectations ---------------------------------------------------------------------------------
 
@@ -229,14 +229,18 @@ def quality_score(spark, sf):
 @query("SELECT store_id, category FROM v_retail WHERE flag = 'R' AND day >= (SELECT max(day) FROM v_retail WHERE flag = 'R') - INTERVAL 6 DAY GROUP BY ALL")
 def recent_pairs(spark, sf):
     """Pairs that the competitor's feed brought in its last seven days: they need no other call."""
-    x = retail(spark, sf).where("flag = 'R'").select("store_id", "category", "day")
+    x = conformed(spark, sf).where("flag = 'R'").select("store_id", "category", "day")
     last = F.broadcast(x.agg(F.max("day").alias("last")))  # one row
     return x.join(last).where(F.col("day") >= F.date_sub("last", 6)).select("store_id", "category").distinct()
 
 
-@query("SELECT CAST(max(month) AS DATE) AS last, 0::BIGINT AS days, 'pass' AS status FROM v_price")
+_DUE = "date_diff('day', last, today)"
+
+
+@query(f"""SELECT source, last, {_DUE}::BIGINT AS days, CASE WHEN last IS NULL OR {_DUE} > 16 THEN 'error' WHEN {_DUE} > 9 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT l_returnflag AS source, CAST(max(l_shipdate) AS DATE) AS last FROM lineitem GROUP BY ALL), (SELECT CAST(max(o_orderdate) AS DATE) + 1 AS today FROM orders)""")
 def source_due(spark, sf):
-    """Warn or error by the age of the price fact, at the day of its latest month."""
-    x = prices(spark, sf)
-    latest = x.agg(F.max("month").alias("m")).first()["m"]
-    return due(x, "month", latest, 9, 16).withColumn("days", F.col("days").cast("long"))
+    """Warn or error by the age of each feed of prices (by return flag), at the day after the latest order: a clock that the feeds do not make."""
+    today = F.broadcast(table(spark, sf, "orders").agg(F.date_add(F.to_date(F.max("o_orderdate")), 1).alias("today")))  # one row
+    feeds = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("source")).agg(F.to_date(F.max("l_shipdate")).alias("last")).crossJoin(today)
+    days = F.date_diff("today", "last")
+    return feeds.select("source", "last", days.cast("long").alias("days"), due_status(days, 9, 16).alias("status"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from gondola.config import T
 from gondola.functions.exprs import first_match, half_up, looked_up, months_between_starts
 from gondola.operators.joins import asof
+from gondola.operators.windows import numbered_within, tile
 from gondola.plans.registry import query, r, view
-from gondola.sources.tables import PARENT, PRODUCER, SHELF, STORES, interest, producer_index, retail, table
+from gondola.sources.tables import PARENT, PRODUCER, SHELF, STORES, conformed, interest, producer_index, table
 
 view("v_retail", f"""SELECT l_suppkey % {STORES} AS store_id, p_type AS category, l_partkey AS product_id, p_name AS description,
   CAST(l_shipdate AS DATE) AS day, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_extendedprice / l_quantity AS price,
@@ -31,7 +32,7 @@ def sql_lookup(column: str, found: dict, default: str) -> str:
 
 @query("SELECT month, category, count(*) AS n, count(DISTINCT product_id) AS products FROM v_retail WHERE price BETWEEN 500 AND 1500 AND category IS NOT NULL GROUP BY ALL")
 def scan_filter_project(spark, sf):
-    x = retail(spark, sf).where(F.col("price").between(500, 1500) & F.col("category").isNotNull())
+    x = conformed(spark, sf).where(F.col("price").between(500, 1500) & F.col("category").isNotNull())
     return x.groupBy("month", "category").agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("products"))
 
 
@@ -44,21 +45,21 @@ def dedup_latest(spark, sf):
 
 @query("SELECT DISTINCT md5(CAST(month AS VARCHAR) || '||' || CAST(store_id AS VARCHAR) || '||' || category) AS signal_id, month, store_id, category FROM v_retail")
 def surrogate_keys(spark, sf):
-    x = retail(spark, sf).select("month", "store_id", "category").distinct()
+    x = conformed(spark, sf).select("month", "store_id", "category").distinct()
     return x.withColumn("signal_id", F.md5(F.concat_ws("||", F.col("month").cast("string"), F.col("store_id").cast("string"), "category")))
 
 
 @query("SELECT product_id, category, first_day FROM (SELECT product_id, category, day AS first_day, row_number() OVER (PARTITION BY product_id ORDER BY day, store_id) AS k FROM v_retail) WHERE k = 1")
 def keep_first(spark, sf):
     """One row a product, the earliest: what drop_duplicates keeps, made definite."""
-    first = retail(spark, sf).groupBy("product_id").agg(F.min(F.struct("day", "store_id", "category")).alias("m"))
+    first = conformed(spark, sf).groupBy("product_id").agg(F.min(F.struct("day", "store_id", "category")).alias("m"))
     return first.select("product_id", F.col("m.category").alias("category"), F.col("m.day").alias("first_day"))
 
 
 @query("SELECT category, product_id, turnover, CAST(k AS BIGINT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY turnover DESC, product_id) AS k FROM (SELECT category, product_id, " + r("sum(price)") + " AS turnover FROM v_retail GROUP BY ALL)) WHERE k <= 5")
 def top_per_group(spark, sf):
     """The five products of each category with the highest turnover."""
-    x = retail(spark, sf).groupBy("category", "product_id").agg(half_up(F.sum("price")).alias("turnover"))
+    x = conformed(spark, sf).groupBy("category", "product_id").agg(half_up(F.sum("price")).alias("turnover"))
     w = Window.partitionBy("category").orderBy(F.desc("turnover"), "product_id")
     return x.withColumn("k", F.row_number().over(w).cast("long")).where("k <= 5")
 
@@ -80,7 +81,7 @@ def event_json_extract(spark, sf):
 @query("""SELECT d AS date_day, md5(d::VARCHAR) AS date_key, year(d) AS year, quarter(d) AS quarter, month(d) AS month, weekofyear(d) AS iso_week, dayofweek(d) + 1 AS day_of_week, last_day(d) = d AS is_month_end
 FROM (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS d FROM v_retail)""")
 def dim_date_spine(spark, sf):
-    ends = retail(spark, sf).agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    ends = conformed(spark, sf).agg(F.min("day").alias("a"), F.max("day").alias("b"))
     d = ends.select(F.explode(F.sequence("a", "b")).alias("date_day"))
     c = F.col("date_day")
     return d.select(c, F.md5(c.cast("string").cast("binary")).alias("date_key"), F.year(c).cast("long").alias("year"), F.quarter(c).cast("long").alias("quarter"), F.month(c).cast("long").alias("month"), F.weekofyear(c).cast("long").alias("iso_week"), F.dayofweek(c).cast("long").alias("day_of_week"), (F.last_day(c) == c).alias("is_month_end"))
@@ -94,14 +95,14 @@ view("v_location", """SELECT md5(store_id::VARCHAR) AS location_key, store_id, '
 
 @query("SELECT * FROM v_category")
 def dim_category(spark, sf):
-    x = retail(spark, sf).select(F.coalesce("category", F.lit("Unknown")).alias("category")).distinct()
+    x = conformed(spark, sf).select(F.coalesce("category", F.lit("Unknown")).alias("category")).distinct()
     return x.select(F.md5(F.col("category").cast("binary")).alias("category_key"), "category", looked_up(F.col("category"), {k: PARENT[v] for k, v in SHELF.items()}, "General").alias("parent"))
 
 
 @query("SELECT * FROM v_location")
 def dim_location(spark, sf):
     """Stores with their label, "city - branch", and the city out of it; a store without a label goes by its id."""
-    stores = retail(spark, sf).where("store_id is not null").select("store_id").distinct()
+    stores = conformed(spark, sf).where("store_id is not null").select("store_id").distinct()
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
     labels = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("store_id"), F.concat_ws(" - ", "n_name", "s_name").alias("label"))
     key = F.col("store_id").cast("string")
@@ -132,7 +133,7 @@ def dims_crossed(spark, sf):
 @query(f"""SELECT m.month, s.store_id, s.category, count(v_retail.price) AS n, {r("avg(v_retail.price)")} AS avg_price FROM v_months m CROSS JOIN (SELECT DISTINCT store_id, category FROM v_retail) s
   LEFT JOIN v_retail ON v_retail.month = m.month AND v_retail.store_id = s.store_id AND v_retail.category = s.category GROUP BY ALL""")
 def cross_spine(spark, sf):
-    x = retail(spark, sf).groupBy("month", "store_id", "category").agg(F.count("price").alias("n"), F.avg("price").alias("p"))
+    x = conformed(spark, sf).groupBy("month", "store_id", "category").agg(F.count("price").alias("n"), F.avg("price").alias("p"))
     # months x segments: both sides are keys of an aggregate, and months are few
     spine = F.broadcast(x.select("month").distinct()).crossJoin(x.select("store_id", "category").distinct())
     return spine.join(x, ["month", "store_id", "category"], "left").select("month", "store_id", "category", F.coalesce("n", F.lit(0)).alias("n"), half_up(F.col("p")).alias("avg_price"))
@@ -141,7 +142,7 @@ def cross_spine(spark, sf):
 @query(f"SELECT store_id, count(*) AS n FROM v_retail WHERE day IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderpriority = '{PRODUCER}') GROUP BY store_id")
 def semi_join_dates(spark, sf):
     days = table(spark, sf, "orders").where(F.col("o_orderpriority") == PRODUCER).select(F.to_date("o_orderdate").alias("day"))
-    return retail(spark, sf).join(days, "day", "left_semi").groupBy("store_id").agg(F.count("*").alias("n"))
+    return conformed(spark, sf).join(days, "day", "left_semi").groupBy("store_id").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT s.series_id, s.month, {r('s.value - m.value')} AS above FROM v_index s LEFT JOIN (SELECT value FROM v_index WHERE series_id = '{PRODUCER}' ORDER BY month DESC LIMIT 1) m ON true")
@@ -155,7 +156,7 @@ def latest_onto_all(spark, sf):
 @query(f"SELECT category, month, {r('stddev_samp(price) / nullif(avg(price), 0) * 100', 1)} AS cv, count(DISTINCT CASE WHEN promo IS NOT NULL THEN product_id END) AS promoted, {r('count_if(promo IS NOT NULL) / nullif(count(*), 0)::DOUBLE * 100')} AS promo_share, {r('avg((price - coalesce(promo, price)) / nullif(price, 0)) * 100', 6)} AS promo_depth FROM v_retail GROUP BY ALL")
 def category_cv(spark, sf):
     depth = F.try_divide(F.col("price") - F.coalesce("promo", "price"), F.col("price"))
-    return retail(spark, sf).groupBy("category", "month").agg(
+    return conformed(spark, sf).groupBy("category", "month").agg(
         half_up(F.try_divide(F.stddev_samp("price"), F.avg("price")) * 100, 1).alias("cv"),
         F.count_distinct(F.when(F.col("promo").isNotNull(), F.col("product_id"))).alias("promoted"),
         half_up(F.try_divide(F.count_if(F.col("promo").isNotNull()).cast("double"), F.count("*").cast("double")) * 100).alias("promo_share"),
@@ -164,13 +165,13 @@ def category_cv(spark, sf):
 
 @query(f"SELECT category, month, {r('avg(n)')} AS products_per_store FROM (SELECT category, month, store_id, count(DISTINCT product_id) AS n FROM v_retail GROUP BY ALL) GROUP BY ALL")
 def two_level_count(spark, sf):
-    per = retail(spark, sf).groupBy("category", "month", "store_id").agg(F.count_distinct("product_id").alias("n"))
+    per = conformed(spark, sf).groupBy("category", "month", "store_id").agg(F.count_distinct("product_id").alias("n"))
     return per.groupBy("category", "month").agg(half_up(F.avg("n")).alias("products_per_store"))
 
 
 @query("SELECT store_id, category AS top_category, n FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY n DESC, category) AS k FROM (SELECT store_id, category, count(*) AS n FROM v_retail GROUP BY ALL)) WHERE k = 1")
 def approx_mode(spark, sf):
-    n = retail(spark, sf).groupBy("store_id", "category").agg(F.count("*").alias("n"))
+    n = conformed(spark, sf).groupBy("store_id", "category").agg(F.count("*").alias("n"))
     return n.groupBy("store_id").agg(F.min_by(F.struct("category", "n"), F.struct(-F.col("n"), "category")).alias("m")).select("store_id", F.col("m.category").alias("top_category"), F.col("m.n").alias("n"))
 
 
@@ -185,7 +186,7 @@ def cond_pivot_freshness(spark, sf):
 def describe_prices(spark, sf):
     """Count, distinct count, least, mean, greatest and deviation of prices by category; any_value skips nulls."""
     f = F.col("price")
-    x = retail(spark, sf).join(F.broadcast(dim_category(spark, sf).select("category", "parent")), "category")  # one row a category
+    x = conformed(spark, sf).join(F.broadcast(dim_category(spark, sf).select("category", "parent")), "category")  # one row a category
     return x.groupBy("category").agg(
         F.count("*").alias("items"), F.count_distinct("product_id").alias("products"), F.any_value("parent", True).alias("parent"),
         *[half_up(g(f), 4).alias(n) for n, g in (("low", F.min), ("mean", F.avg), ("high", F.max), ("noise", F.stddev_samp))])
@@ -198,7 +199,7 @@ def describe_prices(spark, sf):
 FROM (SELECT *, lag(p) OVER w AS a, lag(p, 2) OVER w AS b, lag(p, 3) OVER w AS c3 FROM (SELECT category, month, avg(price) AS p FROM v_retail GROUP BY ALL) WINDOW w AS (PARTITION BY category ORDER BY month))""")
 def monotone_decline(spark, sf):
     w = Window.partitionBy("category").orderBy("month")
-    x = retail(spark, sf).groupBy("category", "month").agg(F.avg("price").alias("p"))
+    x = conformed(spark, sf).groupBy("category", "month").agg(F.avg("price").alias("p"))
     x = x.withColumns({"a": F.lag("p").over(w), "b": F.lag("p", 2).over(w), "c": F.lag("p", 3).over(w)})
     one, two, three = F.col("p") < F.col("a"), F.col("a") < F.col("b"), F.col("b") < F.col("c")
     return x.select("category", "month", half_up(F.col("p")).alias("price"), first_match([(one & two & three, 85), (one & two, 60), (one, 35)], 0).cast("long").alias("decay"))
@@ -207,10 +208,10 @@ def monotone_decline(spark, sf):
 @query(f"""SELECT month, store_id, category, CAST(ntile(3) OVER (PARTITION BY category, month ORDER BY {r('p')} NULLS LAST, store_id) AS BIGINT) AS tier, CAST(row_number() OVER (PARTITION BY month ORDER BY {r('p')} DESC, store_id, category) AS BIGINT) AS month_rank
 FROM (SELECT month, store_id, category, avg(price) AS p FROM v_retail GROUP BY ALL)""")
 def ntile_peers(spark, sf):
-    x = retail(spark, sf).groupBy("month", "store_id", "category").agg(half_up(F.avg("price")).alias("p"))
-    return x.select("month", "store_id", "category",
-                    F.ntile(3).over(Window.partitionBy("category", "month").orderBy(F.col("p").asc_nulls_last(), "store_id")).cast("long").alias("tier"),
-                    F.row_number().over(Window.partitionBy("month").orderBy(F.desc("p"), "store_id", "category")).cast("long").alias("month_rank"))
+    x = conformed(spark, sf).groupBy("month", "store_id", "category").agg(half_up(F.avg("price")).alias("p"))
+    x = numbered_within(x, ["category", "month"], [F.col("p").isNull(), F.col("p"), F.col("store_id")], "place")
+    x = numbered_within(x, ["month"], [F.col("p").isNull(), -F.col("p"), F.col("store_id"), F.col("category")], "month_rank")
+    return x.select("month", "store_id", "category", tile(F.col("place"), F.col("place_of"), 3).alias("tier"), "month_rank")
 
 
 @query(f"SELECT category, day, {r('interest')} AS interest, CASE WHEN interest > m + d THEN 'Possible Seasonal Spike' ELSE 'Normal' END AS flag FROM (SELECT *, avg(interest) OVER (PARTITION BY category) AS m, stddev_samp(interest) OVER (PARTITION BY category) AS d FROM v_interest) ORDER BY category, day")
@@ -247,7 +248,7 @@ view("v_dated", f"SELECT month AS m, value FROM v_index WHERE series_id = '{PROD
 
 
 def _asof_inputs(spark, sf):
-    s = retail(spark, sf).select("month").distinct().select(F.date_add("month", 20).alias("on_day"))
+    s = conformed(spark, sf).select("month").distinct().select(F.date_add("month", 20).alias("on_day"))
     i = producer_index(spark, sf).where(F.col("series_id") == PRODUCER).select(F.col("month").alias("m"), "value")
     return s, i
 
@@ -271,6 +272,6 @@ def asof_tolerance(spark, sf):
 @query(f"""SELECT s.category, s.month, pulled, {r('competitor')} AS competitor FROM (SELECT DISTINCT category, month FROM v_retail) s
 ASOF JOIN (SELECT category, month AS pulled, avg(list_price) AS competitor FROM v_retail WHERE flag = 'R' GROUP BY ALL) c ON s.category = c.category AND s.month >= c.pulled""")
 def asof_carry_forward(spark, sf):
-    x = retail(spark, sf)
+    x = conformed(spark, sf)
     c = competitor_pulls(x).groupBy("category", "pulled").agg(F.avg("list_price").alias("competitor"))
     return asof(x.select("category", "month").distinct(), c, "month", "pulled", ["category"], ["competitor"]).where("pulled is not null").select("category", "month", "pulled", half_up(F.col("competitor")).alias("competitor"))

@@ -6,13 +6,15 @@ ones are internal, the others external; a label is a document of chunks; vector
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.functions.exprs import ENTITIES, NUMERIC_CLAIM, html_text, numeric_claim
+from gondola.functions.exprs import ENTITIES, NUMERIC_CLAIM, html_text, looked_up, numeric_claim
 from gondola.operators.chunks import chunks
 from gondola.operators.grounding import INJECTION, MARKER, TIER_DAYS, guarded, injections, stale
 from gondola.operators.joins import top_k_cosine
+from gondola.operators.vectors import nearest
+from gondola.plans.core import sql_lookup
 from gondola.plans.registry import query, r, view
 from gondola.sources.tables import table
 
@@ -37,7 +39,8 @@ def chunk_docs(spark, sf):
     """All chunks of all documents, each with its own id, claim and injection phrases."""
     text = F.col("chunk")
     return chunks(table(spark, sf, "documents"), "doc_id", "text").select(
-        "doc_id", "chunk_no", chunk_key(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), "heading", "tokens", "chunk", numeric_claim(text).alias("claim"), injections(text).alias("phrases"), (F.size(injections(text)) > 0).alias("flagged"))
+        "doc_id", "chunk_no", chunk_key(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), "heading", "tokens", "chunk", numeric_claim(text).alias("claim"), injections(text).alias("phrases")).withColumn(
+        "flagged", F.size("phrases") > 0)
 
 
 def _html_sql(x: str) -> str:
@@ -67,16 +70,18 @@ def url_like(spark, sf):
     return table(spark, sf, "pages").where(F.col("url").like("%example.com/%")).select("page_id", F.left("url", F.lit(20)).alias("title")).orderBy("page_id")
 
 
-_TIERS = ["earnings_call", "sec_filing", "industry_research", "gov_methodology", "internal_doc", "other"]
+#: Stand-ins: what kind of document an order's priority is.
+TIERS = {"1-URGENT": "earnings_call", "2-HIGH": "sec_filing", "3-MEDIUM": "industry_research", "4-NOT SPECIFIED": "gov_methodology", "5-LOW": "internal_doc"}
+_AGE = "date_diff('day', day, today)"
+_LATE = " ".join(f"WHEN '{t}' THEN {'false' if d is None else f'{_AGE} > {d}'}" for t, d in TIER_DAYS.items())
 
 
-@query("SELECT doc_id, tier, days, CASE tier " + " ".join(f"WHEN '{t}' THEN {'false' if d is None else f'days > {d}'}" for t, d in TIER_DAYS.items())
-       + " END AS stale FROM (SELECT doc_id, (" + str(_TIERS).replace('"', "'") + ")[CAST(doc_id % 6 AS INT) + 1] AS tier, CAST(doc_id % 500 AS INT) AS days FROM documents)")
+@query(f"SELECT o_orderkey AS document, tier, {_AGE}::BIGINT AS days, CASE tier {_LATE} END AS stale FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, {sql_lookup('o_orderpriority', TIERS, 'NULL')} AS tier FROM orders), (SELECT CAST(max(ts) AS DATE) AS today FROM events)")
 def staleness_flag(spark, sf):
-    """Are documents older than their tier allows?  Tiers and ages by id: stand-ins."""
-    c, as_of = F.col, F.lit("2024-01-01").cast("date")
-    x = table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, _TIERS)), (c("doc_id") % 6).cast("int") + 1).alias("tier"), (c("doc_id") % 500).cast("int").alias("days"))
-    return x.select("doc_id", "tier", "days", stale(c("tier"), F.date_sub(as_of, c("days")), as_of).alias("stale"))
+    """Are documents older than their tier allows, at the day of the latest event?  Orders stand in for documents, with their dates."""
+    today = F.broadcast(table(spark, sf, "events").agg(F.to_date(F.max("ts")).alias("today")))  # one row
+    x = table(spark, sf, "orders").select(F.col("o_orderkey").alias("document"), looked_up(F.col("o_orderpriority"), TIERS, None).alias("tier"), F.to_date("o_orderdate").alias("day")).crossJoin(today)
+    return x.select("document", "tier", F.date_diff("today", "day").cast("long").alias("days"), stale(F.col("tier"), F.col("day"), F.col("today")).alias("stale"))
 
 
 # --- retrieval ------------------------------------------------------------------------------------
@@ -86,14 +91,16 @@ _FAR = r("1 - list_cosine_similarity(e, (SELECT e FROM v_chunk WHERE vec_id = 7)
 
 
 def corpus(spark, sf) -> DataFrame:
-    e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents")
-    return e.join(d, e.vec_id == d.doc_id).select("vec_id", "label", "embedding", "text", (F.col("lang") == "en").alias("internal"))
+    """Vectors and what scopes are made of; no text."""
+    e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents").select("doc_id", (F.col("lang") == "en").alias("internal"))
+    return e.join(d, e.vec_id == d.doc_id).select("vec_id", "label", "embedding", "internal")
 
 
-def searched(base: DataFrame, question: DataFrame, scope: Column, k: int = 5, untrusted: Column | None = None) -> DataFrame:
-    """The k nearest chunks within a scope, which is filtered before distances are taken; untrusted texts are scanned and marked."""
+def searched(base: DataFrame, texts: DataFrame, question: DataFrame, scope: Column, k: int = 5, untrusted: Column | None = None) -> DataFrame:
+    """The k nearest chunks within a scope, which is filtered before distances are taken; then the texts (doc_id, text) of these k; untrusted ones are scanned and marked."""
+    near = F.broadcast(top_k_cosine(base.where(scope), question, k, "vec_id", "embedding").select("vec_id", "distance"))  # k rows
     text, flagged = guarded(F.col("text"), untrusted if untrusted is not None else F.lit(False))
-    return top_k_cosine(base.where(scope), question, k, "vec_id", "embedding").select("vec_id", "distance", text.alias("text"), flagged.alias("flagged"))
+    return texts.join(near, F.col("doc_id") == F.col("vec_id")).select("vec_id", "distance", text.alias("text"), flagged.alias("flagged")).orderBy("distance", "vec_id")
 
 
 @query(f"SELECT vec_id, {r('1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7))', 6)} AS distance FROM embeddings WHERE vec_id <> 7 ORDER BY distance, vec_id LIMIT 5")
@@ -113,20 +120,32 @@ def _question(base: DataFrame) -> DataFrame:
 @query(_search_sql("internal"))
 def lookup_methodology(spark, sf):
     x = corpus(spark, sf)
-    return searched(x, _question(x), F.col("internal"))
+    return searched(x, table(spark, sf, "documents"), _question(x), F.col("internal"))
 
 
 @query(_search_sql("label = 3"))
 def threshold_rationale(spark, sf):
     """One document alone: what is the record for a threshold is found by scope, not by rank."""
     x = corpus(spark, sf)
-    return searched(x, _question(x), F.col("label") == 3)
+    return searched(x, table(spark, sf, "documents"), _question(x), F.col("label") == 3)
 
 
 @query(_search_sql("NOT internal", f"CASE WHEN {_PHRASE} THEN '{MARKER}' || text ELSE text END", _PHRASE))
 def search_external_context(spark, sf):
     x = corpus(spark, sf)
-    return searched(x, _question(x), ~F.col("internal"), untrusted=F.lit(True))
+    return searched(x, table(spark, sf, "documents"), _question(x), ~F.col("internal"), untrusted=F.lit(True))
+
+
+_PAIR = r("1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])", 6)
+
+
+@query(f"SELECT question, id, distance, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY distance, id) AS k FROM (SELECT a.vec_id AS question, b.vec_id AS id, {_PAIR} AS distance FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE k <= 5")
+def related_vectors(spark, sf):
+    """The five vectors nearest to every fiftieth one, among all others: many questions at once."""
+    e = table(spark, sf, "embeddings")
+    found = nearest(e, e.where(F.col("vec_id") % 50 == 0), 6, "vec_id", "embedding").where("id <> question")
+    k = F.row_number().over(Window.partitionBy("question").orderBy("distance", "id"))
+    return found.withColumn("rank", k.cast("long")).where("rank <= 5").select("question", "id", "distance", "rank")
 
 
 view("v_turns", "SELECT conv_id, role, count(*) AS turns, sum(length(text)) AS chars, max(turn) AS last_turn FROM conversations GROUP BY ALL")

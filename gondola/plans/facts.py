@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gondola.config import T
 from gondola.functions.exprs import clamp, first_match, half_up, looked_up, pct_change
 from gondola.operators.joins import asof
-from gondola.operators.windows import islands
+from gondola.operators.windows import islands, numbered_within
 from gondola.plans.core import competitor_pulls, sql_lookup
 from gondola.plans.registry import cl, query, r, view
 from gondola.sources.tables import CONSUMER, OWN_BRANDS, PRODUCER, RIVAL_STORES, TERMS, conformed, interest, producer_index
@@ -274,6 +274,37 @@ def gaps_islands(spark, sf):
     return prices(spark, sf).select(*KEYS, *_HISTORY_OUT, F.col("change").cast("long").alias("change"), F.col("island").cast("long").alias("island"))
 
 
+# --- medians that can be merged -------------------------------------------------------------------
+
+#: Of a sketch with this size the rank of a quantile is off by at most RANK_ERROR of the rows (with 99 % confidence; the tests hold it against exact ranks).
+SKETCH_K, RANK_ERROR = 400, 0.008
+
+
+@mart("month", "store_id", "category", grows="month")
+def price_sketches(spark, sf) -> DataFrame:
+    """A KLL sketch of the prices of each store, category and month: a few kilobytes, however many rows a cell has."""
+    return conformed(spark, sf).where("price is not null").groupBy(*KEYS).agg(F.kll_sketch_agg_double("price", SKETCH_K).alias("sketch"))
+
+
+def merged_medians(cells: DataFrame, by: list[Column | str]) -> DataFrame:
+    """(by, n, median) of any coarser cells: sketches are merged, rows are not read again."""
+    merged = cells.groupBy(*by).agg(F.kll_merge_agg_double("sketch", SKETCH_K).alias("s"))
+    names = merged.columns[:-1]
+    return merged.select(*names, F.kll_sketch_get_n_double("s").alias("n"), F.kll_sketch_get_quantile_double("s", F.lit(0.5)).alias("median"))
+
+
+@query(f"""SELECT category, date_trunc('quarter', month)::DATE AS quarter, count(*) AS n, true AS within FROM v_retail WHERE price IS NOT NULL GROUP BY ALL""")
+def sketched_medians(spark, sf):
+    """Medians of a category and quarter out of the sketches of its cells, and whether their exact rank is as near to the middle as is promised."""
+    quarter = F.trunc("month", "quarter").alias("quarter")
+    found = merged_medians(price_sketches(spark, sf), ["category", quarter])
+    rows = conformed(spark, sf).where("price is not null").select("category", quarter, "price")
+    ranks = rows.join(F.broadcast(found), ["category", "quarter"]).groupBy("category", "quarter", "n").agg(F.count("*").alias("all"), F.count_if(F.col("price") < F.col("median")).alias("below"), F.count_if(F.col("price") <= F.col("median")).alias("upto"))  # one row a category and quarter
+    slack = RANK_ERROR * F.col("all") + 1
+    near = (F.col("below") <= F.col("all") / 2 + slack) & (F.col("upto") >= F.col("all") / 2 - slack) & (F.col("n") == F.col("all"))
+    return ranks.select("category", "quarter", "n", near.alias("within"))
+
+
 # --- events ---------------------------------------------------------------------------------------
 
 view("v_event", f"""SELECT event_type, store_id, category, month, detail, gap, gap_change, position, prev_position, run_length, reliability, row_number() OVER (PARTITION BY event_type ORDER BY size DESC NULLS LAST, store_id, category) AS event_rank FROM (
@@ -295,9 +326,9 @@ def events(history: DataFrame) -> DataFrame:
         kind(flipped, "Gap Flip", F.concat(F.lit("Position changed: "), "prev_position", F.lit(" to "), "position"), change),
         kind(moved, "Big Move", F.concat(F.lit("Gap moved "), F.when(change >= 0, "+").otherwise(""), half_up(change, 1).cast("string"), F.lit(" points")), change),
         kind(c("run_length") == T.streak, "3-Collection Streak", F.concat("position", F.lit(" streak reached 3 collections")), c("gap"))))
-    rank = Window.partitionBy("event_type").orderBy(c("size").desc_nulls_last(), "store_id", "category")
-    return at.withColumn("e", F.explode(kinds)).select("e.*", *KEYS, "gap", "gap_change", "position", "prev_position", "run_length", "reliability").withColumn(
-        "event_rank", F.row_number().over(rank).cast("long")).drop("size")
+    found = at.withColumn("e", F.explode(kinds)).select("e.*", *KEYS, "gap", "gap_change", "position", "prev_position", "run_length", "reliability")
+    order = [c("size").isNull(), -c("size"), c("store_id"), c("category")]
+    return numbered_within(found, ["event_type"], order, "event_rank").drop("size", "event_rank_of")
 
 
 @query("SELECT * FROM v_event ORDER BY event_type, event_rank")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gondola.plans import checks, core, corpus, facts, pricing, scores, serving, validation  # noqa: F401  each registers its queries
+from gondola.plans import checks, collected, core, corpus, facts, pricing, scores, serving, validation  # noqa: F401  each registers its queries
 from gondola.plans.core import asof_carry_forward, asof_month, asof_tolerance, competitor_pulls  # noqa: F401
 from gondola.plans.corpus import chunk_docs, document_flags  # noqa: F401
 from gondola.plans.facts import weekly_price_fact  # noqa: F401

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from gondola.config import T
 from gondola.functions.exprs import clamp, codes, first_match, half_up, months_between_starts, pct_change
 from gondola.operators.joins import asof
+from gondola.operators.windows import numbered_within
 from gondola.plans.facts import KEYS, rival_prices, signals
 from gondola.plans.registry import cl, query, r, view
 from gondola.sources.tables import CONSUMER, PRODUCER, RIVAL_STORES, collected, index
@@ -296,6 +297,6 @@ def reason_codes(spark, sf):
   CAST(row_number() OVER (PARTITION BY month ORDER BY ready DESC NULLS LAST, store_id, category) AS BIGINT) AS month_rank FROM v_ready""")
 def expansion_readiness(spark, sf):
     c = F.col
-    order = Window.partitionBy("month").orderBy(c("ready").desc_nulls_last(), "store_id", "category")
     note = F.concat(F.lit("Score of "), c("known").cast("string"), F.lit(" of 5 sources; confidence "), "confidence_level", F.lit(", risk "), "risk_level")
-    return ready(spark, sf).select(*KEYS, "region", "fit", "ready", c("expansion").alias("action"), note.alias("note"), F.row_number().over(order).cast("long").alias("month_rank"))
+    ranked = numbered_within(ready(spark, sf), ["month"], [c("ready").isNull(), -c("ready"), c("store_id"), c("category")], "month_rank")
+    return ranked.select(*KEYS, "region", "fit", "ready", c("expansion").alias("action"), note.alias("note"), "month_rank")

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from gondola.config import T
 from gondola.functions.exprs import clamp, first_match, half_up
-from gondola.operators.models import direction_scores, fold_scores, importance
+from gondola.operators.forecast import lag_forecast
+from gondola.operators.models import audited, direction_scores, fold_scores, importance
 from gondola.plans.facts import KEYS, prices
 from gondola.plans.pricing import pricing
 from gondola.plans.registry import cl, query, r, view
+from gondola.plans.scores import demand
 from gondola.plans.serving import ACTIONS, opportunity_parts, queue
 from gondola.sources.tables import interest
 from gondola.sources.workspace import stored
@@ -312,6 +314,23 @@ def forecast_selection(spark, sf):
         F.row_number().over(Window.orderBy(half_up(score, 6).desc(), "model")).cast("long").alias("place"))
 
 
+STEPS = 8
+view("v_series", f"""SELECT category, day, interest AS truth, k, coalesce(interest, median(interest) FILTER (k > {STEPS}) OVER (PARTITION BY category)) AS v FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY day DESC) AS k FROM v_interest)""")
+view("v_equations", f"""SELECT *, (b1 * s22 - b2 * s12) / nullif(s11 * s22 - s12 * s12, 0) AS c1, (b2 * s11 - b1 * s12) / nullif(s11 * s22 - s12 * s12, 0) AS c2 FROM (SELECT category, covar_pop(l1, l1) AS s11, covar_pop(l1, l4) AS s12, covar_pop(l4, l4) AS s22, covar_pop(l1, v) AS b1, covar_pop(l4, v) AS b2, avg(v) AS m, avg(l1) AS m1, avg(l4) AS m4
+  FROM (SELECT *, lag(v) OVER w AS l1, lag(v, 4) OVER w AS l4 FROM v_series WHERE k > {STEPS} WINDOW w AS (PARTITION BY category ORDER BY day)) WHERE l4 IS NOT NULL GROUP BY category)""")
+view("v_folded", f"""WITH RECURSIVE f AS (SELECT category, 0 AS step, NULL::DOUBLE AS p, max(v) FILTER (k = {STEPS + 1}) AS h1, max(v) FILTER (k = {STEPS + 2}) AS h2, max(v) FILTER (k = {STEPS + 3}) AS h3, max(v) FILTER (k = {STEPS + 4}) AS h4 FROM v_series GROUP BY category
+  UNION ALL SELECT category, step + 1, q, q, h1, h2, h3 FROM (SELECT f.*, greatest(0.0::DOUBLE, m - c1 * m1 - c2 * m4 + c1 * h1 + c2 * h4) AS q FROM f JOIN v_equations USING (category) WHERE step < {STEPS})) SELECT category, {STEPS} + 1 - step AS k, p FROM f WHERE step > 0""")
+
+
+@query(f"SELECT category, count(*) AS n, {r('avg(abs(truth - p) / nullif(abs(truth), 0)) * 100')} AS mape, {r('avg(abs(truth - p))')} AS mae, {r('sqrt(avg((truth - p) * (truth - p)))')} AS rmse FROM v_series JOIN v_folded USING (category, k) WHERE truth IS NOT NULL GROUP BY category")
+def lag_forecasts(spark, sf):
+    """Errors of a recursive forecast from the lags 1 and 4, eight days ahead; gaps are filled with medians of the training part alone."""
+    f = lag_forecast(interest(spark, sf), "category", "day", "interest", (1, 4), STEPS).where("interest is not null")
+    away = F.col("interest") - F.col("forecast")
+    return f.groupBy("category").agg(
+        F.count("*").alias("n"), half_up(F.avg(F.try_divide(F.abs(away), F.abs("interest"))) * 100).alias("mape"), half_up(F.avg(F.abs(away))).alias("mae"), half_up(F.sqrt(F.avg(away * away))).alias("rmse"))
+
+
 _FEATURES = ["gap", "moved", "amount", "run", "band"]
 
 
@@ -338,3 +357,34 @@ def direction_folds(spark, sf):
 @query(None)
 def direction_importance(spark, sf):
     return importance(widening(spark, sf), _FEATURES)
+
+
+#: What a demand score is made of, and what lies before it.
+AUDIT = {
+    "components": ["momentum", "shelf_gap", "phantom", "intent", "retail", "n_products", "ppi_score", "cpi_score", "category"],
+    "masked": ["retail", "n_products", "ppi_score", "cpi_score", "category"]}
+
+
+@query(None)
+def leakage_audit(spark, sf):
+    """Is the demand tier foretold by parts of its own formula?  The same models with these and without, on stores held out."""
+    x = demand(spark, sf).withColumn("label", (F.col("demand") >= T.demand_high).cast("double"))
+    return audited(x, AUDIT, "store_id", KEYS, folds=2, trees=8)
+
+
+#: What is known in the month before a price moves.
+MOVES = {"signals": ["gap", "band", "products", "promo_share", "own_brand", "category"], "history": ["gap", "band", "products", "promo_share", "own_brand", "category", "prev_gap", "gap_change", "run_length", "volatility_so_far"]}
+MOVE = 3.0
+
+
+def moves(spark, sf) -> DataFrame:
+    """Price facts with label: does the price move by three per cent or more in the next month?  Deviations are of what was seen so far."""
+    v = Window.partitionBy("store_id", "category").orderBy("month")
+    x = prices(spark, sf).withColumns({"next": F.lead("price").over(v), "volatility_so_far": F.stddev_samp("gap").over(v.rowsBetween(Window.unboundedPreceding, 0))})
+    return x.where("next is not null and price > 0").withColumn("label", (F.abs(F.col("next") / F.col("price") - 1) * 100 >= MOVE).cast("double"))
+
+
+@query(None)
+def price_movement_backtest(spark, sf):
+    """Can the signals of a month tell that a price moves in the next one, in stores that the model has not seen?"""
+    return audited(moves(spark, sf), MOVES, "store_id", KEYS, folds=2, trees=8)

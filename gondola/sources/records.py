@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.exprs import price_text
+from gondola.sources.workspace import stored
 
 
 class Incomplete(ValueError):
@@ -27,8 +28,9 @@ def trends(answers: DataFrame) -> DataFrame:
 def index_values(answers: DataFrame, scoring: str, newest: int = 24) -> DataFrame:
     """(series_id, observation_date, value), the newest of each series; "." means no value.  answers: series_id, body.
 
-    The scoring series must be there; supplementary ones may be missing.
+    The scoring series must be there; supplementary ones may be missing.  Answers are stored before that is looked at, so they are fetched once.
     """
+    answers = stored(answers, "answers")
     seen = F.from_json("body", "observations array<struct<date:string,value:string>>")["observations"]
     newest_first = F.slice(F.reverse(F.array_sort(seen)), 1, newest)
     x = answers.select("series_id", F.explode(newest_first).alias("o")).where("o.value <> '.'").select(
@@ -65,6 +67,7 @@ def rival_items(answers: DataFrame, least_share: float = 0.8) -> DataFrame:
     The price is the primary offer's, else what the price text says; titles are cut to 500
     characters.  With fewer than least_share of the calls answered the batch is refused.
     """
+    answers = stored(answers, "answers")  # fetched once: for the gate and for what comes after it
     calls = answers.agg(F.count("*").alias("n"), F.count("body").alias("ok")).first()
     if calls["ok"] < least_share * calls["n"]:
         raise Incomplete(f"{calls['ok']} of {calls['n']} calls answered")

@@ -146,8 +146,11 @@ def manifest_files(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
         "document_id", "filename", "text", F.when(F.col("text").isNull(), "PENDING").otherwise("OK").alias("status"))
 
 
+def due_status(days: Column, warn_days: int, error_days: int) -> Column:
+    return F.when(days.isNull() | (days > error_days), "error").when(days > warn_days, "warn").otherwise("pass")
+
+
 def due(df: DataFrame, at: str, as_of: date, warn_days: int, error_days: int) -> DataFrame:
     """(last, days, status) of one source: pass, warn or error by its age; error without rows."""
     days = F.date_diff(F.lit(as_of), F.to_date("last"))
-    status = F.when(days.isNull() | (days > error_days), "error").when(days > warn_days, "warn").otherwise("pass")
-    return df.agg(F.max(at).alias("last")).select("last", days.alias("days"), status.alias("status"))
+    return df.agg(F.max(at).alias("last")).select("last", days.alias("days"), due_status(days, warn_days, error_days).alias("status"))

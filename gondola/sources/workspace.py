@@ -202,8 +202,13 @@ def forget(spark: SparkSession, sf: str) -> None:
         del _seen[key]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, not yet made."""
+    return f"{shared_root(spark).rstrip('/')}/gondola/{name}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once below the shared folder, and read from there: a lost executor cannot take it away."""
-    path = f"{shared_root(df.sparkSession).rstrip('/')}/gondola/{name}/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

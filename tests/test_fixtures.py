@@ -32,6 +32,17 @@ def test_sizes(spark):
     assert {r["u"]: r["size_unit"] for r in pricing.unit_prices(aliases).collect()} == pricing.UNITS and len(pricing.UNITS) == 22
 
 
+def test_odd_sizes(spark):
+    """Sides and words: more slashes, double spaces, points in a unit, packs of nothing."""
+    want = {"6 cans / 12 fl. oz": "unsupported_unit", "6 cans / 12 oz / 8 oz": "parsed_ok", "6 cans/12 oz": "parsed_ok", "6 cans / 1.2.3 oz": "unknown_size_format", "6 cans / 12oz": "unknown_size_format",
+            "6.5 cans / 12 oz": "unknown_size_format", "six cans / 12 oz": "unknown_size_format", "6 big red cans / 12 OZ": "parsed_ok", "/": "unknown_size_format", "12 / 3 oz": "unknown_size_format", "0 cans / 3 oz": "parsed_ok",
+            "12 oz /": "unknown_size_format", "\t12 oz": "parsed_ok", "1. l": "parsed_ok", ". l": "unknown_size_format", "2 pack / 3 oz": "ambiguous_multi_unit", "2 dozen": "unsupported_unit"}
+    x = spark.createDataFrame([(t, 4.0) for t in want], "item_size string, price double")
+    got = {r["item_size"]: r for r in pricing.unit_prices(x).collect()}
+    assert {t: r["parse_reason"] for t, r in got.items()} == want
+    assert (got["6 cans / 12 oz / 8 oz"]["size_qty"], got["6 cans / 12 oz / 8 oz"]["pack_count"], got["0 cans / 3 oz"]["unit_price"], got["1. l"]["size_qty"]) == (12.0, 6, None, 1.0)
+
+
 FACT = "month date, store_id long, category string, gap double, gap_direction string, position string, reliability string"
 MONTH = [date(2026, k, 1) for k in range(1, 9)]
 
