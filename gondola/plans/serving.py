@@ -21,6 +21,7 @@ from gondola.plans.pricing import pricing
 from gondola.plans.registry import cl, query, r, view
 from gondola.plans.scores import ready
 from gondola.sources.tables import SHELF, collected
+from gondola.sources.costs import MOST_BYTES, capped
 from gondola.sources.workspace import mart
 
 #: The actions in the order of their priority, with urgency, driving score, mart and reason.
@@ -333,9 +334,9 @@ def price_history(df: DataFrame, store_id: int, category: str, periods: int = 13
     return df.where((F.col("store_id") == store_id) & (F.col("category") == category)).orderBy(F.desc("month")).limit(periods)
 
 
-def asked(spark: SparkSession, statement: str, most: int, **arguments: object) -> DataFrame:
-    """A statement with named parameters, which are values and never text of the statement, and a bound on its answer."""
-    return spark.sql(statement, args=arguments).limit(most)
+def asked(spark: SparkSession, statement: str, most: int, most_bytes: int = MOST_BYTES, **arguments: object) -> DataFrame:
+    """A statement with named parameters, which are values and never text of the statement, a bound on its answer and one on what it may read."""
+    return capped(spark.sql(statement, args=arguments), most_bytes).limit(most)
 
 
 @query("SELECT month, price, gap, gap_direction, position, reliability, stale, products, mismatch FROM v_fact WHERE store_id = 7 AND category = 'SMALL' ORDER BY month DESC LIMIT 13")

@@ -51,8 +51,11 @@ def test_odd_vectors(spark):
 
 def test_texts_are_fetched_after_the_ranking(spark):
     """One evaluation of the distance, and no text below the top k."""
-    plan = corpus.search_external_context(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    plan = corpus.search_external_context(spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     lines = plan.split("\n")
-    below = next(k for k, x in enumerate(lines) if "LocalLimit" in x or "GlobalLimit" in x)
-    assert "text#" not in "\n".join(lines[below:])
+    deep = lambda x: len(x) - len(x.lstrip(" :+-"))
+    top = next(k for k, x in enumerate(lines) if "TakeOrdered" in x and "distance" in x and "ArrowEvalPython" in "".join(lines[k:]))
+    top = max(k for k, x in enumerate(lines) if "TakeOrdered" in x and k >= top)
+    below = [x for x in lines[top + 1 :] if deep(x) > deep(lines[top])]
+    assert any("FileScan" in x for x in below) and not any("text#" in x for x in below)
