@@ -70,22 +70,25 @@ def source_targets(sizes: DataFrame, params: MixParams) -> DataFrame:
         "source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.try_divide(rest * F.col("w"), weight)).alias("target"), "tilt", "base")
 
 
-def row_key(docs: DataFrame) -> Column:
-    """Two hashes of all columns, with seeds of their own: rows of one key are equal, but for a chance of 2**-128 a pair."""
-    return F.struct(*[F.xxhash64(F.lit(seed), *docs.columns).alias(f"h{seed}") for seed in (1, 2)])
+#: Two hashes of all columns, with seeds of their own: rows of one key are equal, but for a chance of 2**-128 a pair.
+KEY = ["row_key", "row_key2"]
+
+
+def keyed(docs: DataFrame) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), *docs.columns).alias(name) for seed, name in enumerate(KEY)]
 
 
 def plan(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: id, source, row_key, size, source_size, target, taken, passes.
+    """One row per row of docs: id, source, row_key, row_key2, size, source_size, target, taken, passes.
 
-    row_key: two hashes of all columns.  passes: array of (position, words), in time order.
+    row_key and row_key2: KEY.  passes: array of (position, words), in time order.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), row_key(docs).alias("row_key"),
+        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), *keyed(docs),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_by"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
     laid = shared.stored(
-        shared.global_prefix(slim, [F.col("source").isNull(), F.col("source"), F.col("_by"), F.col("row_key")], "size", "mix-order"),
+        shared.global_prefix(slim, [F.col("source").isNull(), F.col("source"), F.col("_by"), *map(F.col, KEY)], "size", "mix-order"),
         "mix-rows")
     sizes = laid.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = shared.stored(source_targets(sizes, params), "mix-targets").withColumnRenamed("source", "_s")
@@ -105,14 +108,14 @@ def plan(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id
     last = F.when(F.col("part") > 0, F.array(F.struct(time(u(F.col("rounds"))).alias("position"), F.col("part").alias("words"))))
     empty = F.array().cast("array<struct<position:double,words:bigint>>")
     return rows.select(
-        F.col("_id").alias(id_col), "source", "row_key", "size", "source_size", "target",
+        F.col("_id").alias(id_col), "source", *KEY, "size", "source_size", "target",
         (F.col("rounds") * size + F.col("part")).alias("taken"), F.concat(F.coalesce(whole, empty), F.coalesce(last, empty)).alias("passes"))
 
 
 def mixed_report(docs: DataFrame, params: MixParams = MixParams(), **names: str) -> DataFrame:
     """One row per row of docs, range-sorted by the position of its first pass (nulls last)."""
     found = plan(docs, params, **names)
-    return found.withColumn("position", F.try_element_at("passes", F.lit(1))["position"]).drop("passes", "row_key").orderBy(
+    return found.withColumn("position", F.try_element_at("passes", F.lit(1))["position"]).drop("passes", *KEY).orderBy(
         F.col("position").asc_nulls_last(), F.col(found.columns[0]))
 
 
@@ -123,7 +126,7 @@ def mixed_rows(docs: DataFrame, params: MixParams = MixParams(), text_col: str =
     Equal rows share a key; their passes are joined to one of them.  Documents
     without words are in every whole pass of their source.
     """
-    passes = plan(docs, params, text_col=text_col, **names).select("row_key", "size", F.explode("passes").alias("p")).where("2 * p.words >= size")
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), row_key(docs).alias("row_key"))
-    rows = whole.dropDuplicates(["row_key"]).join(passes, "row_key")
-    return rows.orderBy(F.col("p.position").asc_nulls_last(), "row_key").select("doc.*")
+    passes = plan(docs, params, text_col=text_col, **names).select(*KEY, "size", F.explode("passes").alias("p")).where("2 * p.words >= size")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), *keyed(docs))
+    rows = whole.dropDuplicates(KEY).join(passes, KEY)
+    return rows.orderBy(F.col("p.position").asc_nulls_last(), *KEY).select("doc.*")
