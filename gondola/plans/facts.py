@@ -160,11 +160,12 @@ def market_signals(spark, sf):
 
 _BRANDED = " OR ".join(f"starts_with(description, '{b}')" for b in OWN_BRANDS)
 _IN = f"price <= {T.outlier_multiple} * m"
-view("v_median", "SELECT category, month, quantile_disc(price, 0.5) AS m FROM v_retail WHERE price IS NOT NULL GROUP BY ALL")
+view("v_shelved", "SELECT * REPLACE (coalesce(category, 'Unknown') AS category) FROM v_retail")
+view("v_median", "SELECT category, month, quantile_disc(price, 0.5) AS m FROM v_shelved WHERE price IS NOT NULL GROUP BY ALL")
 view("v_own", f"""SELECT store_id, category, month, {r(f'quantile_disc(CASE WHEN {_IN} THEN price END, 0.5)', 4)} AS price, count(DISTINCT CASE WHEN {_IN} THEN product_id END) AS products, count_if(NOT {_IN}) AS outliers,
   {r(f'count_if({_IN} AND ({_BRANDED})) / nullif(count_if({_IN}), 0)::DOUBLE', 3)} AS own_brand, {r(f'quantile_disc(CASE WHEN {_IN} THEN coalesce(promo, price) END, 0.5)', 4)} AS paid,
-  {r(f'count_if({_IN} AND promo IS NOT NULL AND promo < price) / nullif(count_if({_IN}), 0)::DOUBLE', 3)} AS promo_share FROM v_retail JOIN v_median USING (category, month) WHERE price IS NOT NULL GROUP BY ALL""")
-view("v_cv", f"SELECT category, month, {r('stddev_samp(price) / nullif(avg(price), 0) * 100', 1)} AS cv FROM v_retail JOIN v_median USING (category, month) WHERE {_IN} GROUP BY ALL")
+  {r(f'count_if({_IN} AND promo IS NOT NULL AND promo < price) / nullif(count_if({_IN}), 0)::DOUBLE', 3)} AS promo_share FROM v_shelved JOIN v_median USING (category, month) WHERE price IS NOT NULL GROUP BY ALL""")
+view("v_cv", f"SELECT category, month, {r('stddev_samp(price) / nullif(avg(price), 0) * 100', 1)} AS cv FROM v_shelved JOIN v_median USING (category, month) WHERE {_IN} GROUP BY ALL")
 view("v_comp", f"""SELECT category, pulled, competitor, rivals FROM (SELECT category, month AS pulled, {r('quantile_disc(list_price, 0.5)', 4)} AS competitor FROM v_retail WHERE flag = 'R' AND list_price > 0 GROUP BY ALL)
   JOIN (SELECT category, pulled, {r('avg(n)')} AS rivals FROM (SELECT category, month AS pulled, store_id % {RIVAL_STORES} AS rival, count(*) AS n FROM v_retail WHERE flag = 'R' AND list_price > 0 GROUP BY ALL) GROUP BY ALL) USING (category, pulled)""")
 view("v_pull", "SELECT month, pulled FROM v_months ASOF LEFT JOIN (SELECT DISTINCT pulled FROM v_comp) ON month >= pulled")
@@ -181,9 +182,12 @@ view("v_price", f"""SELECT *, row_number() OVER (PARTITION BY store_id, category
 
 
 def own_cells(x: DataFrame) -> DataFrame:
-    """Store x category x month of retail rows without outliers: medians, counts, shares, and sums for what is worked out of many cells."""
+    """Store x category x month of retail rows without outliers: medians, counts, shares, and sums for what is worked out of many cells.
+
+    Rows without a category are one category, Unknown, before the medians are taken.
+    """
     c = F.col
-    priced = x.where("price is not null")
+    priced = x.where("price is not null").withColumn("category", F.coalesce("category", F.lit("Unknown")))
     # one row a category and month; joined by its size at run time
     med = priced.groupBy("category", "month").agg(F.percentile_approx("price", 0.5, 10000).alias("m"))
     inside = c("price") <= T.outlier_multiple * c("m")

@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gondola.config import T
@@ -12,7 +13,7 @@ from gondola.functions.exprs import clamp, half_up, html_text, months_between_st
 from gondola.operators import grounding
 from gondola.operators.embeds import embedded, question
 from gondola.operators.joins import asof, cosine, top_k_cosine
-from gondola.operators.windows import average_rank, numbered
+from gondola.operators.windows import average_rank, numbered, numbered_within, tile
 from gondola.plans import checks, facts, pricing, scores, validation
 
 SIZES = [
@@ -43,6 +44,23 @@ def test_odd_sizes(spark):
     assert (got["6 cans / 12 oz / 8 oz"]["size_qty"], got["6 cans / 12 oz / 8 oz"]["pack_count"], got["0 cans / 3 oz"]["unit_price"], got["1. l"]["size_qty"]) == (12.0, 6, None, 1.0)
 
 
+def test_rows_without_a_category(spark):
+    """They are a category of their own, with its own median."""
+    rows = [(1, None, date(2026, 1, 1), k, "red x", p, None) for k, p in enumerate((10.0, 12.0, 14.0, 100.0))] + [(1, "a", date(2026, 1, 1), 9, "x", 500.0, None), (1, "a", date(2026, 1, 1), 9, "x", None, None)]
+    x = spark.createDataFrame(rows, "store_id long, category string, month date, product_id int, description string, price double, promo double")
+    got = {r["category"]: (r["price"], r["products"], r["outliers"]) for r in facts.own_cells(x).collect()}
+    assert got == {"Unknown": (12.0, 3, 1), "a": (500.0, 1, 0)}
+
+
+def test_tiles_and_places(spark):
+    """Places within groups over range partitions, and tiles out of them, as the window functions have them."""
+    x = spark.createDataFrame([(g, k, float((k * 7) % 5)) for g, n in (("a", 1), ("b", 2), ("c", 10), (None, 6)) for k in range(n)], "g string, k int, v double").repartition(3)
+    by = Window.partitionBy("g").orderBy(F.desc("v"), "k")
+    y = numbered_within(x, ["g"], [-F.col("v"), F.col("k")], "place").select("g", "k", "place", "place_of", *[tile(F.col("place"), F.col("place_of"), n).alias(f"t{n}") for n in (1, 3, 4)])
+    want = x.select("g", "k", F.row_number().over(by).alias("place"), F.count("*").over(Window.partitionBy("g")).alias("place_of"), *[F.ntile(n).over(by).alias(f"t{n}") for n in (1, 3, 4)])
+    assert sorted(map(tuple, y.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 FACT = "month date, store_id long, category string, gap double, gap_direction string, position string, reliability string"
 MONTH = [date(2026, k, 1) for k in range(1, 9)]
 
