@@ -11,6 +11,7 @@ each row is cut by itself.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -35,6 +36,23 @@ class WordTokenizer:
         return " ".join(ids)
 
 
+class SubwordTokenizer:
+    """A vocabulary file of the tokenizers library; strings of special tokens are ordinary text."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer as Library
+
+        self.own = Library.from_file(path)
+        self.own.encode_special_tokens = True
+
+    def encode(self, text: str) -> list[int]:
+        return self.own.encode(text, add_special_tokens=False).ids
+
+    def decode(self, ids: list[int]) -> str:
+        return self.own.decode(ids, skip_special_tokens=False)
+
+
 @dataclass(frozen=True)
 class ChunkParams:
     target: int = 400

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,27 +11,26 @@ from pyspark.sql import functions as F
 
 
 def asof(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: list[str], values: list[str]) -> DataFrame:
-    """left with the latest right row whose time is not after left's; nulls where there is none; of right rows with one time that with the greatest values.
+    """left with the latest right row whose time is not after left's; nulls where there is none; of right rows with one time that with the greatest values.  Without a time a row meets nothing; null keys are one key.
 
     One union and one window that carries the last right row forward: no range
-    join, so cost is a sort of both sides whatever their sizes.  Without keys the time
-    axis is cut into years, each sorted on its own, and the last right row of each year is carried on in a
-    table of one row a year.  Adds right_at.
+    join, so cost is a sort of both sides whatever their sizes.  The time axis of each key, or of all rows without keys,
+    is cut into years, each sorted on its own, and the last right row of each year is carried on in a
+    table of one row a key and year.  Adds right_at.
     """
     carried = [right_at, *values]
     l = left.withColumns({"_at": F.col(left_at), "_side": F.lit(1)}).withColumn("_r", F.lit(None).cast(right.select(F.struct(*carried)).schema[0].dataType))
-    r = right.select(*by, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.struct(*carried).alias("_r"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    keys = by
-    if not by:
-        both, keys = both.withColumn("_slice", F.year("_at")), ["_slice"]
-    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    r = right.where(F.col(right_at).isNotNull()).select(*by, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.struct(*carried).alias("_r"))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_slice", F.year("_at"))
+    w = Window.partitionBy(*by, "_slice").orderBy("_at", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    if not by:
-        ends = both.groupBy("_slice").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct("_at", "_r"))).alias("_end"))
-        earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a year
-        ends = ends.select(F.col("_slice").alias("_year"), F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
-        out = out.join(F.broadcast(ends), F.col("_slice").eqNullSafe(F.col("_year"))).withColumn("_r", F.coalesce("_r", "_before"))
+    ends = both.groupBy(*by, "_slice").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.struct("_at", "_r"))).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    same = {b: f"_b{k}" for k, b in enumerate(by)} | {"_slice": "_year"}
+    ends = ends.select(*[F.col(b).alias(n) for b, n in same.items()], F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    match = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(n)) for b, n in same.items()])
+    # without keys one row a year, else joined by its size at run time
+    out = out.join(ends if by else F.broadcast(ends), match).withColumn("_r", F.coalesce("_r", "_before"))
     return out.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in carried])
 
 

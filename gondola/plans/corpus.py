@@ -6,11 +6,14 @@ ones are internal, the others external; a label is a document of chunks; vector
 
 from __future__ import annotations
 
+import os
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.exprs import ENTITIES, NUMERIC_CLAIM, html_text, looked_up, numeric_claim
-from gondola.operators.chunks import chunks
+from gondola.operators.chunks import SubwordTokenizer, chunks
 from gondola.operators.grounding import INJECTION, MARKER, TIER_DAYS, guarded, injections, stale
 from gondola.operators.joins import top_k_cosine
 from gondola.operators.vectors import nearest
@@ -43,6 +46,21 @@ def chunk_docs(spark, sf):
         "flagged", F.size("phrases") > 0)
 
 
+#: The vocabulary of `chunk_docs_subword`: a file below this folder, else of the installed package.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@query(None)
+def chunk_docs_subword(spark, sf):
+    """Chunks by tokens of a byte-level vocabulary instead of words: the limits of a model that reads such tokens."""
+    import public_tokenizers
+
+    folder = os.environ.get("GONDOLA_TOKENIZERS")
+    path = os.path.join(folder, VOCABULARY) if folder else str(public_tokenizers.path(VOCABULARY))
+    found = chunks(table(spark, sf, "documents"), "doc_id", "text", partial(SubwordTokenizer, path))
+    return found.select("doc_id", "chunk_no", chunk_key(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), "heading", "tokens", "chunk")
+
+
 def _html_sql(x: str) -> str:
     out = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
     for tag in ("script", "style", "nav", "header", "footer"):

@@ -1,10 +1,14 @@
 """Chunks, claims, breaker, injections, drift and lookups."""
 
+import random
+from datetime import date, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
-from gondola.operators.chunks import ChunkParams, WordTokenizer, chunks, cut, sections
+from gondola.operators.chunks import ChunkParams, SubwordTokenizer, WordTokenizer, chunks, cut, sections
 from gondola.operators.grounding import INJECTION, Breaker, Claim, ToolCall, drifted, injections, verified
+from gondola.operators.joins import asof
 from gondola.plans.serving import UnknownId, price_history, store_category
 
 HEADING = ChunkParams().heading
@@ -93,3 +97,43 @@ def test_lookups(spark):
             store_category(df, *bad)
     with pytest.raises(ValueError):
         price_history(df, 1, "a", 0)
+
+
+@pytest.mark.parametrize("by", [[], ["k"], ["k", "j"]])
+def test_asof_over_years(spark, by):
+    """Keys and times over years, ties, null times and null keys, against a loop."""
+    rng = random.Random(len(by))
+    day = lambda: date(2020, 1, 1) + timedelta(rng.randrange(2000)) if rng.random() < 0.95 else None
+    rows = lambda n: [(rng.choice(["a", "a", "b", None]), rng.randrange(2), day(), i) for i in range(n)]
+    left, right = rows(300), rows(60)
+    right += [(k, j, d, i + 100) for k, j, d, i in right[:20]]  # equal times
+    at = {"k": 0, "j": 1}
+    want = {}
+    for x in left:
+        met = [y for y in right if y[2] and x[2] and y[2] <= x[2] and all(x[at[b]] == y[at[b]] for b in by)]
+        best = max(met, key=lambda y: (y[2], y[3])) if met else None
+        want[x[3]] = best and (best[2], best[3])
+    l = spark.createDataFrame(left, "k string, j int, d date, i int").repartition(3)
+    r = spark.createDataFrame(right, "k string, j int, e date, v int").repartition(2)
+    got = {x.i: x.e and (x.e, x.v) for x in asof(l, r if by else r.drop("k", "j"), "d", "e", by, ["v"]).collect()}
+    assert got == want
+
+
+def test_subword_chunks():
+    """Limit and overlap of a long paragraph against plain slices of its tokens; small paragraphs are packed up to the target."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    own, library, params = SubwordTokenizer(path), Tokenizer.from_file(path), ChunkParams(target=40, limit=60, overlap=0.2)
+    text = " ".join(f"word{k} na\u00efve" for k in range(100))
+    ids = library.encode(text, add_special_tokens=False).ids
+    want = [ids[at : at + 60] for at in range(0, len(ids), 48)]
+    got = list(cut(text, own, params))
+    assert len(got) == len(want) and all(size <= 60 for _, _, size in got)
+    exact = [library.decode(x, skip_special_tokens=False) for x in want]
+    # a window that begins or ends inside a character is encoded anew and may be shortened, never lengthened
+    assert all(c == e or e.startswith(c[:20]) for (_, c, _), e in zip(got, exact)) and sum(c == e for (_, c, _), e in zip(got, exact)) > len(got) / 2
+    packed = list(cut("\n\n".join(["one two three four five six seven eight nine ten"] * 9), own, params))
+    assert [c.count("ten") for _, c, _ in packed] == [4, 4, 1] and all(size == len(own.encode(c)) <= 60 for _, c, size in packed)
+    assert own.encode("<|endoftext|>") != [50256]
