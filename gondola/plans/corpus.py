@@ -61,13 +61,18 @@ def chunk_docs_subword(spark, sf):
     return found.select("doc_id", "chunk_no", chunk_key(F.col("doc_id"), F.col("chunk_no")).alias("chunk_id"), "heading", "tokens", "chunk")
 
 
+def _entities_sql(x: str) -> str:
+    for entity, char in ENTITIES.items():
+        x = f"replace({x}, '{entity}', {chr(39) + char.replace(chr(39), chr(39) * 2) + chr(39)})"
+    return x
+
+
 def _html_sql(x: str) -> str:
     out = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
     for tag in ("script", "style", "nav", "header", "footer"):
         out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', chr(10), 'g')"
     out = f"regexp_replace({out}, '(?s)<[^>]*>', chr(10), 'g')"
-    for entity, char in ENTITIES.items():
-        out = f"replace({out}, '{entity}', {chr(39) + char.replace(chr(39), chr(39) * 2) + chr(39)})"
+    out = _entities_sql(out)
     return f"array_to_string(list_filter(list_transform(string_split({out}, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t\\r\\f]+', ' ', 'g'))), lambda l: l <> ''), chr(10))"
 
 
@@ -88,6 +93,21 @@ def url_like(spark, sf):
     return table(spark, sf, "pages").where(F.col("url").like("%example.com/%")).select("page_id", F.left("url", F.lit(20)).alias("title")).orderBy("page_id")
 
 
+#: Characters of a title that are kept.
+TITLE = 40
+_TITLE_SQL = f"""nullif(trim({_entities_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}), '')"""
+
+
+@query(f"SELECT page_id, left(t, {TITLE}) AS title, length(t) > {TITLE} AS was_cut, t LIKE '%***%' AS starred, url LIKE 'https://%.example.org/%' AS of_site FROM (SELECT page_id, url, {_TITLE_SQL} AS t FROM pages)")
+def page_titles(spark, sf):
+    """Titles out of pages, cut to a length, and what LIKE says of them and of the address; null without a title."""
+    t = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    for entity, char in ENTITIES.items():
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    x = table(spark, sf, "pages").select("page_id", "url", F.nullif(F.trim(t), F.lit("")).alias("t"))
+    return x.select("page_id", F.left("t", F.lit(TITLE)).alias("title"), (F.char_length("t") > TITLE).alias("was_cut"), F.col("t").like("%***%").alias("starred"), F.col("url").like("https://%.example.org/%").alias("of_site"))
+
+
 #: Stand-ins: what kind of document an order's priority is.
 TIERS = {"1-URGENT": "earnings_call", "2-HIGH": "sec_filing", "3-MEDIUM": "industry_research", "4-NOT SPECIFIED": "gov_methodology", "5-LOW": "internal_doc"}
 _AGE = "date_diff('day', day, today)"
