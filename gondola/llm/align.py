@@ -160,9 +160,10 @@ class Aligner:
         self.ends.add(self.keys.n + np.searchsorted(of[order], upto))
         self.keys.add(keys[order])
         self.times.add(times[order])
-        ids_a, ids_b = map(str, flat_a.tolist()), map(str, flat_b.tolist())
-        take = lambda ids, n: ",".join([next(ids) for _ in range(n)])
-        texts = [f"{take(ids_a, a)}|{take(ids_b, b)}" for a, b in zip(n_a.tolist(), n_b.tolist())]
+        ids_a, ids_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        some = lambda ids, at, n: ids[at] if n == 1 else ",".join(ids[at : at + n])
+        places = (x.tolist() for x in (np.cumsum(n_a) - n_a, n_a, np.cumsum(n_b) - n_b, n_b))
+        texts = [f"{some(ids_a, i, n)}|{some(ids_b, j, m)}" for i, n, j, m in zip(*places)]
         self.groups += [";".join(texts[a:b]) for a, b in zip(first.tolist(), upto.tolist())]
         self.sound += sound
 
