@@ -64,7 +64,7 @@ def _bare(file: str) -> str:
 
 
 def _plan(df: DataFrame) -> str:
-    """Digest of a plan: what it does, without the numbers that every session gives anew."""
+    """Digest of a plan and of the settings that its results depend on, without the numbers that every session gives anew."""
     spark, most = df.sparkSession, "spark.sql.debug.maxToStringFields"
     was = spark.conf.get(most, "25")
     spark.conf.set(most, "1000000")  # nothing is left out of the text
@@ -72,7 +72,11 @@ def _plan(df: DataFrame) -> str:
         text = df._jdf.queryExecution().analyzed().toString()
     finally:
         spark.conf.set(most, was)
-    return hashlib.sha256(re.sub(r"#\d+L?|(?<=[a-z]_)\d+\b|@[0-9a-f]+", "", text).encode()).hexdigest()
+    return hashlib.sha256((_settings(spark) + re.sub(r"#\d+L?|(?<=[a-z]_)\d+\b|@[0-9a-f]+", "", text)).encode()).hexdigest()
+
+
+def _settings(spark: SparkSession) -> str:
+    return " ".join(str(spark.conf.get(k)) for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"))
 
 
 def mart_path(spark: SparkSession, sf: str, name: str) -> str:
@@ -147,7 +151,7 @@ def mart(*order: str, grows: str | None = None, places: dict[str, str] | None =
             version_of = lambda other: _seen[spark.sparkContext.applicationId, sf, other][1]
             if below:
                 below(spark, sf)
-                rows, now["plan"], now["marts"] = None, hashlib.sha256(inspect.getsource(build).encode()).hexdigest(), {below.__name__: version_of(below.__name__)}
+                rows, now["plan"], now["marts"] = None, hashlib.sha256((_settings(spark) + inspect.getsource(build)).encode()).hexdigest(), {below.__name__: version_of(below.__name__)}
             else:
                 rows = build(spark, sf)
                 now["plan"] = _plan(rows)
@@ -176,12 +180,13 @@ def mart(*order: str, grows: str | None = None, places: dict[str, str] | None =
         def read(spark: SparkSession, sf: str) -> DataFrame:
             key, path = (spark.sparkContext.applicationId, sf, name), mart_path(spark, sf, name)
             listed = listing(spark, sf)
-            if key not in _seen or _seen[key][0] != listed:
+            state = listed | {"settings": _settings(spark)}
+            if key not in _seen or _seen[key][0] != state:
                 try:
                     version = update(spark, sf, path, listed)
                 except snapshots.Conflict:  # another application was first: what it built is looked at
                     version = update(spark, sf, path, listed)
-                _seen[key] = (listed, version)
+                _seen[key] = (state, version)
             return snapshots.read(spark, path, _seen[key][1])
 
         read.__name__, read.__doc__ = name, build.__doc__
