@@ -9,8 +9,8 @@ of their cells until all cells are empty.
 
 The fingerprint is a sketch of fixed size.  Where the difference is too large for
 it, peeling stops early; both versions are then sketched again, larger, in groups
-of bounded size, and on failure again and again with twice the cells and another salt
-(`tries`).  A try fails for a few documents in a hundred at most, and the tries are independent;
+of bounded size, and a group that fails again and again with twice the cells and another salt
+(`tries`).  A try fails for a few groups in a hundred at most, and the tries are independent;
 should all fail (never seen), the job ends with an error rather than with a guess.
 
 Likeness of two documents with a and b paragraphs that differ in d is
@@ -94,12 +94,24 @@ def dealt(hashes: str, levels: str) -> str:
 
 
 def larger(a: str, b: str, times: int, salt: int, params: SketchParams) -> str:
-    """SQL: how many hashes two arrays differ in, by sketches large enough for all of both, group by group; null on failure."""
+    """SQL: how many hashes two arrays differ in, by one try for each group of them; null where one fails."""
+    return tried(a, b, [(times, salt)], params, "null")
+
+
+def tried(a: str, b: str, tries: list[tuple[int, int]], params: SketchParams, otherwise: str) -> str:
+    """SQL: how many hashes two arrays differ in, by sketches large enough for all of both.
+
+    Group by group: only a group whose sketch does not peel is tried again, larger and with another salt, so the work does not grow with the number of groups that must all succeed.
+    """
     p, q, x, y = (next(_names) for _ in range(4))
-    both = _let(
-        f"cast({times} * (5 + (size({p}) + size({q})) * 11 div 20) as int)",
-        lambda m: peeled(sketch(p, m, salt), sketch(q, m, salt), m, salt, params.rounds + 4 * times))
-    each = lambda levels: f"zip_with({dealt(a, levels)}, {dealt(b, levels)}, ({p}, {q}) -> {both})"
+
+    def both(times: int, salt: int) -> str:
+        return _let(
+            f"cast({times} * (5 + (size({p}) + size({q})) * 11 div 20) as int)",
+            lambda m: peeled(sketch(p, m, salt), sketch(q, m, salt), m, salt, params.rounds + 4 * times))
+
+    found = ", ".join([*(both(*t) for t in tries), f"cast({otherwise} as int)"])
+    each = lambda levels: f"zip_with({dealt(a, levels)}, {dealt(b, levels)}, ({p}, {q}) -> coalesce({found}))"
     levels = f"cast(ceil(log2(greatest(1, (size({a}) + size({b})) / {params.group}))) as int)"
     return f"aggregate({_let(levels, each)}, 0, ({x}, {y}) -> {x} + {y})"
 
@@ -109,8 +121,8 @@ def likeness(a: str, b: str, sa: str, sb: str, params: SketchParams) -> str:
     m = f"{params.cells}"
     # a difference of more hashes than cells cannot peel
     small = f"if(abs(size({a}) - size({b})) >= {3 * params.cells}, null, {peeled(sa, sb, m, 0, params.rounds)})"
-    tries = [small, *(larger(a, b, t, 1000 * t, params) for t in params.tries), "cast(raise_error('no sketch peels') as int)"]
-    return _let(f"coalesce({', '.join(tries)})", lambda d: (
+    more = tried(a, b, [(t, 1000 * t) for t in params.tries], params, "raise_error('no sketch peels')")
+    return _let(f"coalesce({small}, {more})", lambda d: (
         f"if(size({a}) + size({b}) = 0, 1.0D, cast(size({a}) + size({b}) - {d} as double) / (size({a}) + size({b}) + {d}))"))
 
 

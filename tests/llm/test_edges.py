@@ -3,6 +3,8 @@
 import hashlib
 import random
 import struct
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -280,10 +282,10 @@ def test_fingerprints_of_many_lines(spark):
     took = {}
     for n in (8_000, 16_000, 50_000):
         docs = spark.createDataFrame([(1, text("a", n)), (2, text("a", n // 2) + "\n" + text("b", n // 2))], "doc_id long, text string")
-        for again in range(2 if n < 50_000 else 1):
+        for _ in range(2 if n < 50_000 else 1):
             start = time.time()
             got = {r["doc_id"]: r for r in iblt.fingerprints(docs).collect()}
-            took[n] = time.time() - start
+            took[n] = min(time.time() - start, took.get(n, 1e9))
         assert got[1]["near_next"] == got[2]["near_next"] == pytest.approx((n // 2) / (n + n // 2))
     assert took[16_000] < 2.5 * took[8_000] and took[50_000] < 9 * took[8_000]
 
