@@ -37,7 +37,7 @@ from gondola.llm import shared
 class SketchParams:
     cells: int = 8  #: per group of cells, three groups
     rounds: int = 12  #: of peeling; each takes all cells that are pure
-    group: int = 48  #: hashes that one larger sketch takes, on average at most
+    group: int = 48  #: hashes of both sides that one larger sketch takes: so many to twice as many on average
     task_bytes: int = 8 << 20  #: text that one task shuffles
     sketch_bytes: int = 8 << 20  #: text whose sketches one task makes
     tries: tuple[int, ...] = (1, 2, 4, 8, 16, 32)  #: sizes of the larger sketches, each with another salt
@@ -112,7 +112,7 @@ def tried(a: str, b: str, tries: list[tuple[int, int]], params: SketchParams, ot
 
     found = ", ".join([*(both(*t) for t in tries), f"cast({otherwise} as int)"])
     each = lambda levels: f"zip_with({dealt(a, levels)}, {dealt(b, levels)}, ({p}, {q}) -> coalesce({found}))"
-    levels = f"cast(ceil(log2(greatest(1, (size({a}) + size({b})) / {params.group}))) as int)"
+    levels = f"cast(floor(log2(greatest(1, (size({a}) + size({b})) / {params.group}))) as int)"
     return f"aggregate({_let(levels, each)}, 0, ({x}, {y}) -> {x} + {y})"
 
 
