@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from gondola.operators.windows import middle
-from gondola.plans import facts
+from gondola.plans import facts, pricing
 
 
 def shelf(spark, n: int, parts: int):
@@ -48,3 +48,19 @@ def test_many_products_cost_as_much_as_one(spark):
         assert facts.own_cells(x).select("price", "paid", "products").first()["products"] == products
         took[products] = time.time() - start
     assert took[60_000] < 4 * took[1] + 2
+
+
+def test_exact_unit_prices(spark, tmp_path):
+    """The anchor month of a store has 24,000 rows of one category, each with a price of its own."""
+    n = 24_000
+    price = 100 + F.pmod(F.col("id") * 7919, F.lit(n)) * 0.001
+    lines = spark.range(0, n, 1, 16).select(
+        F.lit(1).cast("long").alias("l_suppkey"), (F.col("id") * 10).alias("l_partkey"), F.expr("timestamp_ntz'1995-02-03 00:00:00'").alias("l_shipdate"), (price * 2).alias("l_extendedprice"),
+        F.lit(2.0).alias("l_quantity"), F.lit(0.0).alias("l_discount"), F.lit("R").alias("l_returnflag"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = spark.range(n).select((F.col("id") * 10).alias("p_partkey"), F.lit("SMALL").alias("p_type"), F.lit("red x").alias("p_name"), F.lit(4).alias("p_size"), F.lit(90.0).alias("p_retailprice"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    units = pricing.anchored(spark, str(tmp_path))[1].collect()
+    want = lower([r[0] for r in lines.select(F.col("l_extendedprice") / 2 / 4).collect()])
+    assert [(r["store_id"], r["category"], r["unit_name"], r["unit_coverage"]) for r in units] == [(1, "SMALL", "fl_oz", 100.0)]
+    assert abs(units[0]["unit_price"] - want) < 1e-4
