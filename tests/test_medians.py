@@ -1,11 +1,13 @@
 """Medians of large groups are those of the SQL, and many products cost as much as one."""
 
+import datetime
 import time
 
 from pyspark.sql import functions as F
 
-from gondola.operators.windows import middle
+from gondola.operators.windows import middle, once
 from gondola.plans import facts, pricing
+from gondola.sources import tables
 
 
 def shelf(spark, n: int, parts: int):
@@ -39,6 +41,26 @@ def test_medians_of_odd_groups(spark):
     assert got == {"even": 2.0, "ties": 5.0, "gaps": 7.0, "none": None, None: 7.5}
 
 
+def test_once(spark):
+    rows = [("a", 1), ("a", 1), ("a", 2), ("a", None), ("b", None), (None, 3), (None, 3), (None, None), (None, 4)]
+    x = spark.createDataFrame(rows, "k string, v long").withColumn("fresh", once(F.col("v"), ["k"]))
+    assert {r["k"]: r["n"] for r in x.groupBy("k").agg(F.count_if("fresh").alias("n")).collect()} == {"a": 2, "b": 0, None: 2}
+
+
+def test_shelves_keep_no_state_of_each_product(spark, tmp_path):
+    """A distinct count beside the means shuffled sums of every product and month; now each is one row a shelf."""
+    part = "part_key long, p_type string, p_name string, p_retailprice double"
+    spark.createDataFrame([(1, "SMALL", "red x", 9.0), (2, "SMALL", "old y", 9.0), (3, None, "z", 9.0)], part).withColumnRenamed("part_key", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    line = "l_suppkey long, l_partkey long, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string"
+    day = datetime.datetime(1995, 2, 3)
+    lines = [(s, p, day, 10.0 * p, 2.0, 0.0, "R") for s, p in ((1, 1), (1, 1), (21, 2), (2, 3), (2, 3), (None, 2))]
+    spark.createDataFrame(lines, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["store_id"], r["category"]): (r["n_products"], r["n_items"]) for r in facts.shelves(spark, str(tmp_path)).collect()}
+    assert got == {(1, "SMALL"): (2, 3), (2, None): (1, 2), (None, "SMALL"): (1, 1)}
+    plan = facts.shelved(tables.conformed(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan
+
+
 def test_many_products_cost_as_much_as_one(spark):
     """Each product of a cell had a sketch of its own, and these were merged one by one: the work grew with the square of the rows."""
     took = {}
